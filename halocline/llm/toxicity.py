@@ -7,7 +7,8 @@ which it is takes a step the other way on that part instead of fitting the unlab
 texts as clean.
 
 Features are the presence of words and of their 4- to 6-letter n-grams (18-bit hashes), of
-which those whose document frequency differs most between P and U are kept. The fit uses a
+which those whose document frequency differs most between P and U are kept: at most ``FEATURES``,
+each with a log likelihood ratio of ``LEAST_GAIN`` or more. The fit uses a
 bounded sample: at most ``MAX_POSITIVE`` confirmed texts and about ``MAX_UNLABELLED`` others.
 Scoring runs over every whole text.
 """
@@ -27,7 +28,7 @@ from .common import byte_list, materialize, slices
 
 BITS, ORDERS = 18, (4, 5, 6)
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 24_000
-FEATURES, FIT_TASKS = 2_048, 24
+FEATURES, LEAST_GAIN, FIT_TASKS = 2_048, 10.0, 24
 EPOCHS, BATCH, RATE, DECAY = 40, 2_048, 0.02, 1e-4
 CACHE_CHUNKS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
     p, u = (df[0] + 0.5) / (n_p + 1), (df[1] + 0.5) / (n_u + 1)
     gain = n_p * (p * np.log(p / u) + (1 - p) * np.log((1 - p) / (1 - u)))
     kept = np.argsort(-np.where(df[0] + df[1] > 0, gain, -1), kind="stable")[:FEATURES]
+    kept = kept[gain[kept] >= LEAST_GAIN] if gain.max() >= LEAST_GAIN else kept[:16]
     table[kept] = np.arange(len(kept))
 
     def features(batches):

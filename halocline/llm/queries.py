@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, multiset, packing, sharding, simhash, toxicity
+from . import decontaminate, langid, licenses, multiset, packing, sharding, simhash, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op2_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_licenses"] = licenses.scan_sql()
+
+
 @query
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -55,6 +63,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages have no capture time; a second per page_id stands in for it.
+    runs = warc.write(table(spark, sf_dir, "pages"), F.lit(1_700_000_000) + F.pmod("page_id", F.lit(1 << 30)))
+    return warc.read(warc.merge(runs))
+
+
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -5,48 +5,49 @@ training document. A document is ranked the same way, and its out-of-place dista
 profile is the sum over its n-grams of how far each stands from its rank there, with the
 largest possible value where the profile lacks it.
 
-N-grams are those of lower-cased letter runs with a mark at either end, as 18-bit hashes.
-They are made once per distinct chunk of text and kept in a bounded cache.
+N-grams are those of lower-cased letter runs with a mark at either end, up to three
+characters, as 18-bit hashes. They are computed for a whole text at a time from its code
+points: everything but letters becomes the mark, and a gram that has a mark inside is left out.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_list, slices
+from .common import slices
 
-ORDERS, PROFILE, BITS = (1, 2, 3), 400, 18
-CACHE_CHUNKS, FLUSH_CHUNKS = 200_000, 100_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+PROFILE, BITS = 400, 18
+_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
-class ChunkGrams(dict):
-    """Chunk of UTF-8 -> its n-gram numbers as bytes of int32."""
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        grams = []
-        for run in _LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-            marked = f"_{run}_"
-            for n in ORDERS:
-                grams += [zlib.crc32(marked[i : i + n].encode()) & ((1 << BITS) - 1) for i in range(len(marked) - n + 1) if marked[i : i + n] != "_"]
-        value = np.array(grams, np.int32).tobytes()
-        if len(chunk) <= 64:
-            if len(self) > CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = value
-        return value
 
+def grams(text: str) -> np.ndarray:
+    """Numbers of all n-grams of a text, repeats included."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+    code = np.where(_letters()[code], code, np.uint32(0))
+    one, two, three = _FACTORS
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    middle = b != 0
+    first = (code * one)[1:-1][middle]
+    pair = (code[:-1] * two + code[1:]) * one
+    pair = pair[(code[:-1] != 0) | (code[1:] != 0)]
+    triple = (((a * three + b) * two + c) * one)[middle]
+    return (np.concatenate((first, pair + np.uint32(1), triple + np.uint32(2))) >> np.uint32(32 - BITS)).astype(np.int32)
 
-def _ranked(grams: np.ndarray, most: int) -> np.ndarray:
+
+def _ranked(found: np.ndarray, most: int) -> np.ndarray:
     """The most frequent numbers, ties by the smaller number."""
-    ids, counts = np.unique(grams, return_counts=True)
+    ids, counts = np.unique(found, return_counts=True)
     key = (counts.astype(np.int64) << (BITS + 1)) | ((1 << BITS) - 1 - ids)
     if len(key) > most:
         key = np.partition(key, len(key) - most)[-most:]
@@ -61,23 +62,17 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[in
     """
 
     def count(batches):
-        grams, words = ChunkGrams(), {}
-
-        def flush():
-            for lang, counter in words.items():
-                total = np.zeros(1 << BITS, np.int64)
-                for chunk, n in counter.items():
-                    np.add.at(total, np.frombuffer(grams[chunk], np.int32), n)
-                ids = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["lang", "gram", "n"])
-            words.clear()
-
+        totals: dict[str, np.ndarray] = {}
         for b in slices(batches):
-            for lang, text in zip(b.column(1).to_pylist(), byte_list(b.column(0))):
-                words.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, words.values())) > FLUSH_CHUNKS:
-                yield from flush()
-        yield from flush()
+            texts: dict[str, list[str]] = {}
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(text)
+            for lang, some in texts.items():
+                total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                total += np.bincount(grams(" ".join(some)), minlength=1 << BITS)
+        for lang, total in totals.items():
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["lang", "gram", "n"])
 
     counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram int, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -97,31 +92,28 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PRO
     or ``score`` are replaced.
     """
     langs = sorted(profiles)
-    grams = np.array(sorted({g for p in profiles.values() for g in p} | {1 << BITS}), np.int64)
-    ranks = np.full((len(langs), len(grams)), -1, np.int32)
+    known = np.array(sorted({g for p in profiles.values() for g in p} | {1 << BITS}), np.int64)
+    ranks = np.full((len(langs), len(known)), -1, np.int32)
     for i, lang in enumerate(langs):
-        ranks[i, np.searchsorted(grams, profiles[lang])] = np.arange(len(profiles[lang]))
-
-    def predict(texts: list[bytes], cache: ChunkGrams):
-        for text in texts:
-            own = np.frombuffer(b"".join(map(cache.__getitem__, text.split())), np.int32)
-            if not len(own) or not langs:
-                yield "und", 0.0
-                continue
-            own = _ranked(own, profile)
-            at = np.searchsorted(grams, own)
-            there = ranks[:, np.where(grams[at] == own, at, len(grams) - 1)]
-            away = np.where(there >= 0, np.abs(there - np.arange(len(own))), profile).sum(axis=1)
-            best = int(away.argmin())
-            yield langs[best], 1.0 - float(away[best]) / (profile * len(own))
+        ranks[i, np.searchsorted(known, profiles[lang])] = np.arange(len(profiles[lang]))
+
+    def predict(text: str | None) -> tuple[str, float]:
+        own = grams(text or "")
+        if not len(own) or not langs:
+            return "und", 0.0
+        own = _ranked(own, profile)
+        at = np.searchsorted(known, own)
+        there = ranks[:, np.where(known[at] == own, at, len(known) - 1)]
+        away = np.where(there >= 0, np.abs(there - np.arange(len(own))), profile).sum(axis=1)
+        best = int(away.argmin())
+        return langs[best], 1.0 - float(away[best]) / (profile * len(own))
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = len(kept)
 
     def run(batches):
-        cache = ChunkGrams()
         for b in slices(batches):
-            found = list(predict(byte_list(b.column(at)), cache))
+            found = [predict(t) for t in b.column(at).to_pylist()]
             columns = [*b.columns[:at], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 

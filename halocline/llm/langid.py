@@ -12,37 +12,30 @@ points: everything but letters becomes the mark, and a gram that has a mark insi
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import letters, slices
 
 PROFILE, BITS = 400, 18
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-
-
-@cache
-def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+_MIX = np.uint32(0x27D4EB2F)
 
 
 def grams(text: str) -> np.ndarray:
     """Numbers of all n-grams of a text, repeats included."""
     code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    code = np.where(_letters()[code], code, np.uint32(0))
+    code = np.where(letters()[code], code, np.uint32(0))
     one, two, three = _FACTORS
     a, b, c = code[:-2], code[1:-1], code[2:]
     middle = b != 0
     first = (code * one)[1:-1][middle]
-    pair = (code[:-1] * two + code[1:]) * one
+    pair = (code[:-1] * two + code[1:] + _MIX) * one
     pair = pair[(code[:-1] != 0) | (code[1:] != 0)]
-    triple = (((a * three + b) * two + c) * one)[middle]
-    return (np.concatenate((first, pair + np.uint32(1), triple + np.uint32(2))) >> np.uint32(32 - BITS)).astype(np.int32)
+    triple = (((a * three + b) * two + c + _MIX + _MIX) * one)[middle]
+    return (np.concatenate((first, pair, triple)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def _ranked(found: np.ndarray, most: int) -> np.ndarray:

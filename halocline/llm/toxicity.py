@@ -6,8 +6,8 @@ the bracket estimates the risk on clean text and cannot truly be negative, so a
 which it is takes a step the other way on that part instead of fitting the unlabelled toxic
 texts as clean.
 
-Features are the presence of words and of their 4- to 6-letter n-grams (18-bit hashes), of
-which those whose document frequency differs most between P and U are kept: at most ``FEATURES``,
+Features are the presence of 4- to 6-character n-grams of lower-cased letter runs with a mark
+at either end (19-bit hashes made for a whole text at a time from its code points), of which those whose document frequency differs most between P and U are kept: at most ``FEATURES``,
 each with a log likelihood ratio of ``LEAST_GAIN`` or more. The fit uses a
 bounded sample: at most ``MAX_POSITIVE`` confirmed texts and about ``MAX_UNLABELLED`` others.
 Scoring runs over every whole text.
@@ -15,8 +15,6 @@ Scoring runs over every whole text.
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,44 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialize, slices
+from .common import letters, materialize, slices
 
-BITS, ORDERS = 18, (4, 5, 6)
+BITS, ORDERS = 19, (4, 5, 6)
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 24_000
-FEATURES, LEAST_GAIN, FIT_TASKS = 2_048, 10.0, 24
+FEATURES, LEAST_GAIN, FIT_TASKS = 2_048, 8.0, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 2_048, 0.02, 1e-4
-CACHE_CHUNKS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-class ChunkFeatures(dict):
-    """Chunk of UTF-8 -> its features as bytes of int32, renumbered by ``table`` if given
-    (features that it maps to -1 are left out)."""
-
-    def __init__(self, table: np.ndarray | None = None) -> None:
-        self.table = table
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = set()
-        for run in _LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-            marked = f"_{run}_"
-            found.add(zlib.crc32(marked.encode()) & ((1 << BITS) - 1))
-            for n in ORDERS:
-                found.update(zlib.crc32(marked[i : i + n].encode()) & ((1 << BITS) - 1) for i in range(len(marked) - n + 1))
-        ids = np.array(sorted(found), np.int32)
-        if self.table is not None and len(ids):
-            ids = self.table[ids]
-            ids = ids[ids >= 0]
-        value = ids.tobytes()
-        if len(chunk) <= 64:
-            if len(self) > CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = value
-        return value
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Distinct features of a text."""
-        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, set(text.split()))), np.int32))
+_FACTOR, _SPREAD, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1), np.uint32(0x27D4EB2F)
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Numbers of all n-grams of a text, repeats included."""
+    code = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
+    code = np.where(letters()[code], code, np.uint32(0))
+    marks = np.concatenate(([0], np.cumsum(code == 0)))
+    code = code + np.uint32(1)
+    found, hashed = [], code
+    for n in range(2, min(ORDERS[-1], len(code)) + 1):
+        hashed = hashed[:-1] * _FACTOR + code[n - 1 :]
+        if n in ORDERS:
+            inside = marks[n - 1 : len(marks) - 1] - marks[1 : len(marks) - n + 1]
+            found.append((hashed[inside == 0] + np.uint32(n) * _MIX) * _SPREAD >> np.uint32(32 - BITS))
+    return np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -71,6 +53,11 @@ class Model:
     bias: float
     prior: float
 
+    def features(self, text: str | None) -> np.ndarray:
+        """Distinct features of a text."""
+        ids = self.table[grams(text)]
+        return np.unique(ids[ids >= 0])
+
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
     known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -110,16 +97,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
     sample = materialize(sample, "sample")
 
     def frequencies(batches):
-        cache, df = ChunkFeatures(), np.zeros((2, 1 << BITS), np.int32)
+        df = np.zeros((2, 1 << BITS), np.int32)
         for b in slices(batches):
-            for text, p, u in zip(byte_list(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids = cache.of(text)
+            for text, p, u in zip(*(c.to_pylist() for c in b.columns)):
+                ids = np.unique(grams(text))
                 df[0, ids] += p
                 df[1, ids] += u
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], names=["df"])
 
     df, (n_p, n_u) = np.zeros((2, 1 << BITS), np.int64), (sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first())
-    for row in sample.coalesce(FIT_TASKS).mapInArrow(frequencies, "df binary").toLocalIterator():
+    for row in sample.coalesce(FIT_TASKS).mapInArrow(frequencies, "df binary").collect():
         df += np.frombuffer(row.df, np.int32).reshape(2, -1)
     table = np.full(1 << BITS, -1, np.int32)
     if not n_p or not n_u:
@@ -130,10 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
     kept = kept[gain[kept] >= LEAST_GAIN] if gain.max() >= LEAST_GAIN else kept[:16]
     table[kept] = np.arange(len(kept))
 
+    known = Model(table, np.zeros(0), 0.0, prior).features
+
     def features(batches):
-        cache = ChunkFeatures(table)
         for b in slices(batches):
-            ids = pa.array([cache.of(t).astype(np.uint16).tobytes() for t in byte_list(b.column(0))], pa.binary())
+            ids = pa.array([known(t).astype(np.uint16).tobytes() for t in b.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, b.column(1), b.column(2)], names=["ids", "p", "u"])
 
     rows = sample.coalesce(FIT_TASKS).mapInArrow(features, "ids binary, p boolean, u boolean").collect()
@@ -163,12 +151,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     existing columns of those two names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    at, table, weights, bias = len(kept), model.table, model.weights, max(-700.0, model.bias)
+    at, weights, bias = len(kept), model.weights, max(-700.0, model.bias)
 
     def run(batches):
-        cache = ChunkFeatures(table)
         for b in slices(batches):
-            f = np.array([bias + weights[cache.of(t)].sum() for t in byte_list(b.column(at))], float)
+            f = np.array([bias + weights[model.features(t)].sum() for t in b.column(at).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(f, -700, 700)))
             columns = [*b.columns[:at], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])

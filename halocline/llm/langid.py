@@ -76,13 +76,13 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[in
     return profiles
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` plus, under ``names``, the language and its score.
 
     score is 1 less the out-of-place distance as a share of the largest possible. ``und``,
     score 0: text null or without a letter, or no profile. Ties go to the smaller name.
-    Whole texts are used, repeated rows come back repeated, and existing columns ``lang_pred``
-    or ``score`` are replaced.
+    Whole texts are used, repeated rows come back repeated, and existing columns of
+    those names are replaced.
     """
     langs = sorted(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p} | {1 << BITS}), np.int64)
@@ -101,17 +101,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PRO
         best = int(away.argmin())
         return langs[best], 1.0 - float(away[best]) / (profile * len(own))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     at = len(kept)
 
     def run(batches):
         for b in slices(batches):
             found = [predict(t) for t in b.column(at).to_pylist()]
             columns = [*b.columns[:at], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
     own = docs.select(*kept)
     schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    return own.withColumn("__text", F.col("text")).mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
+    return own.withColumn("__text", F.col("text")).mapInArrow(run, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")
 
 

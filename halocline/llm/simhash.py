@@ -235,3 +235,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = G
     classes = connected_components(hamming_edges(values, group_rows))
     label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return made.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: that with the smallest doc_id. Rows
+    without an id belong to no component and stay; of rows that repeat an id one stays."""
+    classes = materialize(near_duplicates(docs, shingle, group_rows), "classes")
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept

@@ -93,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
     document-frequency vector for each of ``FIT_TASKS`` tasks, then the kept features of the
     sample.
     """
+    docs, labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     sample, prior = _sample(docs, labels, train, max_positive, max_unlabelled)
     sample = materialize(sample, "sample")
 
@@ -144,13 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
     return Model(table, w.astype(np.float64), float(b), prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` plus, under ``names``, the score (0 to 1) and the prediction (1 if
+    the score is 0.5 or more).
 
     A null or empty text is scored without features. Repeated rows come back repeated, and
-    existing columns of those two names are replaced.
+    existing columns of those names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c not in names]
     at, weights, bias = len(kept), model.weights, max(-700.0, model.bias)
 
     def run(batches):
@@ -158,8 +160,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             f = np.array([bias + weights[model.features(t)].sum() for t in b.column(at).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(f, -700, 700)))
             columns = [*b.columns[:at], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
     own = docs.select(*kept)
     schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    return own.withColumn("__text", F.col("text")).mapInArrow(run, f"{schema + ', ' if schema else ''}score double, predicted int")
+    return own.withColumn("__text", F.col("text")).mapInArrow(run, f"{schema + ', ' if schema else ''}`{names[0]}` double, `{names[1]}` int")

@@ -129,11 +129,11 @@ def heat_content_total(spark, d):
     return _rounded(reduce.heat_content(derive.field3d(spark, d), derive.points(spark, d), derive.levels(spark), ["time"], temperature="value", depth_max=150, reference_temp=2.0), heat_content=1e15)
 
 
-@register("""SELECT time, point_id, CASE WHEN lat > 0 THEN round(coalesce(sum(CASE WHEN depth <= 700 THEN value * thickness END), 0) * 1025 * 3990 / 7e8, 4) ELSE 0.0 END AS heat_content
+@register("""SELECT time, point_id, CASE WHEN lat > 0 THEN round(coalesce(sum(CASE WHEN depth <= 700 THEN value * thickness END), 0) * 1025 * 3990 / 314159265.0, 4) ELSE 0.0 END AS heat_content
   FROM field3d JOIN levels USING (level) JOIN points USING (point_id) GROUP BY time, point_id, lat""")
 def heat_content_map(spark, d):
     mesh = derive.points(spark, d)
-    return _rounded(reduce.heat_content(derive.field3d(spark, d), mesh, derive.levels(spark), ["time"], temperature="value", depth_max=700, output="map", mask=F.col("lat") > 0), 4, heat_content=7e8)
+    return _rounded(reduce.heat_content(derive.field3d(spark, d), mesh, derive.levels(spark), ["time"], temperature="value", depth_max=700, output="map", mask=F.col("lat") > 0), 4, heat_content=314159265.0)
 
 
 _HOV_DEPTH = """SELECT t.time, l.depth AS y, sum(value * area) / sum(CASE WHEN value IS NOT NULL THEN area END) AS value

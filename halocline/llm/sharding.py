@@ -5,7 +5,8 @@ round, every group's histogram over shards (its neighbours' labels) is joined ba
 members, and a member outside the group's most populated shards asks to move there; a group
 larger than a shard asks for as many shards as it needs. A shard takes linked documents up to
 its capacity: requests beyond the room that is left are turned down by a hash of the group, so
-whole groups move or stay, and shards that are full are asked last in the next round.
+whole groups move or stay. The next round's choice passes over shards without room for the rest
+of a group.
 
 At the end the counts are made equal (at most one apart) by moving the surplus, unlinked
 documents first, to the shards that lack rows. The driver sees only counts per shard. Ranks are
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARDS, ROUNDS, BUCKET_ROWS = 24, 8, 4_096
+#: Linked documents may fill a shard up to 1 / SLACK below its capacity, so that turning down
+#: requests by chance never overfills it.
+SLACK = 32
 
 
 def _bucketed(rows: DataFrame, bucket: Column) -> DataFrame:
@@ -37,14 +41,17 @@ def _lookup(values: list[int], index: Column) -> Column:
     return F.get(F.array(*(F.lit(v).cast("long") for v in values)), index)
 
 
-def _round(state: DataFrame, shards: int, capacity: int, full: list[int], number: int) -> tuple[DataFrame, int]:
+def _round(state: DataFrame, shards: int, capacity: int, held: dict[int, int], number: int) -> tuple[DataFrame, int]:
     """One round of propagation; returns the new state and the number of moves."""
-    crowded = F.col("shard").isin(full) if full else F.lit(False)
+    room = [capacity - held.get(s, 0) for s in range(shards)]
     histogram = state.where("linked").groupBy("text_key", "shard").count()
     group = Window.partitionBy("text_key")
-    ranked = histogram.withColumns(
-        {"place": F.row_number().over(group.orderBy(crowded, F.desc("count"), "shard")), "need": F.ceil(F.sum("count").over(group) / F.lit(capacity))}
-    )
+    sized = histogram.withColumn("total", F.sum("count").over(group)).withColumn("need", F.ceil(F.col("total") / F.lit(capacity)))
+    rest = F.when(F.col("need") == 1, F.col("total") - F.col("count")).otherwise(1)
+    crowded = _lookup(room, F.col("shard")) < rest
+    ranked = sized.withColumn("place", F.row_number().over(group.orderBy(crowded, F.desc("count"), "shard")))
+    if number == 0:  # large groups choose first, while there is room for them
+        ranked = ranked.where(F.col("total") * 4 > capacity)
     wanted = ranked.where("place <= need").groupBy("text_key").agg(F.array_sort(F.collect_list("shard")).alias("targets"))
     asked = state.join(wanted, "text_key", "left")
     choice = F.get("targets", F.pmod(F.xxhash64("doc_id"), F.size("targets")).cast("int"))
@@ -83,11 +90,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     capacity = max(1, -(-total // shards))
     copies = materialize(state.groupBy("text_key").count().where("count > 1").select("text_key", F.lit(True).alias("linked")), "copies")
     state = materialize(state.join(copies, "text_key", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "state")
+    room = capacity - capacity // SLACK
     for number in range(rounds):
         held = {r.shard: r["count"] for r in state.where("linked").groupBy("shard").count().collect()}
-        full = [s for s in range(shards) if held.get(s, 0) >= capacity]
-        state, moves = _round(state, shards, capacity, full, number)
-        if moves * 1000 <= total:
+        state, moves = _round(state, shards, room, held, number)
+        if number and not moves:
             break
     counts = {r.shard: r["count"] for r in state.groupBy("shard").count().collect()}
     aim = [total // shards + (s < total % shards) for s in range(shards)]

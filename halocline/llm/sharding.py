@@ -60,7 +60,7 @@ def _round(state: DataFrame, shards: int, capacity: int, held: dict[int, int], n
     stay, want = [0] * shards, [0] * shards
     for row in asked.where("linked").groupBy("target", (F.col("target") != F.col("shard")).alias("moves")).count().collect():
         (want if row.moves else stay)[row.target] = row["count"]
-    taken = [1_000_000 if want[s] <= capacity - stay[s] else max(0, 1_000_000 * (capacity - stay[s]) // want[s]) for s in range(shards)]
+    taken = [1_000_000 if want[s] <= max(0, capacity - stay[s]) else max(0, 1_000_000 * (capacity - stay[s]) // want[s]) for s in range(shards)]
     lucky = F.pmod(F.xxhash64("text_key", F.lit(number)), F.lit(1_000_000)) < _lookup(taken, F.col("target"))
     whole = F.lit(capacity) >= _lookup(want, F.col("target"))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(1_000_000)) < _lookup(taken, F.col("target"))

@@ -1,20 +1,31 @@
 """Licence scans: Dice coefficient over word bigrams, in DataFrame functions alone.
 
 A text's units are the whole text, its paragraphs (between blank lines) and its lines. Units
-and templates are normalised to words of a-z and 0-9. Two sets of bigrams of sizes a and b
-can reach a Dice coefficient t only if ``t / (2 - t) <= a / b <= (2 - t) / t``, so a unit's
-word count alone rules out most templates, and nearly all units, before a bigram is made.
+and templates are normalised to words of a-z and 0-9. Two sets of bigrams of sizes a (of the
+unit) and b reach a Dice coefficient t only if
+
+* ``t / (2 - t) <= a / b <= (2 - t) / t``, where a is less than the unit's words, so that a unit
+  too short for every template is passed over before a bigram is made, and others meet only
+  the templates of their size, and
+* the unit has at least ``b t / (2 - t)`` of the template's bigrams, so one of any choice of more
+  than the rest. ``anchor_words`` are words whose bigrams are that many in every template: a
+  text without any of them is passed over after one look at its words.
+
 Everything is computed within a row; only hits are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_DICE = 0.8
+#: Words that are anchors only where no other will do.
+COMMON = frozenset("a an and any are as at be by can for from has have if in is it its may not of on one or shall so that the their then these this to under was which who whom with you your".split())
 
 # Customary licence notices and short licence texts, by SPDX identifier.
 TEMPLATES = [
@@ -61,15 +72,38 @@ def _bounds(size: int, least: float) -> tuple[float, float]:
     return size * least / (2 - least), size * (2 - least) / least
 
 
+def anchor_words(grams: list[tuple[str, list[str]]], least: float = LEAST_DICE) -> list[str]:
+    """Words of which every unit that reaches ``least`` for some template has one: taken
+    greedily by the number of bigrams still lacking that they cover, common words last."""
+    spare = [len(b) - math.ceil(len(b) * least / (2 - least) - 1e-9) for _, b in grams]
+    covered: list[set[str]] = [set() for _ in grams]
+    chosen: list[str] = []
+    while open_ := [i for i, c in enumerate(covered) if len(c) <= spare[i]]:
+        gains: Counter = Counter()
+        for i in open_:
+            for bigram in set(grams[i][1]) - covered[i]:
+                gains.update({w: 1 for w in bigram.split()})
+        word = max(gains, key=lambda w: (w not in COMMON, gains[w], w))
+        chosen.append(word)
+        for i, (_, own) in enumerate(grams):
+            covered[i] |= {b for b in own if word in b.split()}
+    return chosen
+
+
 def units(text: Column) -> Column:
     """The whole text, its paragraphs and its lines, lower-cased."""
     low = F.lower(text)
     return F.array_distinct(F.concat(F.array(low), F.split(low, r"\r?\n[ \t]*\r?\n"), F.split(low, r"\r?\n")))
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
     """``docs(doc_id, text)`` -> one row for each document and licence found in it: ``doc_id,
-    license, dice`` (of the best unit) and ``n_units``, how many distinct units match.
+    license, dice`` (of the best unit) and ``n_units``, how many distinct units match. A unit
+    counts for its best licence alone, the alphabetically last on a tie.
 
     Null and empty texts hold no licence; rows without an id are left out; repeated rows of one
     id count as one document; further columns are ignored; an empty table gives an empty
@@ -78,26 +112,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     grams = template_bigrams(templates)
     low = [_bounds(len(b), least) for _, b in grams]
     fewest, most = min(a for a, _ in low), max(b for _, b in low)
-    # A unit with w words has at most w - 1 distinct bigrams; repeats only make that fewer, so
-    # the upper bound is applied to the distinct ones.
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.explode(units(F.col("text"))).alias("unit"))
-    words = F.split(F.trim(F.regexp_replace("unit", "[^a-z0-9]+", " ")), " ")
-    worded = rows.where(F.length("unit") >= 2 * (int(fewest) + 1)).select("doc_id", "unit", words.alias("words"))
-    worded = worded.where((F.size("words") - 1) >= F.lit(fewest))
+    anchors = F.array(*map(F.lit, anchor_words(grams, least)))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    rows = rows.where(F.arrays_overlap(_words(F.lower("text")), anchors))
+    worded = rows.select("doc_id", F.explode(units(F.col("text"))).alias("unit")).select("doc_id", "unit", F.explode(F.array(_words(F.col("unit")))).alias("words"))
     n = F.size("words")
-    bigrams = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    sized = worded.select("doc_id", F.col("unit"), bigrams.alias("bigrams")).where(F.size("bigrams") <= F.lit(most))
+    bigrams = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    sized = worded.where(n - 1 >= F.lit(fewest)).select("doc_id", "unit", F.explode(F.array(F.array_distinct(bigrams))).alias("bigrams"))
     size = F.size("bigrams")
+    sized = sized.where(size <= F.lit(most))
     found = F.array(
         *(
             F.when(
                 size.between(a, b),
-                F.struct(F.lit(name).alias("license"), (F.lit(2.0) * F.size(F.array_intersect("bigrams", F.array(*map(F.lit, own)))) / (size + len(own))).alias("dice")),
+                F.struct((F.lit(2.0) * F.size(F.array_intersect("bigrams", F.array(*map(F.lit, own)))) / (size + len(own))).alias("dice"), F.lit(name).alias("license")),
             )
             for (name, own), (a, b) in zip(grams, low)
         )
     )
-    hits = sized.select("doc_id", "unit", F.explode(F.filter(found, lambda f: f["dice"] >= least)).alias("f"))
+    hits = sized.select("doc_id", "unit", F.explode(F.array(F.array_max(found))).alias("f")).where(F.col("f.dice") >= least)
     return hits.groupBy("doc_id", F.col("f.license").alias("license")).agg(F.round(F.max("f.dice"), 6).alias("dice"), F.count_distinct("unit").alias("n_units"))
 
 
@@ -120,5 +153,7 @@ grams AS (
 scored AS (
   SELECT doc_id, unit, license, 2.0 * len(list_intersect(b, own)) / (len(b) + len(own)) AS dice
   FROM grams, tpl WHERE len(b) BETWEEN len(own) * {least} / (2 - {least}) AND len(own) * (2 - {least}) / {least})
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(DISTINCT unit) AS n_units
-FROM scored WHERE dice >= {least} GROUP BY doc_id, license"""
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(DISTINCT unit) AS n_units FROM (
+  SELECT * FROM scored WHERE dice >= {least}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license DESC) = 1)
+GROUP BY doc_id, license"""

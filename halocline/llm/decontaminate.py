@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 CHARS_PER_EDIT, BLOCK_ITEMS = 16, 20_000
 
@@ -145,5 +145,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_P
 
 def clean(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item."""
-    held = matches(docs, benchmark, chars_per_edit, block_items).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    held = matches(docs, benchmark, chars_per_edit, block_items).select(F.col("doc_id").alias("__held")).distinct()
+    held = materialize(held, "held")  # its size is then known, so Spark broadcasts it if it is small
+    return docs.join(held, docs["doc_id"].cast("long") == F.col("__held"), "left_anti").select(*docs.columns)

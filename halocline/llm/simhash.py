@@ -344,7 +344,7 @@ def deduplicate(docs: DataFrame, classes: DataFrame) -> DataFrame:
     the smallest doc_id. Rows without an id belong to no class and stay; of rows that repeat an
     id one stays."""
     classes = materialize(classes.select("doc_id", "component_id"), "classes")
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -2,9 +2,9 @@
 
 A linear classifier is trained from confirmed toxic texts (P) and unlabelled texts (U) alone.
 With class prior pi and loss l, the risk is ``pi E_P[l(f, +1)] + (E_U[l(f, -1)] - pi E_P[l(f, -1)])``;
-the bracket estimates the risk on clean text and cannot truly be negative, so a minibatch in
-which it is takes a step the other way on that part instead of fitting the unlabelled toxic
-texts as clean.
+the bracket estimates the risk on clean text and cannot truly be negative, so it counts as
+``max(0, ...)``: a minibatch in which it is negative takes a step on the first part alone
+instead of fitting the unlabelled toxic texts as clean.
 
 Features are the presence of 4- to 6-character n-grams of lower-cased letter runs with a mark
 at either end (19-bit hashes made for a whole text at a time from its code points), of which those whose document frequency differs most between P and U are kept: at most ``FEATURES``,
@@ -27,7 +27,7 @@ from .common import letters, materialize, slices
 BITS, ORDERS = 19, (4, 5, 6)
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 24_000
 FEATURES, LEAST_GAIN, FIT_TASKS = 2_048, 8.0, 12
-EPOCHS, BATCH, RATE, DECAY = 40, 2_048, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY = 400, 1_024, 0.02, 1e-4
 _FACTOR, _SPREAD, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1), np.uint32(0x27D4EB2F)
 
 
@@ -80,7 +80,7 @@ def _risk_step(x, is_p, is_u, w, b, prior):
     loss_neg = np.logaddexp(0, f)
     clean = (loss_neg * is_u).sum() / n_u - prior * (loss_neg * is_p).sum() / n_p
     g_neg = toxic * is_u / n_u - prior * toxic * is_p / n_p
-    g = prior * (toxic - 1) * is_p / n_p + g_neg if clean >= 0 else -g_neg
+    g = prior * (toxic - 1) * is_p / n_p + (g_neg if clean >= 0 else 0)
     return x.T @ g, g.sum()
 
 
@@ -132,16 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_positive: int = M
         x[i, np.frombuffer(r.ids, np.uint16)] = 1
     is_p, is_u = np.array([r.p for r in rows], np.float32), np.array([r.u for r in rows], np.float32)
     rng, w, b = np.random.default_rng(7), np.zeros(len(kept), np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            some = order[at : at + BATCH]
-            g, gb = _risk_step(x[some].astype(np.float32), is_p[some], is_u[some], w, b, prior)
-            g, t = g + DECAY * w, t + 1
-            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-            w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-            b -= np.float32(RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    order, at = rng.permutation(len(rows)), 0
+    for t in range(1, STEPS + 1):
+        if at >= len(rows):
+            order, at = rng.permutation(len(rows)), 0
+        some, at = order[at : at + BATCH], at + BATCH
+        g, gb = _risk_step(x[some].astype(np.float32), is_p[some], is_u[some], w, b, prior)
+        g = g + DECAY * w
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        rate = RATE * (1 - t / (STEPS + 1))
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        b -= np.float32(rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6))
     return Model(table, w.astype(np.float64), float(b), prior)
 
 

@@ -252,13 +252,13 @@ def test_toxicity_ignores_held_out_labels_and_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels, train)).count() == 0
 
 
-def test_non_negative_step_turns_round():
-    x = np.ones((4, 1), np.float32)
+def test_risk_is_non_negative():
     p, u = np.array([1, 1, 0, 0], np.float32), np.array([0, 0, 1, 1], np.float32)
     w = np.zeros(1, np.float32)
-    up, _ = toxicity._risk_step(x * np.array([[3], [3], [-3], [-3]], np.float32), p, u, w + 1, 0.0, 0.5)
-    assert up[0] != 0  # the clean part is negative there: its gradient is reversed
-    g, _ = toxicity._risk_step(x, p, u, w, 0.0, 0.5)
+    x = np.array([[3], [3], [-3], [-3]], np.float32)
+    g, _ = toxicity._risk_step(x, p, u, w + 1, 0.0, 0.5)  # the clean part is negative: left out
+    assert g[0] == pytest.approx(0.5 * 3 * (1 / (1 + math.exp(-3)) - 1), rel=1e-4)
+    g, _ = toxicity._risk_step(np.ones((4, 1), np.float32), p, u, w, 0.0, 0.5)
     assert g[0] == pytest.approx(0.5 * -0.5 + 0.5 - 0.5 * 0.5)
 
 

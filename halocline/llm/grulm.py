@@ -12,7 +12,7 @@ The recurrent weights are fitted in numpy by truncated backpropagation on about
 documents run in parallel lanes, a window of ``WINDOW`` tokens at a time, and a lane's state is
 carried from window to window until its document ends, when the lane takes the next one.
 
-Counts of the ``LOCAL_WORDS`` most frequent words travel with the tasks; a document's other
+Counts of at most ``LOCAL_WORDS`` most frequent words travel with the tasks; a document's other
 words are joined with the whole count table.
 """
 
@@ -81,10 +81,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """What the model needs of a written count table: its ``LOCAL_WORDS`` largest rows, two
-    totals and a sum for each bucket come to the driver."""
+    """What the model needs of a written count table: the words whose counts are among the
+    ``LOCAL_WORDS`` largest, two totals and a sum for each bucket come to the driver. A
+    histogram over steps of a sixteenth of a doubling gives the least count that keeps within
+    that number, so no task sends more than belongs to the result."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(LOCAL_WORDS).collect()
+    step = F.floor(F.log2("n") * 16).cast("int")
+    kept, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if kept + r.k > LOCAL_WORDS:
+            break
+        kept, least = kept + r.k, r.step
+    local = (F.col("word") == F.lit(END)) if least is None else (step >= least) | (F.col("word") == F.lit(END))
+    top = sorted(counts.where(local).collect(), key=lambda r: (-r.n, bytes(r.word)))
     words, n = [bytes(r.word) for r in top], np.array([r.n for r in top], np.float64)
     mass = np.zeros(BUCKETS)
     for r in counts.where(F.col("word") != F.lit(END)).groupBy((F.crc32(F.substring("word", 1, PREFIX)) % BUCKETS).alias("b")).agg(F.sum(F.col("n") + 0.5).alias("m")).collect():

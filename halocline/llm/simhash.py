@@ -15,7 +15,9 @@ Three of 64 bits are only met by copies with hardly a change. ``similar_componen
 groups by a Jaccard similarity instead (0.8 of five-word shingles): it makes fingerprints of
 ``WIDE`` bits, whose distance estimates the similarity closely, sorts them in Gray order under
 each of ``TABLES`` samples of ``KEY_BITS`` bits, and compares each with the first ``NEAR`` of the
-next ``LOOK`` with the same sample whose first 64 bits are not far off. Two texts at similarity 0.8 share a sample with 95 % probability, at 0.9
+next ``LOOK`` with the same sample whose first 64 bits are not far off. The first
+``FIRST_TABLES`` samples give components; under the others, only texts of different components
+are compared, so a large group of copies is not compared again under every sample. Two texts at similarity 0.8 share a sample with 95 % probability, at 0.9
 with 99.9 %; work and shuffle are linear in the number of distinct texts.
 """
 
@@ -34,7 +36,7 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 FAN, TREE_FAN, QUERY_ROWS = 8, 64, 4096
 GROUP_ROWS = 2048
 BLOCKS, ROUNDS = DISTANCE + 1, 4
-WIDE, TABLES, KEY_BITS, LOOK, NEAR = 512, 112, 22, 8, 2
+WIDE, TABLES, FIRST_TABLES, KEY_BITS, LOOK, NEAR = 512, 112, 12, 22, 8, 2
 #: Texts at similarity 0.8 differ in ten of the first 64 bits on average, others in 32; this is
 #: over three deviations from either.
 FIRST_BITS = 21
@@ -273,23 +275,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = G
 
 def _neighbours(look: int, near: int, distance: int):
     """Edges between each row and the first ``near`` of the next ``look`` rows of its (table, key),
-    in the given order, whose first words differ by ``distance`` bits at most."""
+    in the given order, whose labels differ and whose first words differ by ``distance`` bits at
+    most."""
 
     def edges(rows: np.ndarray, until: int) -> pa.RecordBatch:
         """Of the rows before ``until``."""
         word, made, pairs = rows[:, 3].view(np.uint64), np.zeros(len(rows), np.int8), [np.zeros((0, 2), np.int64)]
         for gap in range(1, min(look, len(rows) - 1) + 1):
             i = np.flatnonzero((rows[:-gap, :2] == rows[gap:, :2]).all(axis=1) & (made[:-gap] < near))
-            i = i[(i < until) & (np.bitwise_count(word[i] ^ word[i + gap]) <= distance)]
+            i = i[(i < until) & (rows[i, 4] != rows[i + gap, 4]) & (np.bitwise_count(word[i] ^ word[i + gap]) <= distance)]
             made[i] += 1
             pairs.append(rows[np.stack((i, i + gap), axis=1), 2])
         a, b = np.sort(np.concatenate(pairs), axis=1).T
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held = np.zeros((0, 4), np.int64)
+        held = np.zeros((0, 5), np.int64)
         for b in batches:
-            rows = np.concatenate((held, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)))
+            rows = np.concatenate((held, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)))
             until = max(0, len(rows) - look)  # later rows are taken up with the next batch
             yield edges(rows, until)
             held = rows[until:].copy()
@@ -310,40 +313,46 @@ def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similari
     Pairs within ``SLACK`` below the bound count too, which makes up for the estimate's spread.
     Texts without a word are equal to each other; otherwise as ``near_duplicates``.
     """
-    picks = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in range(TABLES)])
-    place = (1 << np.arange(KEY_BITS)).astype(np.int32)
+    place, bound = (1 << np.arange(KEY_BITS)).astype(np.int32), most_bits(similarity - SLACK)
 
     def make(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle) for t in byte_list(b.column(1))], pa.binary())], names=["doc_id", "fp"])
 
-    def keys(batches):
-        for b in slices(batches):
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int32)
-            found = np.stack([bits[:, p] @ place for p in picks], axis=1)
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TABLES)
-            first = pa.array(raw[:, :8].copy().view(np.int64)[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column(1), first, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["rep", "first", "keys"])
-
-    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(make, "doc_id long, fp binary"), "wide")
-    values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
-    tables = values.select("fp", "rep").mapInArrow(keys, "rep long, first long, keys array<int>")
-    dealt = tables.select("rep", "first", gray_rank(F.col("first")).alias("gray"), F.posexplode("keys").alias("table", "key"))
-    ordered = dealt.repartition("table", "key").sortWithinPartitions("table", "key", "gray").select("table", "key", "rep", "first")
-    edges = materialize(ordered.mapInArrow(_neighbours(LOOK, NEAR, FIRST_BITS), "a long, b long").distinct(), "candidates")
-    bound = most_bits(similarity - SLACK)
-
     def verify(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
             keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= bound)
             yield b.select(["a", "b"]).filter(keep)
 
+    def links(labelled: DataFrame, tables: range) -> DataFrame:
+        picks = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in tables])
+
+        def keys(batches):
+            for b in slices(batches):
+                raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int32)
+                found = np.stack([bits[:, p] @ place for p in picks], axis=1)
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(picks))
+                first = pa.array(raw[:, :8].copy().view(np.int64)[:, 0])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), first, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["rep", "label", "first", "keys"])
+
+        keyed = labelled.select("fp", "rep", "label").mapInArrow(keys, "rep long, label long, first long, keys array<int>")
+        dealt = keyed.select("rep", "label", "first", gray_rank(F.col("first")).alias("gray"), F.posexplode("keys").alias("table", "key"))
+        ordered = dealt.repartition("table", "key").sortWithinPartitions("table", "key", "gray", "rep").select("table", "key", "rep", "first", "label")
+        edges = materialize(ordered.mapInArrow(_neighbours(LOOK, NEAR, FIRST_BITS), "a long, b long").distinct(), "candidates")
+        near = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+        return materialize(near, "links")
+
+    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(make, "doc_id long, fp binary"), "wide")
+    values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
     left = values.select(F.col("rep").alias("a"), F.col("fp").alias("x"))
     right = values.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
-    links = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    classes = connected_components(links)
+    sure = links(values.withColumn("label", F.col("rep")), range(FIRST_TABLES))
+    classes = connected_components(sure).withColumnsRenamed({"node": "rep", "component": "label"})
+    labelled = materialize(values.join(classes, "rep", "left").select("fp", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
+    more = links(labelled, range(FIRST_TABLES, TABLES))
+    classes = connected_components(sure.union(more))
     label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return made.join(label, "fp").select("doc_id", "component_id")
 

@@ -13,9 +13,10 @@ node adds to its parent's, and leaves a whole subtree when the sum passes the bo
 
 Three of 64 bits are only met by copies with hardly a change. ``similar_components`` finds
 groups by a Jaccard similarity instead (0.8 of five-word shingles): it makes fingerprints of
-``WIDE`` bits, whose distance estimates the similarity closely, sorts them in Gray order under
+``WIDE`` bits, sorts them in Gray order under
 each of ``TABLES`` samples of ``KEY_BITS`` bits, and compares each with the first ``NEAR`` of the
-next ``LOOK`` with the same sample whose first 64 bits are not far off. The first
+next ``LOOK`` with the same sample whose first 64 bits are not far off, by the exact similarity
+of their shingle sets. The first
 ``FIRST_TABLES`` samples give components; under the others, only texts of different components
 are compared, so a large group of copies is not compared again under every sample. Two texts at similarity 0.8 share a sample with 95 % probability, at 0.9
 with 99.9 %; work and shuffle are linear in the number of distinct texts.
@@ -40,7 +41,7 @@ WIDE, TABLES, FIRST_TABLES, KEY_BITS, LOOK, NEAR = 512, 112, 12, 22, 8, 2
 #: Texts at similarity 0.8 differ in ten of the first 64 bits on average, others in 32; this is
 #: over three deviations from either.
 FIRST_BITS = 21
-SIMILAR_SHINGLE, SIMILARITY, SLACK = 5, 0.8, 0.03
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -301,29 +302,56 @@ def _neighbours(look: int, near: int, distance: int):
     return run
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of two wide fingerprints at a Jaccard similarity: their angle is that of
-    sets of equal size."""
-    return int(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def fewest_shared(m, n, similarity: float):
+    """Least number of shingles that sets of sizes m and n share at a Jaccard similarity."""
+    return np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)``, ids in ``docs(doc_id long, text)``, whose shingle sets have at
+    least the Jaccard similarity. The sets are made again for the texts that occur."""
+
+    def make(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t, shingle).tobytes() for t in byte_list(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "own"])
+
+    def verify(batches):
+        for b in slices(batches):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")
+                keep.append(np.count_nonzero(both[1:] == both[:-1]) >= fewest_shared(len(x), len(y), similarity))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(make, "doc_id long, own binary").distinct(), "sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
 def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by estimated Jaccard similarity.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by the Jaccard similarity of
+    shingle sets, verified on the sets themselves.
 
-    Pairs within ``SLACK`` below the bound count too, which makes up for the estimate's spread.
     Texts without a word are equal to each other; otherwise as ``near_duplicates``.
     """
-    place, bound = (1 << np.arange(KEY_BITS)).astype(np.int32), most_bits(similarity - SLACK)
+    place = (1 << np.arange(KEY_BITS)).astype(np.int32)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     def make(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle) for t in byte_list(b.column(1))], pa.binary())], names=["doc_id", "fp"])
-
-    def verify(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= bound)
-            yield b.select(["a", "b"]).filter(keep)
+            texts = byte_list(b.column(1))
+            fps = pa.array([wide_fingerprint(t, shingle) for t in texts], pa.binary())
+            sigs = pa.array([xxhash.xxh3_128_digest(shingle_set(t, shingle).tobytes()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, sigs], names=["doc_id", "fp", "sig"])
 
     def links(labelled: DataFrame, tables: range) -> DataFrame:
         picks = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in tables])
@@ -341,20 +369,17 @@ def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similari
         dealt = keyed.select("rep", "label", "first", gray_rank(F.col("first")).alias("gray"), F.posexplode("keys").alias("table", "key"))
         ordered = dealt.repartition("table", "key").sortWithinPartitions("table", "key", "gray", "rep").select("table", "key", "rep", "first", "label")
         edges = materialize(ordered.mapInArrow(_neighbours(LOOK, NEAR, FIRST_BITS), "a long, b long").distinct(), "candidates")
-        near = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-        return materialize(near, "links")
+        return similar_pairs(edges, rows, shingle, similarity)
 
-    made = materialize(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(make, "doc_id long, fp binary"), "wide")
-    values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
-    left = values.select(F.col("rep").alias("a"), F.col("fp").alias("x"))
-    right = values.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
+    made = materialize(rows.mapInArrow(make, "doc_id long, fp binary, sig binary"), "wide")
+    values = materialize(made.groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("sig", F.col("m.doc_id").alias("rep"), "m.fp"), "values")
     sure = links(values.withColumn("label", F.col("rep")), range(FIRST_TABLES))
     classes = connected_components(sure).withColumnsRenamed({"node": "rep", "component": "label"})
     labelled = materialize(values.join(classes, "rep", "left").select("fp", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
     more = links(labelled, range(FIRST_TABLES, TABLES))
     classes = connected_components(sure.union(more))
-    label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(label, "fp").select("doc_id", "component_id")
+    label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+    return made.join(label, "sig").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -12,18 +12,21 @@ turn. A query descends level by level, adding up the differences against the bit
 node adds to its parent's, and leaves a whole subtree when the sum passes the bound.
 
 Three of 64 bits are only met by copies with hardly a change. ``similar_components`` finds
-groups by a Jaccard similarity instead (0.8 of five-word shingles): it makes fingerprints of
-``WIDE`` bits, sorts them in Gray order under
-each of ``TABLES`` samples of ``KEY_BITS`` bits, and compares each with the first ``NEAR`` of the
-next ``LOOK`` with the same sample whose first 64 bits are not far off, by the exact similarity
-of their shingle sets. The first
-``FIRST_TABLES`` samples give components; under the others, only texts of different components
-are compared, so a large group of copies is not compared again under every sample. Two texts at similarity 0.8 share a sample with 95 % probability, at 0.9
-with 99.9 %; work and shuffle are linear in the number of distinct texts.
+groups by a Jaccard similarity instead (0.8 of five-word shingles), exactly, by prefix
+filtering. Shingles stand in one order for all texts, frequent ones last (frequencies are
+estimated, which decides the cost alone). Of two sets at the similarity, the first common
+shingle stands so early in both that enough can follow it; so each text meets the others under
+its first shingles only, and texts that share a template do not meet by the template. Under a
+shingle, pairs are taken by their distance in the order of size: neighbours first, then in
+``STEPS`` those further apart, up to all, each time only pairs whose components still differ
+and whose sizes and positions allow the similarity. No pair that may reach it is left out.
 """
 
 from __future__ import annotations
 
+import zlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,11 +40,11 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 FAN, TREE_FAN, QUERY_ROWS = 8, 64, 4096
 GROUP_ROWS = 2048
 BLOCKS, ROUNDS = DISTANCE + 1, 4
-WIDE, TABLES, FIRST_TABLES, KEY_BITS, LOOK, NEAR = 512, 112, 12, 22, 8, 2
-#: Texts at similarity 0.8 differ in ten of the first 64 bits on average, others in 32; this is
-#: over three deviations from either.
-FIRST_BITS = 21
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Bounds of the distances that a round compares; the last round has no upper one.
+STEPS = (1, 2, 8, 64)
+#: One of so many documents is counted for the order; shingles met less often there are rare.
+COUNTED, LEAST_COUNT, MOST_FREQUENT = 8, 4, 1_000_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -75,17 +78,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(_majority(hashes[:, None]).tobytes(), "little") if len(hashes) else 0
 
 
-def wide_fingerprint(text: bytes, shingle: int = SIMILAR_SHINGLE) -> bytes:
-    """SimHash of ``WIDE`` bits: each shingle's hash is spread over further words by mixing."""
-    hashes = shingle_hashes(text, shingle)
-    if not len(hashes):
-        return bytes(WIDE // 8)
-    x = hashes[:, None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return _majority(x ^ (x >> np.uint64(31))).tobytes()
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp)`` of every row with an id, whole texts; fp is the signed long with the
     fingerprint's bits. Null text counts as empty."""
@@ -274,34 +266,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = G
     return made.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _neighbours(look: int, near: int, distance: int):
-    """Edges between each row and the first ``near`` of the next ``look`` rows of its (table, key),
-    in the given order, whose labels differ and whose first words differ by ``distance`` bits at
-    most."""
-
-    def edges(rows: np.ndarray, until: int) -> pa.RecordBatch:
-        """Of the rows before ``until``."""
-        word, made, pairs = rows[:, 3].view(np.uint64), np.zeros(len(rows), np.int8), [np.zeros((0, 2), np.int64)]
-        for gap in range(1, min(look, len(rows) - 1) + 1):
-            i = np.flatnonzero((rows[:-gap, :2] == rows[gap:, :2]).all(axis=1) & (made[:-gap] < near))
-            i = i[(i < until) & (rows[i, 4] != rows[i + gap, 4]) & (np.bitwise_count(word[i] ^ word[i + gap]) <= distance)]
-            made[i] += 1
-            pairs.append(rows[np.stack((i, i + gap), axis=1), 2])
-        a, b = np.sort(np.concatenate(pairs), axis=1).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def run(batches):
-        held = np.zeros((0, 5), np.int64)
-        for b in batches:
-            rows = np.concatenate((held, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)))
-            until = max(0, len(rows) - look)  # later rows are taken up with the next batch
-            yield edges(rows, until)
-            held = rows[until:].copy()
-        yield edges(held, len(held))
-
-    return run
-
-
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Distinct shingle hashes of a text, sorted."""
     return np.unique(shingle_hashes(text, shingle))
@@ -312,74 +276,199 @@ def fewest_shared(m, n, similarity: float):
     return np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)``, ids in ``docs(doc_id long, text)``, whose shingle sets have at
-    least the Jaccard similarity. The sets are made again for the texts that occur."""
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, packed)``: compressed texts of ``docs(doc_id long, text)`` with an id in
+    ``ids(doc_id)``; they are smaller than their shingle sets."""
 
     def make(batches):
         for b in slices(batches):
-            sets = [shingle_set(t, shingle).tobytes() for t in byte_list(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t, 1) for t in byte_list(b.column(1))], pa.binary())], names=["doc_id", "packed"])
+
+    packed = docs.select("doc_id", "text").mapInArrow(make, "doc_id long, packed binary")
+    return materialize(packed.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"]), "texts")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)``, ids in ``texts(doc_id, packed)``, whose shingle sets have at
+    least the Jaccard similarity."""
 
     def verify(batches):
+        own = lru_cache(64)(lambda packed: shingle_set(zlib.decompress(packed), shingle))
         for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = own(x), own(y)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 keep.append(np.count_nonzero(both[1:] == both[:-1]) >= fewest_shared(len(x), len(y), similarity))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(make, "doc_id long, own binary").distinct(), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
+    left, right = (texts.select(F.col("doc_id").alias(k), F.col("packed").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, sorted, and their estimated counts, of ``rows(doc_id,
+    text)``: at most ``MOST_FREQUENT`` by a threshold on the count."""
+
+    def make(batches):
+        for b in slices(batches):
+            found = [shingle_set(t, shingle) for t in byte_list(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["s"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0).select("text")
+    counts = materialize(some.mapInArrow(make, "s long").groupBy("s").count().where(F.col("count") >= LEAST_COUNT), "counts")
+    step = F.floor(F.log2("count") * 16).cast("int")
+    kept, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if kept + r.k > MOST_FREQUENT:
+            break
+        kept, least = kept + r.k, r.step
+    found = counts.where(step >= least).toArrow()
+    hashes = found.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column(1).to_numpy()[order]
+
+
+def first_shingles(own: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a sorted shingle set, in the common order, of which two sets at the similarity
+    share one."""
+    n = len(own)
+    if not n:
+        return own
+    weight = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        weight = np.where(frequent[at] == own, counts[at], 0)
+    return own[np.lexsort((own, weight))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def _may_reach(m, i, n, j, similarity: float):
+    """Whether sets of sizes m and n can reach the similarity if their first common shingle
+    stands at i and j."""
+    return np.minimum(m - i, n - j) >= fewest_shared(m, n, similarity)
+
+
+def _shared(batches):
+    """``(token, n, rep, at)`` in order -> the rows whose token others have too, with their rank
+    under it and how many there are."""
+
+    def out(rows):
+        first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        size = np.diff(np.r_[first, len(rows)])
+        rank, size = np.arange(len(rows)) - np.repeat(first, size), np.repeat(size, size)
+        keep = size > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*rows.T, rank, size)], names=["token", "n", "rep", "at", "rank", "size"])
+
+    kept: list[np.ndarray] = []
+    for b in batches:
+        rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+        if not len(rows):
+            continue
+        kept.append(rows)
+        if kept[0][0, 0] == rows[-1, 0]:
+            continue  # one token's rows so far
+        rows = np.concatenate(kept)
+        cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+        kept = [rows[cut:].copy()]
+        yield out(rows[:cut])
+    if kept:
+        yield out(np.concatenate(kept))
+
+
+def _apart(low: int, high: int | None, similarity: float):
+    """Pairs at ranks ``low`` to ``high`` - 1 apart under a token, without an upper bound if
+    None, of different labels that may reach the similarity."""
+
+    def pairs(rows):
+        token, rank, rep, n, at, label = rows.T
+        made = [np.zeros((0, 2), np.int64)]
+
+        def take(i, j):
+            ok = (label[i] != label[j]) & _may_reach(n[i], at[i], n[j], at[j], similarity)
+            if ok.any():
+                made.append(np.unique(np.sort(np.stack((rep[i][ok], rep[j][ok]), axis=1), axis=1), axis=0))
+
+        if high is not None:
+            for gap in range(low, min(high, len(rows))):
+                i = np.flatnonzero(token[:-gap] == token[gap:])
+                if not len(i):
+                    break
+                take(i, i + gap)
+        else:
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            for a, b in zip(first.tolist(), np.r_[first[1:], len(rows)].tolist()):
+                names, code, count = np.unique(label[a:b], return_inverse=True, return_counts=True)
+                if len(names) == 1:
+                    continue
+                most = count.argmax()
+                odd = code != most  # every pair of different labels has one of these
+                for i in np.flatnonzero(odd).tolist():
+                    j = np.flatnonzero((np.abs(np.arange(b - a) - i) >= low) & (~odd | (np.arange(b - a) > i)))
+                    take(np.full(len(j), a + i), a + j)
+        found = np.unique(np.concatenate(made), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], names=["a", "b"])
+
+    def run(batches):
+        kept: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
+            if not len(rows):
+                continue
+            kept.append(rows)
+            held += len(rows)
+            if held < 20_000 or kept[0][0, 0] == rows[-1, 0]:
+                continue
+            rows = np.concatenate(kept)
+            cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+            kept, held = [rows[cut:].copy()], len(rows) - cut
+            yield pairs(rows[:cut])
+        if held:
+            yield pairs(np.concatenate(kept))
+
+    return run
+
+
 def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by the Jaccard similarity of
-    shingle sets, verified on the sets themselves.
+    shingle sets: all pairs at the similarity or above are linked, and no others.
 
     Texts without a word are equal to each other; otherwise as ``near_duplicates``.
     """
-    place = (1 << np.arange(KEY_BITS)).astype(np.int32)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    frequent, counts = frequent_shingles(rows, shingle)
 
     def make(batches):
         for b in slices(batches):
-            texts = byte_list(b.column(1))
-            fps = pa.array([wide_fingerprint(t, shingle) for t in texts], pa.binary())
-            sigs = pa.array([xxhash.xxh3_128_digest(shingle_set(t, shingle).tobytes()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, sigs], names=["doc_id", "fp", "sig"])
-
-    def links(labelled: DataFrame, tables: range) -> DataFrame:
-        picks = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in tables])
-
-        def keys(batches):
-            for b in slices(batches):
-                raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int32)
-                found = np.stack([bits[:, p] @ place for p in picks], axis=1)
-                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(picks))
-                first = pa.array(raw[:, :8].copy().view(np.int64)[:, 0])
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), first, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["rep", "label", "first", "keys"])
-
-        keyed = labelled.select("fp", "rep", "label").mapInArrow(keys, "rep long, label long, first long, keys array<int>")
-        dealt = keyed.select("rep", "label", "first", gray_rank(F.col("first")).alias("gray"), F.posexplode("keys").alias("table", "key"))
-        ordered = dealt.repartition("table", "key").sortWithinPartitions("table", "key", "gray", "rep").select("table", "key", "rep", "first", "label")
-        edges = materialize(ordered.mapInArrow(_neighbours(LOOK, NEAR, FIRST_BITS), "a long, b long").distinct(), "candidates")
-        return similar_pairs(edges, rows, shingle, similarity)
-
-    made = materialize(rows.mapInArrow(make, "doc_id long, fp binary, sig binary"), "wide")
-    values = materialize(made.groupBy("sig").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("sig", F.col("m.doc_id").alias("rep"), "m.fp"), "values")
-    sure = links(values.withColumn("label", F.col("rep")), range(FIRST_TABLES))
-    classes = connected_components(sure).withColumnsRenamed({"node": "rep", "component": "label"})
-    labelled = materialize(values.join(classes, "rep", "left").select("fp", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
-    more = links(labelled, range(FIRST_TABLES, TABLES))
-    classes = connected_components(sure.union(more))
+            sets = [shingle_set(t, shingle) for t in byte_list(b.column(1))]
+            sigs = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            firsts = pa.array([first_shingles(x, similarity, frequent, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sigs, pa.array([len(x) for x in sets], pa.int64()), firsts], names=["doc_id", "sig", "n", "firsts"])
+
+    made = materialize(rows.mapInArrow(make, "doc_id long, sig binary, n long, firsts array<long>"), "sets")
+    values = materialize(made.groupBy("sig").agg(F.min("doc_id").alias("rep")), "values")
+    one = made.join(values, (made["sig"] == values["sig"]) & (made["doc_id"] == values["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), "n", "firsts")
+    dealt = one.select("n", "rep", F.posexplode("firsts").alias("at", "token")).select("token", "n", "rep", F.col("at").cast("long").alias("at"))
+    ordered = dealt.repartition("token").sortWithinPartitions("token", "n", "rep", "at")
+    shared = materialize(ordered.mapInArrow(_shared, "token long, n long, rep long, at long, rank long, size long"), "shared")
+    texts = packed_texts(rows, shared.select(F.col("rep").alias("doc_id")).distinct())
+    links, classes = None, None
+    for low, high in zip(STEPS, (*STEPS[1:], None)):
+        open_ = shared.where(F.col("size") > low)
+        if classes is None:
+            open_ = open_.withColumn("label", F.col("rep"))
+        else:
+            open_ = open_.join(classes.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        ready = open_.select("token", "rank", "rep", "n", "at", "label").repartition("token").sortWithinPartitions("token", "rank")
+        found = materialize(ready.mapInArrow(_apart(low, high, similarity), "a long, b long").distinct(), "candidates")
+        if classes is not None and found.limit(1).count() == 0:
+            continue
+        near = similar_pairs(found, texts, shingle, similarity)
+        links = near if links is None else links.union(near)
+        classes = materialize(connected_components(links), "components")
     label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(label, "sig").select("doc_id", "component_id")
+    return made.select("doc_id", "sig").join(label, "sig").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, classes: DataFrame) -> DataFrame:

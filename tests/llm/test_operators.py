@@ -148,6 +148,33 @@ def test_similar_components_hold_the_bound_on_both_sides(spark):
     assert not false and len(missed) <= 12
 
 
+def test_similar_components_finds_pairs_within_a_template_family(spark):
+    rng = random.Random(6)
+    template, rows = [f"t{k}" for k in range(200)], []
+    for i in range(400):  # texts that share the template's stretches, and every fourth a near copy
+        words = list(template)
+        for k in rng.sample(range(0, 200, 5), 12):
+            words[k : k + 5] = [f"o{i}_{k}_{j}" for j in range(5)]
+        rows.append((len(rows), " ".join(words)))
+        if i % 4 == 0:
+            words[rng.randrange(20, 180)] = f"c{i}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(table(spark, rows)).collect()}
+    assert got == {i: root(i) for i in range(len(sets))} and len(pairs) >= 100
+
+
 def test_multiset_edit_and_likeness(spark, texts):
     rows = sorted(texts.items())[:60]
     got = {r.doc_id: r for r in multiset.fingerprints(table(spark, rows)).collect()}

@@ -7,8 +7,10 @@ class-factored softmax: symbols by falling frequency stand in classes of equal s
 frequency, and a symbol's probability is its class's times its own within the class. Biases
 start at the corpus frequencies.
 
-The recurrent weights are fitted in numpy by truncated backpropagation on about
-``FIT_TOKENS`` training tokens, drawn evenly by document. Scoring covers every whole document:
+The recurrent weights are fitted in numpy by truncated backpropagation over all training
+documents. About ``FIT_TOKENS`` tokens, drawn evenly by document, give the driver a start; in
+each of ``SWEEPS`` rounds every partition then goes on from the common weights over all of its
+documents, ``CHUNK`` tokens at a time, and the next weights are the means by tokens. Scoring covers every whole document:
 documents run in parallel lanes, a window of ``WINDOW`` tokens at a time, and a lane's state is
 carried from window to window until its document ends, when the lane takes the next one.
 
@@ -35,6 +37,7 @@ WORDS, BUCKETS, PREFIX, CLASSES = 3_840, 256, 3, 64
 HIDDEN, WINDOW, LANES = 32, 32, 512
 LOCAL_WORDS, FLUSH_WORDS = 131_072, 200_000
 FIT_TOKENS, FIT_LANES, EPOCHS, RATE = 1_500_000, 64, 2, 8e-3
+SWEEPS, CHUNK, SWEEP_LANES, SWEEP_RATE = 1, 2_000_000, 512, 2e-3
 END = b"\n"
 
 
@@ -220,23 +223,23 @@ class Gru:
         g |= {"u": du, "bx": flat.sum(axis=0), "wx": self.p["emb"].T @ per_symbol, "emb": per_symbol @ self.p["wx"].T}
         return float(loss), {k: v / y.size for k, v in g.items()}, last
 
-    def fit(self, stream: np.ndarray) -> list[float]:
+    def fit(self, stream: np.ndarray, most_lanes: int = FIT_LANES, epochs: int = EPOCHS, top: float = RATE) -> list[float]:
         """Train on a stream of symbols (each document closed by 0); mean loss by epoch."""
-        lanes = max(1, min(FIT_LANES, len(stream) // (4 * WINDOW)))
+        lanes = max(1, min(most_lanes, len(stream) // (4 * WINDOW)))
         steps = len(stream) // lanes
         if steps < 2:
             return []
         y = stream[: lanes * steps].reshape(lanes, steps).T
         x = np.vstack((np.zeros((1, lanes), y.dtype), y[:-1]))
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        t, losses, all_steps = 0, [], EPOCHS * -(-steps // WINDOW)
-        for _ in range(EPOCHS):
+        t, losses, all_steps = 0, [], epochs * -(-steps // WINDOW)
+        for _ in range(epochs):
             h, seen = np.zeros((lanes, HIDDEN), np.float32), []
             for at in range(0, steps, WINDOW):
                 loss, g, h = self.gradients(x[at : at + WINDOW], y[at : at + WINDOW], h)
                 seen.append(loss)
                 t += 1
-                rate = RATE * (1 - 0.95 * t / all_steps)
+                rate = top * (1 - 0.95 * t / all_steps)
                 for k, a in self.p.items():
                     d = np.clip(g[k], -0.1, 0.1)
                     m[k] += 0.1 * (d - m[k])
@@ -305,8 +308,8 @@ def _symbols(v: Vocabulary, ids: np.ndarray, words: list[bytes]) -> tuple[np.nda
 
 
 def fit(docs: DataFrame, v: Vocabulary, fit_tokens: int = FIT_TOKENS) -> Gru:
-    """Train on documents of ``docs(doc_id, text)`` drawn by a hash of their id, so that about
-    ``fit_tokens`` tokens come to the driver, as symbols."""
+    """Train on all documents of ``docs(doc_id, text)``: those drawn by a hash of their id, about
+    ``fit_tokens`` tokens as symbols, on the driver, and then all where they are."""
     share = min(1.0, fit_tokens / max(1, v.total))
     drawn = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000))
 
@@ -319,9 +322,51 @@ def fit(docs: DataFrame, v: Vocabulary, fit_tokens: int = FIT_TOKENS) -> Gru:
     rows = sorted(bytes(r.s) for r in drawn.select("text").mapInArrow(run, "s binary").collect())
     model, order = Gru(v.frequency, v.class_start), np.random.default_rng(5).permutation(len(rows))
     model.fit(np.frombuffer(b"".join(rows[i] for i in order), np.uint16).astype(np.int64))
+    for _ in range(SWEEPS if share < 1 else 0):
+        model.p, _ = sweep(docs, v, model)
     return model
 
 
+def sweep(docs: DataFrame, v: Vocabulary, model: Gru) -> tuple[dict, int]:
+    """Weights after every partition of ``docs(text)`` has trained from those of ``model`` over
+    all of its documents, their means by tokens, and the number of tokens. Each task writes its
+    weights times its tokens as one row for each value; they are
+    summed in Spark, so what reaches the driver is the size of the model."""
+    sizes = {k: a.size for k, a in model.p.items()}
+
+    def run(batches):
+        encode, held, own, tokens = _encoder(v), [], 0, 0
+        mine = Gru(v.frequency, v.class_start)
+        mine.p = {k: a.copy() for k, a in model.p.items()}
+
+        def train():
+            nonlocal own, tokens
+            mine.fit(np.concatenate(held).astype(np.int64), SWEEP_LANES, 1, SWEEP_RATE)
+            tokens, own = tokens + own, 0
+            held.clear()
+
+        for b in slices(batches):
+            for t in byte_list(b.column(0)):
+                held.append(_symbols(v, *encode(t))[0].astype(np.uint16))
+                own += len(held[-1])
+                if own >= CHUNK:
+                    train()
+        if held:
+            train()
+        if tokens:
+            flat = np.concatenate([mine.p[k].ravel().astype(np.float64) for k in sizes]) * tokens
+            at = np.arange(len(flat) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(flat, tokens))], names=["at", "x"])
+
+    summed = docs.select("text").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    if not summed.num_rows:
+        return model.p, 0
+    flat = np.zeros(sum(sizes.values()) + 1)
+    flat[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    parts = np.split(flat[:-1] / flat[-1], np.cumsum(list(sizes.values()))[:-1])
+    return {k: x.reshape(model.p[k].shape).astype(np.float32) for k, x in zip(sizes, parts)}, int(flat[-1])
+
+
 def score(docs: DataFrame, train: Column, fit_tokens: int = FIT_TOKENS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_tokens, n_known, train_tokens, base_score,
     score``: log10 probabilities of every whole document, learnt from the rows that meet

@@ -386,6 +386,27 @@ def test_language_model_query(spark, texts, odd, empty):
     assert grulm.score(odd, F.lit(False)).count() == len(ODD)
 
 
+def test_language_model_learns_from_all_training_rows(spark):
+    rng = random.Random(9)
+    rows = [(d, " ".join(f"w{rng.randrange(40)}" for _ in range(60)) + " alpha beta gamma" * 5) for d in range(60)]
+    docs = table(spark, rows).repartition(3)
+    v = grulm.vocabulary(grulm.count_words(docs))
+    start = grulm.Gru(v.frequency, v.class_start)
+    after, tokens = grulm.sweep(docs, v, start)
+    assert tokens == v.total == sum(len(t.split()) + 1 for _, t in rows)
+    few = grulm.fit(docs, v, fit_tokens=200)  # the start is from three documents, the rest from all
+    stream = np.concatenate([grulm._symbols(v, *grulm._encoder(v)(t.encode()))[0] for _, t in rows])
+
+    def total(model):
+        return sum(lp for _, lp in model.score(iter([(0, stream)])))
+
+    first = total(start)
+    start.p = after
+    assert total(start) > first and total(few) > first
+    again = grulm.Gru(v.frequency, v.class_start)
+    assert any(not np.array_equal(again.p[k], few.p[k]) for k in again.p)
+
+
 def test_loser_tree_merges():
     rng = random.Random(8)
     for _ in range(200):

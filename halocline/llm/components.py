@@ -3,7 +3,8 @@
 Every vertex holds a parent no larger than itself. A round lets it take the smallest
 grandparent seen at its neighbours, passes that on to its own parent (hooking), and jumps to
 its grandparent (shortcutting), so the rounds grow with the logarithm of a component's
-diameter. No edge list, label or component reaches the driver: only a count of changes does.
+diameter. A parent with many children meets them by broadcast (``keyed_join``), so that no task
+gets all of a large component. No edge list, label or component reaches the driver: only a count of changes does.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("p")), "parents")
     while True:
         up = parent.select(F.col("node").alias("p"), F.col("p").alias("gp"))
-        jumped = parent.join(up, "p").select("node", "p", "gp")
+        jumped = keyed_join(parent, up, "p").select("node", "p", "gp")
         seen = (
             both.join(jumped.select(F.col("node").alias("b"), "gp"), "b")
             .groupBy(F.col("a").alias("node"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import keep_rows, slices
 
 CHARS_PER_EDIT, BLOCK_ITEMS = 16, 20_000
 
@@ -113,6 +113,15 @@ class Matcher:
             yield self.items[number][0], distance, start, stop
 
 
+def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS):
+    """The items ``(item_id, text)`` that have both, in lists of about ``block_items``."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    blocks = -(-items.count() // block_items)
+    for number in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        yield [tuple(r) for r in part.collect()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``docs(doc_id, text)`` and ``benchmark(item_id, text)`` -> one row for each document and
     item that it holds: ``doc_id, item_id, distance, start, end`` (in the normalised text).
@@ -121,8 +130,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_P
     give repeated matches; further columns are ignored; with an empty table the result is
     empty.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    blocks = -(-items.count() // block_items)
     names, kinds = ["doc_id", "item_id", "distance", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     schema, found = "doc_id long, item_id long, distance int, start long, end long", None
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
@@ -136,15 +143,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_P
 
         return rows.mapInArrow(run, schema)
 
-    for number in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        hits = scan([tuple(r) for r in part.collect()])
+    for block in item_blocks(benchmark, block_items):
+        hits = scan(block)
         found = hits if found is None else found.union(hits)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item."""
-    held = matches(docs, benchmark, chars_per_edit, block_items).select(F.col("doc_id").alias("__held")).distinct()
-    held = materialize(held, "held")  # its size is then known, so Spark broadcasts it if it is small
-    return docs.join(held, docs["doc_id"].cast("long") == F.col("__held"), "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, whose text holds no test item.
+
+    Each row is judged by its own text, so null and repeated ids make no difference. Null and
+    empty texts and items match nothing; repeated rows stay repeated or go together; with an
+    empty benchmark every row stays.
+    """
+    for block in item_blocks(benchmark, block_items):
+        docs = keep_rows(docs, ["text"], lambda block=block: _lacks(Matcher(block, chars_per_edit)))
+    return docs
+
+
+def _lacks(matcher: Matcher):
+    return lambda text: text is None or next(matcher.find(text), None) is None

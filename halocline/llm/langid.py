@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import letters, slices
+from .common import add_columns, keep_rows, letters, slices
 
 PROFILE, BITS = 400, 18
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -50,8 +50,8 @@ def _ranked(found: np.ndarray, most: int) -> np.ndarray:
 def train_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
     """``docs(text, lang)`` -> language -> its n-grams by rank, counted over all rows.
 
-    Rows with a null text or lang are left out. What comes to the driver is ``profile`` numbers
-    for each language.
+    Rows with a null text or lang are left out, repeated rows count as often, and an empty table
+    has no languages. What comes to the driver is ``profile`` numbers for each language.
     """
 
     def count(batches):
@@ -76,14 +76,8 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[in
     return profiles
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of ``docs`` plus, under ``names``, the language and its score.
-
-    score is 1 less the out-of-place distance as a share of the largest possible. ``und``,
-    score 0: text null or without a letter, or no profile. Ties go to the smaller name.
-    Whole texts are used, repeated rows come back repeated, and existing columns of
-    those names are replaced.
-    """
+def _predictor(profiles: dict[str, list[int]], profile: int):
+    """text -> (language, score) by the smallest out-of-place distance."""
     langs = sorted(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p} | {1 << BITS}), np.int64)
     ranks = np.full((len(langs), len(known)), -1, np.int32)
@@ -101,17 +95,33 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PRO
         best = int(away.argmin())
         return langs[best], 1.0 - float(away[best]) / (profile * len(own))
 
-    kept = [c for c in docs.columns if c not in names]
-    at = len(kept)
+    return predict
+
+
+def identify(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` plus, under ``names``, the language and its score.
+
+    score is 1 less the out-of-place distance as a share of the largest possible. ``und``,
+    score 0: text null or without a letter, or no profile. Ties go to the smaller name.
+    Whole texts are used, repeated rows come back repeated, an empty table gives an empty result,
+    and existing columns of those names, in whatever case, are replaced.
+    """
+    predict = _predictor(profiles, profile)
+
+    def make(texts):
+        found = [predict(t) for t in texts]
+        return pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())
+
+    return add_columns(docs, ["text"], lambda: make, names, ("string", "double"))
 
-    def run(batches):
-        for b in slices(batches):
-            found = [predict(t) for t in b.column(at).to_pylist()]
-            columns = [*b.columns[:at], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    own = docs.select(*kept)
-    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    return own.withColumn("__text", F.col("text")).mapInArrow(run, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")
+def clean(docs: DataFrame, profiles: dict[str, list[int]], least: float, profile: int = PROFILE) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose language can be told: a
+    text with a letter and a score of ``least`` or more."""
+    predict = _predictor(profiles, profile)
 
+    def decide(text):
+        lang, score = predict(text)
+        return lang != "und" and score >= least
 
+    return keep_rows(docs, ["text"], lambda: decide)

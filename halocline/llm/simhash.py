@@ -11,15 +11,20 @@ the bits common to all of them (a mask and a pattern); runs of eight nodes share
 turn. A query descends level by level, adding up the differences against the bits that each
 node adds to its parent's, and leaves a whole subtree when the sum passes the bound.
 
-Three of 64 bits are only met by copies with hardly a change. ``similar_components`` finds
-groups by a Jaccard similarity instead (0.8 of five-word shingles), exactly, by prefix
-filtering. Shingles stand in one order for all texts, frequent ones last (frequencies are
-estimated, which decides the cost alone). Of two sets at the similarity, the first common
-shingle stands so early in both that enough can follow it; so each text meets the others under
-its first shingles only, and texts that share a template do not meet by the template. Under a
-shingle, pairs are taken by their distance in the order of size: neighbours first, then in
-``STEPS`` those further apart, up to all, each time only pairs whose components still differ
-and whose sizes and positions allow the similarity. No pair that may reach it is left out.
+Three of 64 bits are only met by copies with hardly a change: of pairs at a Jaccard similarity
+of 0.8 to 0.9 (five-word shingles) they find one in forty. ``similar_components`` therefore
+takes two steps. The Gray-order index links the near copies that it finds, each link verified
+on the shingle sets. What is still apart is then searched exactly, by prefix filtering: shingles
+stand in one order for all texts, frequent ones last (frequencies are estimated, which decides
+the cost alone). Of two sets at the similarity, the first common shingle stands so early in
+both that enough can follow it; so each text meets the others under its first shingles only,
+and texts that share a template do not meet by the template. Under a shingle, pairs are taken by
+their distance in the order of size: neighbours first, then in ``STEPS`` those further apart, up
+to all, each time only pairs whose components still differ and whose sizes and positions allow
+the similarity. No pair that may reach it is left out.
+
+Texts are vertices by 64 bits of the digest of their shingle set, so neither null nor repeated
+ids tie texts together.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialize, slices
+from .common import byte_list, keyed_join, materialize, numbered, place_of, slices
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -261,9 +266,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = G
     """
     made = materialize(fingerprints(docs, shingle), "fingerprints")
     values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
-    classes = connected_components(hamming_edges(values, group_rows))
-    label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = connected_components(hamming_edges(values.select("fp", F.col("fp").alias("rep")), group_rows))
+    label = values.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = label.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = materialize(label.join(smallest, "component").select("fp", "component_id"), "labels")
+    return keyed_join(made, label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -276,20 +283,22 @@ def fewest_shared(m, n, similarity: float):
     return np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(doc_id, packed)``: compressed texts of ``docs(doc_id long, text)`` with an id in
-    ``ids(doc_id)``; they are smaller than their shingle sets."""
+def packed_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(node, packed)``: compressed texts, which are smaller than their shingle sets, of the
+    rows of ``docs(doc_id, text)`` that ``chosen(node, low, low_k)`` names by id and text hash."""
 
     def make(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(t, 1) for t in byte_list(b.column(1))], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.compress(t, 1) for t in byte_list(b.column(2))], pa.binary())], names=["doc_id", "k", "packed"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(make, "doc_id long, packed binary")
-    return materialize(packed.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"]), "texts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
+    packed = rows.mapInArrow(make, "doc_id long, k long, packed binary")
+    own = packed.join(chosen, packed["doc_id"].eqNullSafe(chosen["low"]) & (packed["k"] == chosen["low_k"]))
+    return materialize(own.select("node", "packed").dropDuplicates(["node"]), "texts")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)``, ids in ``texts(doc_id, packed)``, whose shingle sets have at
+    """Those of ``pairs(a, b)``, nodes of ``texts(node, packed)``, whose shingle sets have at
     least the Jaccard similarity."""
 
     def verify(batches):
@@ -303,7 +312,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
                 keep.append(np.count_nonzero(both[1:] == both[:-1]) >= fewest_shared(len(x), len(y), similarity))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (texts.select(F.col("doc_id").alias(k), F.col("packed").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    left, right = (texts.select(F.col("node").alias(k), F.col("packed").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
@@ -430,54 +439,107 @@ def _apart(low: int, high: int | None, similarity: float):
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by the Jaccard similarity of
-    shingle sets: all pairs at the similarity or above are linked, and no others.
-
-    Texts without a word are equal to each other; otherwise as ``near_duplicates``.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, k, sig, node, fp, n, firsts)`` for every row of ``docs(doc_id, text)``: a hash of
+    the text, the digest of its shingle set and 64 bits of it as a vertex, the SimHash of its
+    shingles, and the set's size and first shingles."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, counts = frequent_shingles(rows, shingle)
+    schema = "doc_id long, k long, sig binary, node long, fp long, n long, firsts array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def make(batches):
         for b in slices(batches):
-            sets = [shingle_set(t, shingle) for t in byte_list(b.column(1))]
-            sigs = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            hashes = [shingle_hashes(t, shingle) for t in byte_list(b.column(2))]
+            fps = np.array([_majority(h[:, None]).view(np.uint64)[0] if len(h) else 0 for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
+            sigs = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], np.int64)
             firsts = pa.array([first_shingles(x, similarity, frequent, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sigs, pa.array([len(x) for x in sets], pa.int64()), firsts], names=["doc_id", "sig", "n", "firsts"])
-
-    made = materialize(rows.mapInArrow(make, "doc_id long, sig binary, n long, firsts array<long>"), "sets")
-    values = materialize(made.groupBy("sig").agg(F.min("doc_id").alias("rep")), "values")
-    one = made.join(values, (made["sig"] == values["sig"]) & (made["doc_id"] == values["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), "n", "firsts")
-    dealt = one.select("n", "rep", F.posexplode("firsts").alias("at", "token")).select("token", "n", "rep", F.col("at").cast("long").alias("at"))
+            columns = [b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(nodes), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), firsts]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return materialize(rows.select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(make, schema), "sets")
+
+
+def fingerprint_edges(one: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``one(node, fp)`` -> ``(a, b)``: edges between nodes whose fingerprints are equal or in one
+    component of the Gray-order index. Nodes of one fingerprint form a tree of about
+    ``TREE_FAN`` children each: in turn the smallest of ever larger shares of them is kept."""
+    shares, edges, total = 1, None, one.count()
+    while shares * TREE_FAN < total:
+        shares *= TREE_FAN
+    while shares:
+        low = F.min("node").over(Window.partitionBy("fp", F.pmod(F.xxhash64("node"), F.lit(shares))))
+        step = materialize(one.withColumn("low", low), "tree")
+        found = step.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
+        one, shares = step.where("node = low").select("node", "fp"), shares // TREE_FAN
+    return edges.unionByName(hamming_edges(one.select("fp", F.col("node").alias("rep")), group_rows))
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_sets``, and ``(sig, class, low, low_k)``: the class of each shingle set, the
+    smallest doc_id among its rows (null if none has one) and the hash of that row's text."""
+    made = _sets(docs, shingle, similarity)
+    lows = F.min("doc_id").alias("low"), F.coalesce(F.min_by("k", "doc_id"), F.min("k")).alias("low_k")
+    values = materialize(made.groupBy("sig").agg(*lows, F.first("node").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts")), "values")
+    dealt = values.select("n", F.col("node").alias("rep"), F.posexplode("firsts").alias("at", "token")).select("token", "n", "rep", F.col("at").cast("long").alias("at"))
     ordered = dealt.repartition("token").sortWithinPartitions("token", "n", "rep", "at")
     shared = materialize(ordered.mapInArrow(_shared, "token long, n long, rep long, at long, rank long, size long"), "shared")
-    texts = packed_texts(rows, shared.select(F.col("rep").alias("doc_id")).distinct())
-    links, classes = None, None
+    edges = materialize(fingerprint_edges(values.where("n > 0").select("node", "fp")), "edges")
+    met = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(shared.select("rep")).distinct()
+    texts = packed_texts(docs, values.select("node", "low", "low_k").join(met, "node", "left_semi"))
+    links = similar_pairs(edges, texts, shingle, similarity)
+    classes = materialize(connected_components(links), "components")
     for low, high in zip(STEPS, (*STEPS[1:], None)):
         open_ = shared.where(F.col("size") > low)
-        if classes is None:
-            open_ = open_.withColumn("label", F.col("rep"))
-        else:
-            open_ = open_.join(classes.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        open_ = open_.join(classes.withColumnsRenamed({"node": "rep", "component": "label"}), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         ready = open_.select("token", "rank", "rep", "n", "at", "label").repartition("token").sortWithinPartitions("token", "rank")
         found = materialize(ready.mapInArrow(_apart(low, high, similarity), "a long, b long").distinct(), "candidates")
-        if classes is not None and found.limit(1).count() == 0:
+        if found.limit(1).count() == 0:
             continue
-        near = similar_pairs(found, texts, shingle, similarity)
-        links = near if links is None else links.union(near)
+        links = links.union(similar_pairs(found, texts, shingle, similarity))
         classes = materialize(connected_components(links), "components")
-    label = values.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return made.select("doc_id", "sig").join(label, "sig").select("doc_id", "component_id")
-
-
-def deduplicate(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of ``docs``, all columns, for each class of ``(doc_id, component_id)``: that with
-    the smallest doc_id. Rows without an id belong to no class and stay; of rows that repeat an
-    id one stays."""
-    classes = materialize(classes.select("doc_id", "component_id"), "classes")
-    gone = materialize(classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    label = values.join(classes, "node", "left").select("sig", F.coalesce("component", "node").alias("class"), "low", "low_k")
+    return made, materialize(label, "labels")
+
+
+def similar_components(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, component_id)`` by the Jaccard similarity of
+    shingle sets: all pairs at the similarity or above are linked, and no others.
+
+    Texts without a word are equal to each other; rows that repeat an id with another text have
+    the class of that text; otherwise as ``near_duplicates``.
+    """
+    made, label = _classes(docs, shingle, similarity)
+    smallest = label.groupBy("class").agg(F.min("low").alias("component_id"))
+    own = materialize(label.join(smallest, "class").select("sig", "component_id"), "components")
+    return keyed_join(made.where("doc_id is not null").select("doc_id", "sig"), own, "sig").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs``, all columns whatever their names, for each class of texts that
+    ``similar_components`` links: that with the smallest doc_id.
+
+    Rows are told apart by id and text, so two that share an id are judged each by its text, and
+    a row without an id goes if its class has one with an id; of rows that repeat both, one stays.
+    Null texts and texts without a word are one class. An empty table gives an empty result.
+    """
+    plain = numbered(docs)
+    rows = plain.select(F.col(f"c{place_of(docs, 'doc_id')}").cast("long").alias("doc_id"), F.col(f"c{place_of(docs, 'text')}").alias("text"))
+    made, label = _classes(rows, shingle, similarity)
+    smallest = label.groupBy("class").agg(F.min("low").alias("low"), F.coalesce(F.min_by("low_k", "low"), F.min("low_k")).alias("low_k"))
+    own = materialize(label.select("sig", "class").join(smallest, "class").select("sig", "low", "low_k"), "kept")
+    marked = keyed_join(made.select("doc_id", "k", "sig"), own, "sig").select("doc_id", "k", (F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("k") == F.col("low_k"))).alias("stays"))
+    counts = materialize(marked.groupBy("doc_id", "k").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "marked")
+
+    def same(other: DataFrame):
+        return F.col("id").eqNullSafe(other["doc_id"]) & (F.col("key") == other["k"])
+
+    keyed = plain.withColumns({"id": F.col(f"c{place_of(docs, 'doc_id')}").cast("long"), "key": F.xxhash64(F.col(f"c{place_of(docs, 'text')}"))})
+    gone, again = counts.where("not stays"), counts.where("stays and n > 1")
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if again.limit(1).count():
+        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["id", "key"]))
+    return kept.drop("id", "key").toDF(*docs.columns)

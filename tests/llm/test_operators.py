@@ -17,7 +17,7 @@ from halocline.llm import common, components, decontaminate, grulm, langid, lice
 SCHEMA = "doc_id long, text string"
 #: Null and empty texts, a long one, ties and repeated rows, and columns that operators add.
 ODD = [(5, None), (3, ""), (9, "  \n\t "), (7, "word"), (7, "word"), (4, "Word"), (11, "a b c d e f " * 4000), (12, "é ü　中文 — ok"), (None, "no id here at all")]
-CLASH = ["score", "predicted", "lang_pred", "shard", "slot", "rank", "component_id", "fingerprint", "bucket", "positive", "unlabelled", "word", "n", "linked", "piece", "edited", "unit"]
+CLASH = ["score", "predicted", "lang_pred", "shard", "slot", "rank", "component_id", "fingerprint", "bucket", "positive", "unlabelled", "word", "n", "linked", "piece", "edited", "unit", "__text", "__held", "__gone", "SCORE2", "Lang_Pred2", "c0", "c1", "id", "key", "k", "node", "low"]
 
 
 def table(spark, rows, schema=SCHEMA):
@@ -114,10 +114,63 @@ def test_simhash_odd_rows(odd, empty):
     assert [r[0] for r in got] == [3, 4, 5, 7, 7, 9, 11, 12] and {r[2] for r in got if r[0] in (4, 7)} == {4}
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.similar_components(empty).count() == 0
-    kept = simhash.deduplicate(odd, simhash.similar_components(odd)).select("doc_id").collect()
-    assert sorted(r.doc_id or -1 for r in kept) == [-1, 3, 4, 11, 12]
+    kept = simhash.deduplicate(odd)
+    assert sorted(r.doc_id or -1 for r in kept.select("doc_id").collect()) == [-1, 3, 4, 11, 12] and kept.columns == odd.columns
+    assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_tells_rows_apart_by_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own kind here"), (1, long), (1, long), (2, long + " more"), (None, long), (None, "a text without an id and no copy"), (None, "two without an id at all"), (None, "two without an id at all"), (3, "another text for three to have")]
+    got = simhash.deduplicate(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, rows[0][1]), (1, long), (0, rows[5][1]), (0, rows[6][1]), (3, rows[8][1])])
+    classes = {(r.doc_id, r.component_id) for r in simhash.similar_components(table(spark, rows)).collect()}
+    assert classes == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_keyed_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = common.materialize(table(spark, [(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i long, key string"), "rows")
+    keyed = common.materialize(table(spark, [("hot", 1), *((f"k{i}", i) for i in range(0, 300, 12))], "key string, v long"), "keyed")
+    for how in ("inner", "left"):
+        want = sorted((r.i, r.key or "", r.v or 0) for r in rows.join(keyed, "key", how).collect())
+        assert sorted((r.i, r.key or "", r.v or 0) for r in common.keyed_join(rows, keyed, "key", how).collect()) == want
+
+
+def test_trees_of_equal_fingerprints(spark):
+    rows = [(i, 7) for i in range(5000)] + [(10_000 + i, 7 + (i << 20)) for i in range(300)]
+    edges = [(r.a, r.b) for r in simhash.fingerprint_edges(table(spark, rows, "node long, fp long")).collect()]
+    parent = {n: n for n, _ in rows}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert len({root(i) for i in range(5000)}) == 1
+    degrees = Counter(x for e in edges for x in e)
+    assert max(degrees.values()) <= 6 * simhash.TREE_FAN and len(edges) < 3 * len(rows)
+
+
+def test_row_filters_keep_whole_rows_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "a b", [1], 2.0), (None, None, None, None), (3, "c", [], 1.0)], "doc_id long, text string, SCORE array<int>, score2 double")
+    kept = common.keep_rows(df, ["text"], lambda: lambda t: t != "c")
+    assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+    more = toxicity.score(df, toxicity.Model(np.full(1 << toxicity.BITS, -1, np.int32), np.zeros(0), 0.0, 0.5))
+    assert more.columns == ["doc_id", "text", "score2", "score", "predicted"] and more.count() == 3
+    both = langid.identify(df.toDF("doc_id", "text", "__text", "LANG_PRED"), {"x": [1, 2]})
+    assert both.columns == ["doc_id", "text", "__text", "lang_pred", "score"] and both.select("lang_pred").count() == 3
+
+
+def test_decontamination_judges_each_row(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    rows = [(None, "see the quick brown fox jumps over the lazy dog run"), (5, "the quick brown fox jumps over the lazy dog"), (5, "clean text under the same id"), (6, None), (6, ""), (7, "clean"), (7, "clean")]
+    got = decontaminate.clean(table(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(5, rows[2][1]), (6, ""), (6, ""), (7, "clean"), (7, "clean")]
+
 def test_similar_components(spark):
     rng = random.Random(2)
     base = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(30)]
@@ -197,6 +250,44 @@ def test_multiset_is_homomorphic(spark):
     assert row.c == row.d == row.sum and row.less == row.a and row.a != row.c
 
 
+def slow_counts(text):
+    return Counter(p for p in re.split(r"[\r\n]+|(?<=[.!?;:,])[ \t]+", text) if p)
+
+
+def test_multiset_of_edited_texts_and_exact_cosines(spark, texts):
+    """Fingerprints of edited texts equal those of the texts themselves, and likeness is close to
+    the cosine of the paragraph counts."""
+    rows = sorted(texts.items())[:80] + [(-1, "no end of line. at all, here"), (-2, "one\r\ntwo\r\n\r\nthree.  four\t five"), (-3, "\n\n\n"), (-4, "")]
+    got = {r.doc_id: r for r in multiset.fingerprints(table(spark, rows)).collect()}
+    order, text, away = sorted((d for d, _ in rows), reverse=True), dict(rows), []
+    edits = {}
+    for at, d in enumerate(order):
+        own, cut, following = text[d], len(text[d]) // 3, text[order[(at + 1) % len(order)]]
+        edits[d] = own[: len(own) - cut] + following[:cut]
+        a, b, c = (slow_counts(t) for t in (own, edits[d], following))
+        for x, y, likeness in ((a, b, got[d].near_edited), (a, c, got[d].near_next)):
+            size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            want = 1.0 if x == y else sum(v * y[p] for p, v in x.items()) / size if size else 0.0
+            away.append(abs(likeness - want))
+            assert likeness == 1.0 or x != y
+    assert np.mean(away) < 0.08 and max(away) < 0.4
+    whole = table(spark, list(edits.items())).select("doc_id", multiset.digest(multiset.fingerprint(F.col("text"))).alias("f"))
+    assert {r.doc_id: r.f for r in whole.collect()} == {d: r.edited_fingerprint for d, r in got.items()}
+
+
+def test_multiset_successors_of_wide_and_clustered_ids(spark):
+    rng = random.Random(12)
+    ids = [-9 * 10**18, 9 * 10**18, 0, *range(10**15, 10**15 + 300), *(2**k for k in range(3, 62)), *(rng.randrange(-(2**40), 2**40) for _ in range(200))]
+    rows = [(d, f"text {d}") for d in dict.fromkeys(ids)] + [(7, "again"), (7, "again")]
+    docs, by = multiset.bucketed(table(spark, rows), 8)
+    sizes = [r["count"] for r in docs.groupBy(*by).count().collect()]
+    assert max(sizes) <= 32 and len(sizes) < len(rows)
+    got = {(r.doc_id, r.text): r.next_text for r in multiset.with_next(table(spark, rows), 8).collect()}
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    for (d, t), (_, following) in zip(order, [*order[1:], order[0]]):
+        assert t == "again" or got[(d, t)] == following
+
+
 def test_multiset_odd_rows(odd, empty, spark):
     got = sorted((r.doc_id, r.n_chars, r.near_next) for r in multiset.fingerprints(odd).collect())
     assert [r[0] for r in got] == [3, 4, 5, 7, 7, 9, 11, 12]
@@ -221,7 +312,7 @@ def tokenizer():
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
-    path, rows = tokenizer(), [(d, t) for d, t in texts.items() if d < 80] + [(1000, "x " * 5000), (1001, None), (1002, "don't stop!!! It's 12.5€ — naïve é ﬁ ß İ x​")]
+    path, rows = tokenizer(), [(d, t) for d, t in texts.items() if d < 80] + [(1000, "x " * 5000), (1001, None), (1003, "a <|endoftext|> b<|startoftext|>c <|EndOfText|> d"), (1004, "<|endoftext|>"), (1002, "don't stop!!! It's 12.5€ — naïve é ﬁ ß İ x​")]
     plain = Tokenizer.from_file(path)
     got = packing.pack(table(spark, rows), path).collect()
     pieces, bins = defaultdict(dict), defaultdict(list)
@@ -242,7 +333,7 @@ def test_packing(spark, texts):
 
 
 def test_packed_sequences_hold_the_tokens(spark, texts):
-    rows = [(d, t) for d, t in texts.items() if d < 30]
+    rows = [(d, t) for d, t in texts.items() if d < 30] + [(None, "no id"), (1, "same id"), (1, "same id")]
     made = packing.sequences(table(spark, rows), tokenizer()).collect()
     total = packing.pack(table(spark, rows), tokenizer()).agg(F.sum("length")).first()[0]
     assert sum(len(r.ids) for r in made) == total and max(len(r.ids) for r in made) <= 2048
@@ -298,13 +389,36 @@ def test_toxicity_ignores_held_out_labels_and_odd_rows(spark, odd, empty):
 
 
 def test_non_negative_step_turns_round():
-    x = np.ones((4, 1), np.float32)
-    p, u = np.array([1, 1, 0, 0], np.float32), np.array([0, 0, 1, 1], np.float32)
-    w = np.zeros(1, np.float32)
-    up, _ = toxicity._risk_step(x * np.array([[3], [3], [-3], [-3]], np.float32), p, u, w + 1, 0.0, 0.5)
-    assert up[0] != 0  # the clean part is negative there: its gradient is reversed
-    g, _ = toxicity._risk_step(x, p, u, w, 0.0, 0.5)
-    assert g[0] == pytest.approx(0.5 * -0.5 + 0.5 - 0.5 * 0.5)
+    one = np.array([0], np.uint16).tobytes()
+    p, u = toxicity.Sparse([one, one]), toxicity.Sparse([b"", one])
+    step = lambda w, b, prior: toxicity._risk_step(p, u, (0, 2), (0, 2), np.array([w]), b, prior)
+    g, gb = step(0.0, 0.0, 0.5)  # sigmoids are a half; the clean part is log 2 / 2
+    assert g[0] == pytest.approx(0.5 * -0.5 + 0.25 - 0.5 * 0.5) and gb == pytest.approx(0.5 * -0.5 + 0.5 - 0.5 * 0.5)
+    sig = 1 / (1 + math.exp(-3))
+    up, _ = step(6.0, -3.0, 0.9)  # P at 3, U at -3 and 3: the clean part is negative, its gradient is reversed
+    assert up[0] == pytest.approx(0.9 * sig - sig / 2)
+
+
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    dense = rng.random((9, 20)) < 0.3
+    dense[4] = False
+    rows, w, g = toxicity.Sparse([np.flatnonzero(x).astype(np.uint16).tobytes() for x in dense]), rng.normal(size=20), rng.normal(size=5)
+    assert np.allclose(rows.dot(w, 2, 7), dense[2:7] @ w) and np.allclose(rows.back(g, 2, 7, 20), g @ dense[2:7])
+
+
+def test_class_prior_comes_from_both_sets():
+    assert toxicity.class_prior([(80, 160), (40, 80), (10, 900)], 100, 1000) == pytest.approx(0.2)
+    assert toxicity.class_prior([], 5, 10) == 0.5
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = queries.QUERIES["op5_toxicity"](spark, sf).where("held_out")
+    got = scored.join(common.table(spark, sf, "labels"), "doc_id").collect()
+    toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    above = np.mean([a > b for a in toxic for b in clean])  # area under the curve; a few labels are wrong by themselves
+    assert above > 0.93 and np.mean([s >= 0.5 for s in clean]) < 0.02 and np.mean([s >= 0.5 for s in toxic]) > 0.7
 
 
 def test_features_are_marked_ngrams():
@@ -394,7 +508,7 @@ def test_language_model_learns_from_all_training_rows(spark):
     start = grulm.Gru(v.frequency, v.class_start)
     after, tokens = grulm.sweep(docs, v, start)
     assert tokens == v.total == sum(len(t.split()) + 1 for _, t in rows)
-    few = grulm.fit(docs, v, fit_tokens=200)  # the start is from three documents, the rest from all
+    few = grulm.fit(docs, v, start_tokens=200)  # the start is from three documents, the rest from all
     stream = np.concatenate([grulm._symbols(v, *grulm._encoder(v)(t.encode()))[0] for _, t in rows])
 
     def total(model):

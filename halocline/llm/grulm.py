@@ -8,11 +8,14 @@ frequency, and a symbol's probability is its class's times its own within the cl
 start at the corpus frequencies.
 
 The recurrent weights are fitted in numpy by truncated backpropagation over all training
-documents. About ``FIT_TOKENS`` tokens, drawn evenly by document, give the driver a start; in
+documents. One task makes a start from about ``START_TOKENS`` tokens, drawn evenly by row; in
 each of ``SWEEPS`` rounds every partition then goes on from the common weights over all of its
-documents, ``CHUNK`` tokens at a time, and the next weights are the means by tokens. Scoring covers every whole document:
-documents run in parallel lanes, a window of ``WINDOW`` tokens at a time, and a lane's state is
-carried from window to window until its document ends, when the lane takes the next one.
+documents, ``CHUNK`` tokens at a time, and the next weights are the means by tokens, summed in
+Spark by blocks of weights. A corpus no larger than the start's share has only the start.
+
+Scoring covers every whole document: documents run in parallel lanes, a window of ``WINDOW``
+tokens at a time, and a lane's state is carried from window to window until its document ends,
+when the lane takes the next one.
 
 Counts of at most ``LOCAL_WORDS`` most frequent words travel with the tasks; a document's other
 words are joined with the whole count table.
@@ -24,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 from .common import byte_list, materialize, slices
 
 WORDS, BUCKETS, PREFIX, CLASSES = 3_840, 256, 3, 64
-HIDDEN, WINDOW, LANES = 32, 32, 512
+HIDDEN, WINDOW, LANES, ORDERED = 32, 32, 1024, 4_000_000
 LOCAL_WORDS, FLUSH_WORDS = 131_072, 200_000
-FIT_TOKENS, FIT_LANES, EPOCHS, RATE = 1_500_000, 64, 2, 8e-3
+START_TOKENS, START_LANES, EPOCHS, RATE = 1_500_000, 64, 2, 8e-3
 SWEEPS, CHUNK, SWEEP_LANES, SWEEP_RATE = 1, 2_000_000, 512, 2e-3
+#: Weights in a block, and the shares of the partitions that are summed first.
+BLOCK, SHARES = 4096, 1024
 END = b"\n"
 
 
@@ -218,12 +224,14 @@ class Gru:
             du += hp.T @ dhu
             dh = np.where(begins[:, None], np.float32(0), dh * z + dhu @ u.T)
         flat = dgx.reshape(-1, 3 * n)
-        per_symbol = np.zeros((len(self.p["emb"]), 3 * n), np.float32)
-        np.add.at(per_symbol, x.ravel(), flat)
+        per_symbol, order = np.zeros((len(self.p["emb"]), 3 * n), flat.dtype), np.argsort(x.ravel(), kind="stable")
+        there = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+        per_symbol[there[first]] = np.add.reduceat(flat[order], first)
         g |= {"u": du, "bx": flat.sum(axis=0), "wx": self.p["emb"].T @ per_symbol, "emb": per_symbol @ self.p["wx"].T}
         return float(loss), {k: v / y.size for k, v in g.items()}, last
 
-    def fit(self, stream: np.ndarray, most_lanes: int = FIT_LANES, epochs: int = EPOCHS, top: float = RATE) -> list[float]:
+    def fit(self, stream: np.ndarray, most_lanes: int = START_LANES, epochs: int = EPOCHS, top: float = RATE) -> list[float]:
         """Train on a stream of symbols (each document closed by 0); mean loss by epoch."""
         lanes = max(1, min(most_lanes, len(stream) // (4 * WINDOW)))
         steps = len(stream) // lanes
@@ -249,39 +257,35 @@ class Gru:
         return losses
 
     def score(self, docs: Iterator[tuple]) -> Iterator[tuple]:
-        """``(key, symbols)`` in any number -> ``(key, log-probability)``, as documents end."""
-        lanes: list[list] = []  # key, symbols, position, sum
-        h = np.zeros((0, HIDDEN), np.float32)
+        """``(key, symbols)`` in any number -> ``(key, log-probability)``, as documents end.
+        Lanes are filled again when half of them are free; ``flat`` has what their documents
+        still hold, each from ``at`` to ``end``."""
+        keys, sums, last = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        flat, at, end, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
         more = True
         while True:
-            while more and len(lanes) < LANES:
-                if (doc := next(docs, None)) is None:
-                    more = False
-                else:
-                    lanes.append([doc[0], doc[1], 0, 0.0])
-            if not lanes:
+            if more and len(keys) <= LANES // 2:
+                new = list(islice(docs, LANES - len(keys)))
+                more = len(new) == LANES - len(keys)
+                parts = [flat[a:b] for a, b in zip(at.tolist(), end.tolist())] + [np.asarray(x, np.int64) for _, x in new]
+                flat = np.concatenate([np.zeros(0, np.int64), *parts])
+                end = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+                at = np.concatenate(([0], end[:-1])) if len(end) else end
+                keys, sums = np.append(keys, [k for k, _ in new]).astype(np.int64), np.append(sums, np.zeros(len(new)))
+                last, h = np.append(last, np.zeros(len(new), np.int64)), np.concatenate((h, np.zeros((len(new), HIDDEN), np.float32)))
+            if not len(keys):
                 return
-            h = np.concatenate((h, np.zeros((len(lanes) - len(h), HIDDEN), np.float32)))
-            x, y = np.zeros((WINDOW, len(lanes)), np.int64), np.full((WINDOW, len(lanes)), -1, np.int64)
-            for j, (_, symbols, at, _) in enumerate(lanes):
-                part = symbols[at : at + WINDOW]
-                y[: len(part), j] = part
-                x[1 : len(part), j] = part[:-1]
-                x[0, j] = symbols[at - 1] if at else 0
-            steps = int((y >= 0).any(axis=1).sum())
-            out, h = self.run(x[:steps], h)
-            real = y[:steps] >= 0
-            lp = self.log_prob(out[real], y[:steps][real])
-            sums = np.bincount(np.nonzero(real)[1], weights=lp, minlength=len(lanes))
-            going = []
-            for j, lane in enumerate(lanes):
-                lane[2] += WINDOW
-                lane[3] += sums[j]
-                if lane[2] >= len(lane[1]):
-                    yield lane[0], lane[3]
-                else:
-                    going.append(j)
-            lanes, h = [lanes[j] for j in going], h[going]
+            steps = min(WINDOW, int((end - at).max()))
+            place = at + np.arange(steps)[:, None]
+            real = place < end
+            y = np.where(real, flat[np.minimum(place, len(flat) - 1)], 0)
+            out, h = self.run(np.vstack((last, y[:-1])), h)
+            lp = self.log_prob(out[real], y[real])
+            sums += np.bincount(np.nonzero(real)[1], weights=lp, minlength=len(keys))
+            at, last = at + steps, y[-1]
+            going = at < end
+            yield from zip(keys[~going].tolist(), sums[~going].tolist())
+            keys, sums, last, at, end, h = (v[going] for v in (keys, sums, last, at, end, h))
 
 
 def _encoder(v: Vocabulary):
@@ -307,41 +311,46 @@ def _symbols(v: Vocabulary, ids: np.ndarray, words: list[bytes]) -> tuple[np.nda
     return symbols, rare
 
 
-def fit(docs: DataFrame, v: Vocabulary, fit_tokens: int = FIT_TOKENS) -> Gru:
-    """Train on all documents of ``docs(doc_id, text)``: those drawn by a hash of their id, about
-    ``fit_tokens`` tokens as symbols, on the driver, and then all where they are."""
-    share = min(1.0, fit_tokens / max(1, v.total))
-    drawn = docs if share == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    def run(batches):
-        encode = _encoder(v)
-        for b in slices(batches):
-            out = [_symbols(v, *encode(t))[0].astype(np.uint16).tobytes() for t in byte_list(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["s"])
-
-    rows = sorted(bytes(r.s) for r in drawn.select("text").mapInArrow(run, "s binary").collect())
-    model, order = Gru(v.frequency, v.class_start), np.random.default_rng(5).permutation(len(rows))
-    model.fit(np.frombuffer(b"".join(rows[i] for i in order), np.uint16).astype(np.int64))
+def fit(docs: DataFrame, v: Vocabulary, start_tokens: int = START_TOKENS) -> Gru:
+    """Train on all documents of ``docs(text)``: a start from rows drawn by chance, about
+    ``start_tokens`` tokens, in one task, and then all where they are."""
+    share, model = min(1.0, start_tokens / max(1, v.total)), Gru(v.frequency, v.class_start)
+    drawn = docs if share == 1 else docs.where(F.rand(5) < share)
+    model.p, _ = sweep(drawn.select("text").repartition(1), v, model, START_LANES, EPOCHS, RATE)
     for _ in range(SWEEPS if share < 1 else 0):
         model.p, _ = sweep(docs, v, model)
     return model
 
 
-def sweep(docs: DataFrame, v: Vocabulary, model: Gru) -> tuple[dict, int]:
+def _summed(parts: DataFrame, share: Column) -> DataFrame:
+    """``parts(block, part, tokens, weights)``, weights times tokens as float64, summed by block
+    and share of the parts."""
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in rows["weights"])
+        tokens = sum(rows["tokens"].to_pylist())
+        columns = [pa.array([x.as_py()], t) for x, t in zip(key, (pa.int32(), pa.int64()))]
+        return pa.Table.from_arrays([*columns, pa.array([tokens]), pa.array([total.tobytes()], pa.binary())], names=["block", "part", "tokens", "weights"])
+
+    return parts.withColumn("part", share).groupBy("block", "part").applyInArrow(add, "block int, part long, tokens long, weights binary")
+
+
+def sweep(docs: DataFrame, v: Vocabulary, model: Gru, lanes: int = SWEEP_LANES, epochs: int = 1, rate: float = SWEEP_RATE) -> tuple[dict, int]:
     """Weights after every partition of ``docs(text)`` has trained from those of ``model`` over
-    all of its documents, their means by tokens, and the number of tokens. Each task writes its
-    weights times its tokens as one row for each value; they are
-    summed in Spark, so what reaches the driver is the size of the model."""
+    all of its documents, their means by tokens, and the number of tokens. Each task gives its
+    weights times its tokens in blocks, which are summed in Spark by shares of the tasks and then
+    in all, so what reaches the driver is the size of the model."""
     sizes = {k: a.size for k, a in model.p.items()}
 
     def run(batches):
         encode, held, own, tokens = _encoder(v), [], 0, 0
         mine = Gru(v.frequency, v.class_start)
         mine.p = {k: a.copy() for k, a in model.p.items()}
+        order = np.random.default_rng(5)
 
         def train():
             nonlocal own, tokens
-            mine.fit(np.concatenate(held).astype(np.int64), SWEEP_LANES, 1, SWEEP_RATE)
+            mine.fit(np.concatenate([held[i] for i in order.permutation(len(held))]).astype(np.int64), lanes, epochs, rate)
             tokens, own = tokens + own, 0
             held.clear()
 
@@ -355,19 +364,20 @@ def sweep(docs: DataFrame, v: Vocabulary, model: Gru) -> tuple[dict, int]:
             train()
         if tokens:
             flat = np.concatenate([mine.p[k].ravel().astype(np.float64) for k in sizes]) * tokens
-            at = np.arange(len(flat) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(flat, tokens))], names=["at", "x"])
+            blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
+            part, n = TaskContext.get().partitionId(), len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "part", "tokens", "weights"])
 
-    summed = docs.select("text").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    if not summed.num_rows:
+    parts = docs.select("text").mapInArrow(run, "block int, part long, tokens long, weights binary")
+    rows = sorted(_summed(_summed(parts, F.col("part") % SHARES), F.lit(0).cast("long")).collect())
+    if not rows:
         return model.p, 0
-    flat = np.zeros(sum(sizes.values()) + 1)
-    flat[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
-    parts = np.split(flat[:-1] / flat[-1], np.cumsum(list(sizes.values()))[:-1])
-    return {k: x.reshape(model.p[k].shape).astype(np.float32) for k, x in zip(sizes, parts)}, int(flat[-1])
+    flat = np.concatenate([np.frombuffer(r.weights, np.float64) for r in rows]) / rows[0].tokens
+    pieces = np.split(flat, np.cumsum(list(sizes.values()))[:-1])
+    return {k: x.reshape(model.p[k].shape).astype(np.float32) for k, x in zip(sizes, pieces)}, rows[0].tokens
 
 
-def score(docs: DataFrame, train: Column, fit_tokens: int = FIT_TOKENS) -> DataFrame:
+def score(docs: DataFrame, train: Column, start_tokens: int = START_TOKENS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_tokens, n_known, train_tokens, base_score,
     score``: log10 probabilities of every whole document, learnt from the rows that meet
     ``train``.
@@ -380,7 +390,7 @@ def score(docs: DataFrame, train: Column, fit_tokens: int = FIT_TOKENS) -> DataF
     learnt = rows.where(train)
     counts = materialize(count_words(learnt), "counts")
     v = vocabulary(counts)
-    model = fit(learnt, v, fit_tokens)
+    model = fit(learnt, v, start_tokens)
     norm = np.log10(v.total + 0.5 * (v.distinct + 1))
     log_counts, log_mass = np.log10(v.counts + 0.5), np.log10(v.bucket_mass)
     bucket_at = {int(s): i for i, s in enumerate(v.bucket_symbols)}
@@ -396,7 +406,15 @@ def score(docs: DataFrame, train: Column, fit_tokens: int = FIT_TOKENS) -> DataF
         number = 0
 
         def documents():
+            """Long documents first, ``ORDERED`` tokens at a time, so that none is left alone in
+            the lanes at the end."""
             nonlocal number
+            held, size = [], 0
+
+            def longest_first():
+                yield from sorted(held, key=lambda d: -len(d[1]))
+                held.clear()
+
             for b in slices(batches, 128):
                 for doc_id, text in zip(b.column(0).to_pylist(), byte_list(b.column(1))):
                     ids, words = encode(text)
@@ -405,8 +423,12 @@ def score(docs: DataFrame, train: Column, fit_tokens: int = FIT_TOKENS) -> DataF
                     drawn = within[symbols]
                     own = float(log_c[drawn].sum() - mass_of[symbols[drawn]].sum())
                     done[number] = (doc_id, len(words), int((local_counts[ids] > 0).sum()), float(log_c.sum()) - norm * len(words), own, Counter(rare))
-                    number += 1
-                    yield number - 1, symbols.astype(np.uint16)
+                    held.append((number, symbols.astype(np.uint16)))
+                    number, size = number + 1, size + len(words)
+                if size >= ORDERED:
+                    yield from longest_first()
+                    size = 0
+            yield from longest_first()
 
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
         names, out = [x.split()[0] for x in schema.split(", ")[:6]] + ["rare"], []

@@ -23,7 +23,7 @@ from .common import byte_list, materialize, slices
 
 MAX_TOKENS, END_ID = 2048, 0
 OPEN_BINS, GROUP_PIECES = 4096, 65536
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 _MARKS = string.punctuation.replace("'", "")
 
 
@@ -34,7 +34,8 @@ class ChunkTokenizer:
     Exact for a tokenizer that drops white space and lets no token span it. A chunk of letters
     with ASCII marks behind it is looked up in two parts, since its pattern never joins letters
     and marks; letters that are not known yet are encoded together, each run of ids ending at a
-    token with the end-of-word suffix. Names of special tokens in a text are ordinary text.
+    token with the end-of-word suffix. A text that has the name of an added token in it, in
+    whatever case, is left to the tokenizer as it is.
     """
 
     def __init__(self, path: str, suffix: str = "</w>") -> None:
@@ -42,7 +43,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
@@ -88,11 +89,16 @@ class ChunkTokenizer:
             self.known.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        words = [t.split() for t in texts]
+        named = [self._named(t) for t in texts]
+        words = [[] if whole else t.split() for t, whole in zip(texts, named)]
         new = set().union(*words).difference(self.known) if words else set()
         self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [self._ids(t.decode("utf-8", "replace")).tobytes() if whole else b"".join(map(get, w)) for t, w, whole in zip(texts, words, named)]
+
+    def _named(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(name in low for name in self.added)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -177,9 +183,11 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
 
 
 def sequences(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """``(sequence_id, ids array<int>)``: the training sequences themselves. doc_id must be
-    unique here, since tokens and places are joined by it."""
-    pieces = materialize(token_pieces(docs, tokenizer, max_tokens, end_id), "tokens")
+    """``(sequence_id, ids array<int>)``: the training sequences themselves. Every row of ``docs``
+    is packed once, also with a null or repeated id: tokens and places are joined by a number
+    that each row gets when it is tokenised."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    pieces = materialize(token_pieces(numbered, tokenizer, max_tokens, end_id), "tokens")
     placed = place(materialize(pieces.drop("ids"), "pieces"), max_tokens).select("doc_id", "piece", "sequence_id", "offset")
     joined = placed.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
     ordered = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))

@@ -13,7 +13,8 @@ Two kinds of lanes are summed:
   cosine of two documents' projections estimates that of their paragraph counts: likeness.
 
 The counters stand three to a 63-bit word with a guard bit each, which makes a paragraph's
-whole contribution one shift and mask per word. The last word counts the paragraphs.
+whole contribution one shift and mask per word. The last word counts the paragraphs. Counters
+and count wrap at 2**20: equality holds for any text, likeness for those of fewer paragraphs.
 """
 
 from __future__ import annotations
@@ -75,21 +76,45 @@ def digest(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
 
 
-def _projections(words: Column) -> Column:
-    """+-1 projections of a fingerprint, as doubles."""
-    count = F.get(words, F.lit(WORDS - 1))
-    lanes = F.slice(words, WIDE + 1, BITS // 3)
-    each = lambda k: F.transform(lanes, lambda w: F.shiftrightunsigned(w, k * FIELD).bitwiseAND(F.lit(LANES)) * 2 - count)
-    return F.concat(each(0), each(1), each(2))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: estimated cosine of two multisets' counts from their fingerprints; 1 for equal
     fingerprints, 0 if just one of them is empty."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pa, pb = _projections(a), _projections(b)
-    size = F.sqrt(dot(pa, pa) * dot(pb, pb))
-    return F.when(a == b, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(pa, pb) / size)))
+    zero = F.lit(0).cast("long")
+    counts = [F.get(x, F.lit(WORDS - 1)) for x in (a, b)]
+    lanes = F.zip_with(F.slice(a, WIDE + 1, BITS // 3), F.slice(b, WIDE + 1, BITS // 3), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def add(acc: Column, pair: Column) -> Column:
+        ab, aa, bb = acc["ab"], acc["aa"], acc["bb"]
+        for k in range(3):
+            x, y = (F.shiftrightunsigned(pair[name], k * FIELD).bitwiseAND(F.lit(LANES)) * 2 - n for name, n in zip("xy", counts))
+            ab, aa, bb = ab + x * y, aa + x * x, bb + y * y
+        return F.struct(ab.alias("ab"), aa.alias("aa"), bb.alias("bb"))
+
+    start = F.struct(zero.alias("ab"), zero.alias("aa"), zero.alias("bb"))
+    cosine = F.aggregate(lanes, start, add, lambda s: F.when((s["aa"] == 0) | (s["bb"] == 0), 0.0).otherwise(s["ab"] / F.sqrt(s["aa"].cast("double") * s["bb"].cast("double"))))
+    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+
+
+def bucketed(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_ranges: int = MAX_RANGES) -> tuple[DataFrame, list[str]]:
+    """``docs(doc_id, ...)`` with columns that deal the ids in ranges of about ``bucket_rows``, and
+    the columns' names. Ids are cut at equal widths; a range that holds over four times as many
+    is cut again between its own smallest and largest id, until none is left, so neither
+    outlying nor clustered ids gather in one. Positions are doubles, which keep the order; rows
+    of one id (or of ids that no double tells apart) stay together."""
+    at, total = F.col("doc_id").cast("double"), docs.count()
+    size = max(bucket_rows, -(-total // max_ranges))
+    low, high, n = F.min(at), F.max(at), F.count(F.lit(1))
+    parts = F.ceil(F.col("n") / F.lit(size))
+    names: list[str] = []
+    while True:
+        spans = docs.groupBy(*names).agg(low.alias("low"), high.alias("high"), n.alias("n")).where((F.col("n") > F.lit(4 * size if names else 0)) & (F.col("high") > F.col("low")))
+        cuts = materialize(spans.select(*names, "low", ((F.col("high") - F.col("low")) / parts).alias("width")), "cuts")
+        if names and cuts.limit(1).count() == 0:
+            return docs, names
+        name = f"bucket{len(names)}"
+        met = docs.join(F.broadcast(cuts), names, "left") if names else docs.crossJoin(F.broadcast(cuts)) if cuts.count() else docs.withColumns({"low": F.lit(None).cast("double"), "width": F.lit(1.0)})
+        docs = met.withColumn(name, F.coalesce(F.floor((at - F.col("low")) / F.col("width")), F.lit(0)).cast("long")).drop("low", "width")
+        names = [*names, name]
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_ranges: int = MAX_RANGES) -> DataFrame:
@@ -97,33 +122,35 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_ranges: int =
     text and fingerprint of the document that follows by descending doc_id, after the last the
     first.
 
-    Ids are dealt in equal ranges and a window in each gives the successor, so a text is
+    Ids are dealt in ranges (``bucketed``) and a window in each gives the successor, so a text is
     shuffled once. Only the last row of a range needs the first text of the next range that has
-    rows. There are at most ``max_ranges`` ranges, which bounds the table of their first ids
-    (16 bytes each) that is broadcast. Rows with equal ids follow each other by text.
+    rows. There are a few times ``max_ranges`` ranges at most, which bounds the table of their
+    first ids (16 bytes each) that is broadcast. Rows with equal ids follow each other by text.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, ranges = span.lo or 0, span.hi or 0, min(max_ranges, max(1, -(-span.n // bucket_rows)))
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    bucket = F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long")
-    pair = F.struct("text", "own")
-    order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
-    led = docs.withColumns({"bucket": bucket, "own": fingerprint(F.col("text"))}).withColumn("inside", F.lead(pair).over(order))
-
-    heads = materialize(docs.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id")), "heads")
-    texts = docs.join(F.broadcast(heads), "doc_id").groupBy("bucket").agg(F.min("text").alias("text"))
-    chain = heads.select(F.col("bucket").alias("before"), F.coalesce(F.lead("bucket").over(Window.orderBy(F.desc("bucket"))), F.max("bucket").over(Window.orderBy(F.desc("bucket")))).alias("bucket"))
-    outside = chain.join(texts, "bucket").select(F.col("before").alias("bucket"), F.struct("text", fingerprint(F.col("text")).alias("own")).alias("outside"))
-    joined = led.join(materialize(outside, "outside"), "bucket", "left").withColumn("next", F.coalesce("inside", "outside"))
+    docs, by = bucketed(docs, bucket_rows, max_ranges)
+    order = Window.partitionBy(*by).orderBy(F.desc("doc_id"), "text")
+    led = docs.withColumn("own", fingerprint(F.col("text"))).withColumn("inside", F.lead(F.struct("text", "own")).over(order))
+
+    heads = materialize(docs.groupBy(*by).agg(F.max("doc_id").alias("doc_id")), "heads")
+    texts = docs.select("doc_id", "text").join(F.broadcast(heads.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    down = Window.orderBy(F.desc("doc_id"))
+    chain = heads.select(*by, F.coalesce(F.lead("doc_id").over(down), F.max("doc_id").over(down)).alias("doc_id"))
+    outside = chain.join(texts, "doc_id").select(*by, F.struct("text", fingerprint(F.col("text")).alias("own")).alias("outside"))
+    joined = led.join(materialize(outside, "outside"), by, "left").withColumn("next", F.coalesce("inside", "outside"))
     return joined.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.own").alias("next_own"))
 
 
-def edited_text(text: Column, following: Column) -> Column:
+def edited(text: Column, own: Column, following: Column) -> tuple[Column, Column]:
     """``text`` with its last third (rounded down, in code points) replaced by as many of the
-    first code points of ``following``, or all of them."""
+    first code points of ``following``, or all of them; and its fingerprint, from that of the
+    text, ``own``: the paragraphs behind the last line that is kept whole are deleted from it and
+    those that take their place are inserted."""
     n = F.char_length(text)
     cut = F.floor(n / 3).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
+    kept, put = F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut)
+    broken = F.substring_index(kept, "\n", -1)  # what is kept of the line that the edit cuts
+    tail = F.substring(text, n - cut - F.char_length(broken) + 1, n)
+    return F.concat(kept, put), combine(combine(own, fingerprint(tail), -1), fingerprint(F.concat(broken, put)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -134,13 +161,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     by itself; an empty table gives an empty result.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(rows).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    text, changed = edited(F.col("text"), F.col("own"), F.col("next_text"))
+    pairs = with_next(rows).withColumns({"edited": text, "changed": changed})
     made = pairs.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "own",
-        fingerprint(F.col("edited")).alias("changed"),
+        "changed",
         "next_own",
     )
     return materialize(made, "vectors").select(

@@ -111,23 +111,39 @@ def surface_mean(field: DataFrame, mesh: DataFrame, keys: list[str] = (), *, val
 def check_levels(n_data: int, n_area: int) -> int:
     """How many levels of a per-level area to use: one extra is dropped with a warning."""
     if n_area == n_data + 1:
-        warnings.warn("area has one more vertical level than data; the last is dropped", UserWarning, stacklevel=3)
+        warnings.warn("area has one more vertical level than data; the last is dropped", UserWarning, stacklevel=4)
         return n_data
     if n_area != n_data:
         raise ValueError(f"area has {n_area} levels, data has {n_data} levels")
     return n_data
 
 
+def _check_axes(levels: DataFrame, area3d: DataFrame | None, thickness3d: DataFrame | None = None) -> None:
+    """Holds the tables by level and point, which are as large as the mesh and not as the data,
+    against the depth axis."""
+    if area3d is None and thickness3d is None:
+        return
+    own = levels.select("level").distinct().count()
+    if area3d is not None:
+        check_levels(own, area3d.select("level").distinct().count())
+    if thickness3d is not None and (given := thickness3d.select("level").distinct().count()) != own:
+        raise ValueError(f"thickness has {given} levels, data has {own} levels")
+
+
+def _on_levels(field: DataFrame, axis: DataFrame, keep: str | None = None) -> DataFrame:
+    """``field`` joined with ``axis(level, ...)``; with ``keep`` only the rows where that column of the
+    axis is true. A depth axis has tens of rows whatever the data, so it is broadcast. A row whose
+    level the axis lacks is an error, found in the same pass: one condition tells both, since a
+    second one on the axis would make the join an inner one, which passes over such rows."""
+    told = F.concat(F.lit("the depth axis has no level "), F.col("level").cast("string"), F.lit(", the data levels have"))
+    rows = field.join(F.broadcast(axis.withColumn("__level", F.lit(True))), "level", "left")
+    kept = rows.where(F.when(F.col("__level").isNull(), F.raise_error(told).cast("boolean")).otherwise(F.col(keep) if keep else F.lit(True)))
+    return kept.drop("__level", *([keep] if keep else []))
+
+
 def _volume(field: DataFrame, mesh: DataFrame, levels: DataFrame, depth_min, depth_max, mask, area3d, thickness3d) -> DataFrame:
-    if (depth_min is not None or depth_max is not None) and "depth" not in levels.columns:
-        raise ValueError("depth array required when depth_min or depth_max is given")
-    if depth_min is not None:
-        levels = levels.where(F.col("depth") >= depth_min)
-    if depth_max is not None:
-        levels = levels.where(F.col("depth") <= depth_max)
-    thick = [c for c in ("level", "thickness") if c in levels.columns]
-    # A depth axis has tens of rows whatever the data, so it is broadcast.
-    rows = field.join(F.broadcast(levels.select(*thick)), "level")
+    _check_axes(levels, area3d, thickness3d)
+    rows = _on_levels(field, _in_range(levels, depth_min, depth_max), "__in")
     if thickness3d is not None:
         rows = rows.drop("thickness").join(thickness3d.select("level", "point_id", "thickness"), ["level", "point_id"])
     if area3d is not None:
@@ -155,7 +171,8 @@ def heat_content(field: DataFrame, mesh: DataFrame, levels: DataFrame, keys: lis
     if output == "total":
         rows = _volume(field, mesh, levels, depth_min, depth_max, mask, area3d, thickness3d)
         return rows.groupBy(*keys).agg((F.coalesce(F.sum(warm * F.col("thickness") * F.col("area")), F.lit(0.0)) * (rho * cp)).alias("heat_content"))
-    inside = field.join(F.broadcast(_in_range(levels, depth_min, depth_max)), "level", "left")
+    _check_axes(levels, None, thickness3d)
+    inside = _on_levels(field, _in_range(levels, depth_min, depth_max))
     if thickness3d is not None:
         inside = inside.drop("thickness").join(thickness3d.select("level", "point_id", "thickness"), ["level", "point_id"], "left")
         inside = inside.withColumn("thickness", F.when(F.col("__in"), F.col("thickness")))
@@ -178,7 +195,7 @@ def _in_range(levels: DataFrame, depth_min, depth_max) -> DataFrame:
         keep = keep & (F.col("depth") >= depth_min)
     if depth_max is not None:
         keep = keep & (F.col("depth") <= depth_max)
-    return levels.select("level", "thickness", keep.alias("__in"))
+    return levels.select("level", *(["thickness"] if "thickness" in levels.columns else []), keep.alias("__in"))
 
 
 def latitude_bin(lat: Column, edges: list[float]) -> Column:
@@ -204,6 +221,8 @@ def hovmoller(field: DataFrame, mesh: DataFrame, levels: DataFrame | None = None
         if levels is None:
             raise ValueError("depth array required for depth mode")
         at = field.withColumn("level", F.lit(0)) if "level" not in field.columns else field
+        _check_axes(levels, area3d)
+        at = _on_levels(at, levels.select("level"))
         area = area3d.select("level", "point_id", "area") if area3d is not None else mesh.select("point_id", "area")
         rows = masked(at.join(area, ["level", "point_id"] if area3d is not None else "point_id"), mask)
         means = rows.groupBy(time, "level").agg(ratio(F.sum(x * F.col("area")), F.sum(F.when(x.isNotNull(), F.col("area")))).alias("__mean"))

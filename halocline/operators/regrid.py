@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections import OrderedDict
 from dataclasses import dataclass
-from pathlib import Path
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CACHE_ITEMS, INFLUENCE_RADIUS
 from ..functions.coords import meters_to_chord
+from ..sources.files import exists
+from ..sources.mesh import find_coordinates
 from .grids import GLOBE, grid_axes, regular_grid
+from .shaping import prepare_coordinates
 from .spatial import nearest_within
 
 
@@ -29,11 +31,12 @@ class Interpolator:
         """``field(keys..., point_id, value)`` on the grid, every cell for every key; cells
         without a source point within the radius have the fill value. An unknown source value
         stays unknown."""
-        keys = list(keys)
+        keys, cell = list(keys), ["cell_id", "i_lat", "i_lon", "lon", "lat"]
         cells = self.weights if not keys else field.select(*keys).distinct().crossJoin(self.weights)
-        joined = cells.join(field.select(*keys, "point_id", F.col(value).cast("double").alias("__v")), [*keys, "point_id"], "left")
-        filled = F.when(F.col("valid"), F.col("__v")).otherwise(F.lit(fill_value).cast("double"))
-        return joined.select(*keys, "cell_id", "i_lat", "i_lon", "lon", "lat", filled.alias("value"))
+        # Only cells with a source are joined: the others would all meet under a null point.
+        own = field.select(*keys, "point_id", F.col(value).cast("double").alias("value"))
+        reached = cells.where("valid").join(own, [*keys, "point_id"], "left").select(*keys, *cell, "value")
+        return reached.unionByName(cells.where(~F.col("valid")).select(*keys, *cell, F.lit(fill_value).cast("double").alias("value")))
 
 
 def build(mesh: DataFrame, resolution: float | tuple[int, int] = 1.0, method: str = "nearest", influence_radius: float = INFLUENCE_RADIUS, lon_bounds=GLOBE[0], lat_bounds=GLOBE[1]) -> Interpolator:
@@ -51,14 +54,42 @@ def build(mesh: DataFrame, resolution: float | tuple[int, int] = 1.0, method: st
     return Interpolator(weights, (nlat, nlon))
 
 
-def regrid(field: DataFrame, mesh: DataFrame | None, keys: list[str] = (), *, resolution: float | tuple[int, int] = 1.0, method: str = "nearest", influence_radius: float = INFLUENCE_RADIUS, fill_value: float | None = None, lon_bounds=GLOBE[0], lat_bounds=GLOBE[1], value: str = "value") -> tuple[DataFrame, Interpolator]:
-    """Regrid a field; returns the gridded table and the interpolator for further fields."""
-    if mesh is None or not {"lon", "lat"} <= set(mesh.columns):
+def regrid(field: DataFrame, mesh: DataFrame | None = None, keys: list[str] = (), *, lon: DataFrame | None = None, lat: DataFrame | None = None, resolution: float | tuple[int, int] = 1.0, method: str = "nearest", influence_radius: float = INFLUENCE_RADIUS, fill_value: float | None = None, lon_bounds=GLOBE[0], lat_bounds=GLOBE[1], value: str = "value") -> tuple[DataFrame, Interpolator]:
+    """Regrid a field; returns the gridded table and the interpolator for further fields.
+
+    The field is ``(keys..., point_id, value)`` with a ``mesh(point_id, lon, lat)``; or it stands on
+    a grid, ``(keys..., j, i, value)``, with its coordinates as two axes ``lon(i, lon)`` and
+    ``lat(j, lat)``, as 2-D tables ``(j, i, lon)`` and ``(j, i, lat)``, as one table ``(j, i, lon,
+    lat)`` in the mesh's place, or as its own columns of the known names. Points of a grid are
+    numbered ``j * width + i``.
+    """
+    gridded = {"j", "i"} <= set(field.columns) and "point_id" not in field.columns
+    if gridded:
+        field, mesh = _on_points(field, mesh, lon, lat, list(keys), value)
+    elif mesh is None and lon is not None and lat is not None:
+        mesh = prepare_coordinates(lon, lat)
+    if mesh is None or not {"point_id", "lon", "lat"} <= set(mesh.columns):
         raise ValueError("lon and lat coordinates are required")
     made = build(mesh, resolution, method, influence_radius, lon_bounds, lat_bounds)
     return made(field, keys, value, fill_value), made
 
 
+def _on_points(field: DataFrame, mesh: DataFrame | None, lon: DataFrame | None, lat: DataFrame | None, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """A field on a grid as one by point, and the points of that grid."""
+    own = find_coordinates(field.columns)
+    if lon is not None and lat is not None:
+        at = prepare_coordinates(lon, lat)
+    elif mesh is not None and {"j", "i", "lon", "lat"} <= set(mesh.columns):
+        at = mesh.select("j", "i", "lon", "lat")
+    elif None not in own:
+        at = field.select("j", "i", F.col(own[0]).alias("lon"), F.col(own[1]).alias("lat")).distinct()
+    else:
+        raise ValueError("lon and lat coordinates are required")
+    width = (at.agg(F.max("i")).first()[0] or 0) + 1
+    number = (F.col("j") * F.lit(width) + F.col("i")).cast("long").alias("point_id")
+    return field.select(*keys, number, value), at.select(number, "lon", "lat")
+
+
 class WeightsCache:
     """Least-recently-used weights, persisted in memory; with ``path`` also as parquet."""
 
@@ -79,7 +110,7 @@ class WeightsCache:
                 return self.items[key]
             stored = f"{self.path}/{key}" if self.path else None
             (_, _, nlon), (_, _, nlat) = grid_axes(options.get("resolution", 1.0), options.get("lon_bounds", GLOBE[0]), options.get("lat_bounds", GLOBE[1]))
-            if stored and Path(stored).is_dir():
+            if stored and exists(mesh.sparkSession, stored):
                 made = Interpolator(mesh.sparkSession.read.parquet(stored), (nlat, nlon))
             else:
                 made = build(mesh, **options)

@@ -27,6 +27,9 @@ REGIONS = {
     ],
 }
 
+#: Candidates for a query from which a search approaches its radius from smaller cubes.
+MANY = 64
+
 
 def in_bbox(lon: Column, lat: Column, lon_min: float, lon_max: float, lat_min: float, lat_max: float) -> Column:
     """Inclusive box; one with lon_min > lon_max holds nothing."""
@@ -121,37 +124,69 @@ def _candidates(queries: DataFrame, points: DataFrame, h: float) -> DataFrame:
     return q.join(p, "__cube").select("query_id", "point_id", d2.alias("d2"))
 
 
-def nearest_within(queries: DataFrame, points: DataFrame, max_chord: float) -> DataFrame:
-    """``queries(query_id, lon, lat)`` -> ``(query_id, point_id, chord)`` of the nearest point at
-    most ``max_chord`` away; queries without one are left out."""
-    close = _candidates(queries, points, max(max_chord, 1e-6)).where(F.col("d2") <= max_chord * max_chord)
-    best = close.groupBy("query_id").agg(F.min(F.struct("d2", "point_id")).alias("b"))
-    return best.select("query_id", F.col("b.point_id").alias("point_id"), F.sqrt("b.d2").alias("chord"))
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    """The k candidates of each query with the least d2, ties to the smaller point_id, with
+    ``rank`` from 0; written so that Spark limits the ranks before and after the exchange."""
+    order = Window.partitionBy("query_id").orderBy("d2", "point_id")
+    ranked = candidates.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k)
+    return ranked.withColumn("rank", F.col("__place") - 1).drop("__place")
 
 
-def find_nearest(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
-    """``queries(query_id, lon, lat)`` -> ``(query_id, rank, point_id, distance)``: the k nearest
-    points (all, if there are fewer) by rank from 0, distance in metres along the surface.
+def _crowding(points: DataFrame, h: float) -> float:
+    """How many points a point's cube of edge ``h`` holds, on the mean over the points: a refined
+    mesh crowds a few cubes."""
+    per = _cubed(points.select("point_id", "lon", "lat"), h, False).groupBy("__cube").count()
+    row = per.agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("square")).first()
+    return row.square / row.n
 
-    Each pass doubles the cube edge for the queries whose k-th distance it did not cover; at an
-    edge of 2 the neighbouring cubes hold the whole sphere.
+
+def _search(queries: DataFrame, points: DataFrame, k: int, n: int, reach: float) -> DataFrame:
+    """``(query_id, rank, point_id, d2)`` of the k nearest of the ``n`` points within a chord of
+    ``reach`` (at most 2, which is the whole sphere).
+
+    Cubes start at the size that the crowded parts need, where their queries are done with a
+    bounded number of candidates; each pass doubles the edge for the queries that are left.
     """
-    n = points.count()
-    if n == 0:
-        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("distance")).where(F.lit(False))
-    h, pending, parts = min(2.0, 1.5 * math.sqrt(4 * math.pi * max(1, k) / n)), queries.select("query_id", "lon", "lat"), None
-    order = Window.partitionBy("query_id").orderBy("d2", "point_id")
+    h, most, parts, done = 1.5 * math.sqrt(4 * math.pi * k / n), 8.0 * k, None, []
+    if (crowd := _crowding(points, min(h, 2.0))) > most:
+        h *= math.sqrt(most / crowd)
+    pending = queries.select("query_id", "lon", "lat")
     while True:
-        last = h >= 2.0
-        ranked = _candidates(pending, points, h).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+        h = min(h, reach)
+        ranked = _best(_candidates(pending, points, h).where(F.col("d2") <= h * h), k) if h < 2.0 else _best(_candidates(pending, points, h), k)
+        last = h >= reach
         if not last:
-            ranked = ranked.where(F.col("d2") <= h * h).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("__n") >= min(k, n)).drop("__n")
-        ranked = ranked.persist()
-        parts = ranked if parts is None else parts.union(ranked)
+            found = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+            ranked = ranked.withColumn("__n", found).where(F.col("__n") >= min(k, n)).drop("__n").persist()
+        parts = ranked if parts is None else parts.unionByName(ranked)
         if last:
             break
-        pending = pending.join(ranked.select("query_id").distinct(), "query_id", "left_anti").persist()
+        pending = pending.join(ranked.where("rank = 0").select("query_id"), "query_id", "left_anti").persist()
+        done.append(pending)
         if pending.limit(1).count() == 0:
             break
-        h = min(2.0, 2 * h)
-    return parts.select("query_id", "rank", "point_id", chord_to_meters(F.sqrt("d2")).alias("distance"))
+        h *= 2
+    for frame in done[:-1]:  # the last pass may still read the last one
+        frame.unpersist()
+    return parts
+
+
+def nearest_within(queries: DataFrame, points: DataFrame, max_chord: float) -> DataFrame:
+    """``queries(query_id, lon, lat)`` -> ``(query_id, point_id, chord)`` of the nearest point at
+    most ``max_chord`` away; queries without one are left out. One pass if the radius is of the
+    order of the spacing of the points, else it is approached from smaller cubes."""
+    h, n = max(max_chord, 1e-6), points.count()
+    if n * 9 * h * h / (4 * math.pi) > MANY:
+        best = _search(queries, points, 1, n, h)
+    else:
+        best = _best(_candidates(queries, points, h), 1)
+    return best.where(F.col("d2") <= max_chord * max_chord).select("query_id", "point_id", F.sqrt("d2").alias("chord"))
+
+
+def find_nearest(queries: DataFrame, points: DataFrame, k: int = 1) -> DataFrame:
+    """``queries(query_id, lon, lat)`` -> ``(query_id, rank, point_id, distance)``: the k nearest
+    points (all, if there are fewer) by rank from 0, distance in metres along the surface."""
+    n = points.count()
+    if n == 0:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("distance")).where(F.lit(False))
+    return _search(queries, points, max(1, k), n, 2.0).select("query_id", "rank", "point_id", chord_to_meters(F.sqrt("d2")).alias("distance"))

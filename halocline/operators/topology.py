@@ -80,9 +80,9 @@ def element_to_node(field: DataFrame, elements: DataFrame, points: DataFrame, ke
 
 def mask_by_depth(field: DataFrame, area3d: DataFrame, value: str = "value") -> DataFrame:
     """``field(level, point_id, value, ...)`` with NULL where ``area3d(level, point_id, area)`` has
-    no area, that is below the bottom."""
-    counts = [df.agg(F.count_distinct("level"), F.count_distinct("point_id")).first() for df in (field, area3d)]
-    if tuple(counts[0]) != tuple(counts[1]):
-        raise ValueError(f"data shape {tuple(counts[0])} does not match nod_area_nans shape {tuple(counts[1])}")
-    wet = area3d.select("level", "point_id", known(F.col("area")).alias("__area"))
-    return field.join(wet, ["level", "point_id"], "left").withColumn(value, F.when(F.col("__area").isNotNull(), F.col(value).cast("double"))).drop("__area")
+    no area, that is below the bottom. A row whose level and point ``area3d`` lacks is an error,
+    found in the same pass."""
+    wet = area3d.select("level", "point_id", known(F.col("area")).alias("__area"), F.lit(True).alias("__there"))
+    told = F.concat(F.lit("data shape does not match nod_area_nans shape: no level "), F.col("level").cast("string"), F.lit(", point "), F.col("point_id").cast("string"))
+    joined = field.join(wet, ["level", "point_id"], "left").where(F.coalesce("__there", F.raise_error(told).cast("boolean")))
+    return joined.withColumn(value, F.when(F.col("__area").isNotNull(), F.col(value).cast("double"))).drop("__area", "__there")

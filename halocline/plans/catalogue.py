@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import coords
 from ..operators import grids, reduce, regrid, sections, shaping, spatial, topology, vertical
-from ..sources import healpix, load
-from ..sources.mesh import Mesh, lonlat_mesh, mesh_from_df, open_dataset, validate_mesh
+from ..sources import files, healpix, load, netcdf
+from ..sources.mesh import Mesh, find_coordinates, is_mesh, lonlat_mesh, mesh_from_df, mesh_kind, open_dataset, validate_mesh, with_metadata
 from ..streaming.ice import windowed_reduction
-from . import derive
+from . import derive, projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,38 +278,90 @@ def _grid_sql(step: float) -> str:
     FROM (SELECT a.range AS j, b.range AS i, {-180 + step / 2} + CAST({step} AS DOUBLE) * b.range AS lon, {-90 + step / 2} + CAST({step} AS DOUBLE) * a.range AS lat FROM range({m}) a, range({n}) b))"""
 
 
-_PAIRS = "(SELECT cell_id, point_id, pow(gx - x, 2) + pow(gy - y, 2) + pow(gz - z, 2) AS d2 FROM grid, xyz)"
+def _pairs(degrees: float) -> str:
+    """Cells and points within so many degrees of latitude, which is no nearer than they are."""
+    return f"(SELECT cell_id, point_id, pow(gx - x, 2) + pow(gy - y, 2) + pow(gz - z, 2) AS d2 FROM grid JOIN xyz ON xyz.lat BETWEEN grid.lat - {degrees} AND grid.lat + {degrees})"
+
+
+def _nearest(radius: float) -> str:
+    """The nearest point of each cell that has one within a radius in metres."""
+    reach = f"pow(2 * sin({radius} / (2 * {R})), 2)"
+    return f"(SELECT cell_id, arg_min(point_id, d2) AS point_id FROM {_pairs(radius / 111_000 + 0.1)} WHERE d2 <= {reach} GROUP BY cell_id)"
 
 
 @register(f""", {_grid_sql(30.0)} SELECT cell_id AS query_id, CAST(rn - 1 AS INTEGER) AS rank, point_id, round(2 * {R} * asin(least(1.0, sqrt(d2) / 2)), 0) AS distance
-  FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(d2, 12), point_id) AS rn FROM {_PAIRS}) WHERE rn <= 3""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(d2, 12), point_id) AS rn FROM {_pairs(180)}) WHERE rn <= 3""")
 def find_nearest(spark, d):
     q = grids.regular_grid(spark, 30.0).select(F.col("cell_id").alias("query_id"), "lon", "lat")
     return spatial.find_nearest(q, derive.points(spark, d), 3).withColumn("distance", F.round("distance", 0))
 
 
 @register(f""", {_grid_sql(5.0)} SELECT grid.cell_id, i_lat, i_lon, grid.lon, grid.lat, value FROM grid
-  LEFT JOIN (SELECT cell_id, first(point_id ORDER BY d2) AS point_id FROM {_PAIRS} WHERE d2 <= pow(2 * sin(400000.0 / (2 * {R})), 2) GROUP BY cell_id) USING (cell_id) LEFT JOIN surface USING (point_id)""")
+  LEFT JOIN {_nearest(400_000.0)} USING (cell_id) LEFT JOIN surface USING (point_id)""")
 def regrid_nearest(spark, d):
     return regrid.regrid(derive.surface(spark, d), derive.points(spark, d), resolution=5.0, influence_radius=400_000.0)[0]
 
 
+_COARSE = "SELECT b.range AS i, a.range AS j, b.range * 2e1 - 170 + a.range * 1e-3 AS lon, a.range * 2e1 - 80 + b.range * 1e-4 AS lat, CAST((a.range * 18 + b.range) % 7 AS DOUBLE) AS value FROM range(9) a, range(18) b"
+
+
+def _coarse(spark):
+    g = spark.range(162).select(F.floor(F.col("id") / 18).alias("j"), (F.col("id") % 18).alias("i"), (F.col("id") % 7).cast("double").alias("value"))
+    return g.withColumns({"lon": F.col("i") * 20.0 - 170 + F.col("j") * 0.001, "lat": F.col("j") * 20.0 - 80 + F.col("i") * 0.0001})
+
+
+@register(f"""WITH {_grid_sql(15.0)}, coarse AS ({_COARSE}), c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM coarse)
+  SELECT cell_id, i_lat, i_lon, grid.lon, grid.lat, coalesce(value, -1) AS value FROM grid LEFT JOIN (SELECT cell_id, arg_min(value, d2) AS value
+  FROM (SELECT cell_id, value, pow(gx - x, 2) + pow(gy - y, 2) + pow(gz - z, 2) AS d2 FROM grid, c) WHERE d2 <= pow(2 * sin(1500000.0 / (2 * {R})), 2) GROUP BY cell_id) USING (cell_id)""", shared=False)
+def regrid_2d_coordinates(spark, d):
+    g = _coarse(spark)
+    return regrid.regrid(g.select("j", "i", "value"), g, resolution=15.0, influence_radius=1_500_000.0, fill_value=-1.0)[0]
+
+
+@register(f"""WITH {_grid_sql(30.0)}, axes AS (SELECT b.range AS i, a.range AS j, b.range * 2.1e1 - 171 AS lon, a.range * 1.9e1 - 77 AS lat FROM range(9) a, range(17) b),
+  c AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM axes)
+  SELECT level, cell_id, i_lat, i_lon, grid.lon, grid.lat, round(CASE WHEN p IS NOT NULL THEN level * 1e3 + p END, 6) AS value FROM (SELECT CAST(range AS INTEGER) AS level FROM range(3)) CROSS JOIN grid
+  LEFT JOIN (SELECT cell_id, arg_min(j * 17 + i, d2) AS p FROM (SELECT cell_id, i, j, pow(gx - x, 2) + pow(gy - y, 2) + pow(gz - z, 2) AS d2 FROM grid, c) WHERE d2 <= pow(2 * sin(900000.0 / (2 * {R})), 2) GROUP BY cell_id) USING (cell_id)""", shared=False)
+def regrid_axes_by_level(spark, d):
+    import warnings
+
+    lon, lat = (spark.range(n).select(F.col("id").alias(k), (F.col("id") * step + first).alias(name)) for n, k, step, first, name in ((17, "i", 21.0, -171.0, "lon"), (9, "j", 19.0, -77.0, "lat")))
+    field = spark.range(3 * 9 * 17).select(F.floor(F.col("id") / 153).cast("int").alias("level"), F.floor(F.col("id") % 153 / 17).alias("j"), (F.col("id") % 17).alias("i"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _rounded(regrid.regrid(field.withColumn("value", F.col("level") * 1000.0 + F.col("j") * 17 + F.col("i")), keys=["level"], lon=lon, lat=lat, resolution=30.0, influence_radius=900_000.0)[0])
+
+
 @register(f""", {_grid_sql(15.0)} SELECT time, cell_id, value, point_id IS NOT NULL AS valid FROM (SELECT DISTINCT time FROM ice) CROSS JOIN grid
-  LEFT JOIN (SELECT cell_id, first(point_id ORDER BY d2) AS point_id FROM {_PAIRS} WHERE d2 <= pow(2 * sin(600000.0 / (2 * {R})), 2) GROUP BY cell_id) USING (cell_id)
-  LEFT JOIN (SELECT time, point_id, concentration AS value FROM ice) USING (time, point_id)""")
+  LEFT JOIN {_nearest(600_000.0)} USING (cell_id) LEFT JOIN (SELECT time, point_id, concentration AS value FROM ice) USING (time, point_id)""")
 def regrid_by_time(spark, d):
     made = regrid.build(derive.points(spark, d), 15.0, influence_radius=600_000.0)
     gridded = made(derive.ice(spark, d), ["time"], "concentration")
     return gridded.join(made.weights.select("cell_id", "valid"), "cell_id").select("time", "cell_id", "value", "valid")
 
 
+@register(f""", {_grid_sql(20.0)} SELECT (SELECT count(*) FROM {_nearest(700_000.0)}) AS valid, (SELECT count(*) FROM {_nearest(900_000.0)}) AS wider, 2 AS held, 2 AS held_again, true AS same_key, true AS other_key, true AS kept_on_disk, 0 AS after_clear""")
+def weights_cache(spark, d):
+    mesh, near, wide = derive.points(spark, d), {"resolution": 20.0, "influence_radius": 700_000.0}, {"resolution": 20.0, "influence_radius": 900_000.0}
+    folder = files.scratch(spark, "weights")
+    cache = regrid.set_cache_options(spark, 2, folder)
+    third = cache.get_or_create(mesh, resolution=30.0, influence_radius=700_000.0)  # put out by the other two
+    first, second = cache.get_or_create(mesh, **near), cache.get_or_create(mesh, **wide)
+    counts = [int(x.weights.where("valid").count()) for x in (first, second)]
+    held, again = len(cache), cache.get_or_create(mesh, **near)
+    key = cache.key(mesh, **near)
+    row = (*counts, held, len(cache), again is first and third is not first, key != cache.key(mesh, **wide) and key != cache.key(mesh.limit(5), **near), files.exists(spark, f"{folder}/{key}"))
+    regrid.clear_cache(spark)
+    return spark.createDataFrame([(*row, len(regrid.get_cache(spark)))], "valid long, wider long, held int, held_again int, same_key boolean, other_key boolean, kept_on_disk boolean, after_clear int")
+
+
 @register(f""", {_grid_sql(10.0)} SELECT CAST(i_lat - 9 AS INTEGER) AS i_lat, i_lon, grid.lon, grid.lat, value FROM grid
-  LEFT JOIN (SELECT cell_id, first(point_id ORDER BY d2) AS point_id FROM {_PAIRS} WHERE d2 <= pow(2 * sin(900000.0 / (2 * {R})), 2) GROUP BY cell_id) USING (cell_id) LEFT JOIN surface USING (point_id) WHERE grid.lat > 0""")
+  LEFT JOIN {_nearest(900_000.0)} USING (cell_id) LEFT JOIN surface USING (point_id) WHERE grid.lat > 0""")
 def map_north_polar(spark, d):
     return sections.map_table(derive.surface(spark, d), derive.points(spark, d), projection="np", resolution=10.0, influence_radius=900_000.0)
 
 
-@register(f""", path AS ({_DISTANCE}), near AS (SELECT i, first(point_id ORDER BY pow(cos(radians(p.lat)) * cos(radians(p.lon)) - x, 2) + pow(cos(radians(p.lat)) * sin(radians(p.lon)) - y, 2) + pow(sin(radians(p.lat)) - z, 2)) AS point_id FROM path p, xyz GROUP BY i)
+@register(f""", path AS ({_DISTANCE}), near AS (SELECT i, arg_min(point_id, pow(cos(radians(p.lat)) * cos(radians(p.lon)) - x, 2) + pow(cos(radians(p.lat)) * sin(radians(p.lon)) - y, 2) + pow(sin(radians(p.lat)) - z, 2)) AS point_id FROM path p, xyz GROUP BY i)
   SELECT i, round(lon, 6) AS lon, round(lat, 6) AS lat, round(distance_km, 6) AS distance_km, level, depth, value FROM path JOIN near USING (i) JOIN profile USING (point_id) JOIN levels USING (level)""")
 def transect(spark, d):
     t = sections.transect(derive.profile(spark, d), derive.points(spark, d), derive.levels(spark), (-30.0, 10.0), (40.0, 55.0), 50)
@@ -404,8 +456,9 @@ def open_dataset_query(spark, d):
     return open_dataset(derive.profile(spark, d), mesh).select("point_id", "level", "depth", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "value")
 
 
-@register("""SELECT message FROM (SELECT CASE WHEN max(n2) >= (SELECT n FROM size) THEN 'Triangle index ' || max(n2) || ' exceeds npoints=' || (SELECT n FROM size) END AS message
-  FROM (SELECT greatest(n0, n1, n2) + 5 AS n2 FROM elements)) WHERE message IS NOT NULL UNION ALL SELECT 'Area contains non-positive values'""")
+@register("""SELECT n || told AS message FROM (
+  SELECT count(*) AS n, ' points have a non-positive area' AS told FROM points WHERE area - 1e6 <= 0
+  UNION ALL SELECT count(*), ' triangles have a vertex beyond the ' || (SELECT n FROM size) || ' points' FROM elements WHERE greatest(n0, n1, n2) + 5 >= (SELECT n FROM size)) WHERE n > 0""")
 def validate_mesh_query(spark, d):
     bad = derive.points(spark, d).withColumn("area", F.col("area") - 1e6)
     shifted = derive.elements(spark, d).select("elem_id", "n0", "n1", (F.greatest("n0", "n1", "n2") + 5).alias("n2"))
@@ -447,3 +500,238 @@ def windowed_events(spark, d):
     n = derive._size(spark, d)
     rows = spark.read.parquet(f"{d}/events.parquet").crossJoin(n).select("ts", (F.col("user_id") % F.col("n")).alias("point_id"), "value")
     return _rounded(windowed_reduction(rows, derive.points(spark, d), window="1 day").select("window_start", "mean", "extent", "n"), extent=1e6)
+
+
+# Sources: files are written from the derived tables to the shared folder, then read.
+
+
+def _text(df: DataFrame, path: str, head: str | None = None) -> None:
+    """Lines of ``df(at, line)`` in order, in one file, below a first line with their number."""
+    rows = df.select(F.col("at").cast("long").alias("at"), "line")
+    first = rows.agg(F.lit(-1).cast("long").alias("at"), F.count(F.lit(1)).cast("string").alias("line"))
+    rows.unionByName(first).repartition(1).sortWithinPartitions("at").select("line").write.text(path)
+
+
+def _text_mesh(spark, d) -> str:
+    folder, p, e = files.scratch(spark, "mesh"), derive.points(spark, d), derive.elements(spark, d)
+    _text(p.select(F.col("point_id").alias("at"), F.concat_ws(" ", F.col("point_id") + 1, "lon", "lat", F.lit(0)).alias("line")), f"{folder}/nod2d.out")
+    _text(e.select(F.col("elem_id").alias("at"), F.concat_ws("  ", F.col("n0") + 1, F.col("n1") + 1, F.col("n2") + 1).alias("line")), f"{folder}/elem2d.out")
+    _text(derive.levels(spark).select(F.col("level").alias("at"), F.concat(F.lit("-"), F.col("depth")).alias("line")), f"{folder}/aux3d.out")
+    return folder
+
+
+_CLUSTER = f"""SELECT p.point_id, round(p.lon, 6) AS lon, round(p.lat, 6) AS lat, round(coalesce(sum(t.area), 0) / 1e6, 3) AS area FROM points p LEFT JOIN (
+  SELECT DISTINCT elem_id, unnest([n0, n1, n2]) AS point_id, {_TRIANGLE} / 3.0 AS area FROM {_CORNERS}) t USING (point_id) GROUP BY ALL"""
+
+
+def _mesh_points(mesh: Mesh) -> DataFrame:
+    p = mesh.points
+    return p.select("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round(F.col("area") / 1e6, 3).alias("area"))
+
+
+@register(f"SELECT p.point_id, lon, lat, area, 'fesom' AS kind FROM ({_CLUSTER}) p")
+def text_mesh(spark, d):
+    path = _text_mesh(spark, d)
+    mesh = load.load_mesh(spark, path)  # the kind is found from the files
+    assert load.detect_mesh_type(spark, path) == mesh.kind
+    return _mesh_points(mesh).withColumn("kind", F.lit(mesh.kind))
+
+
+@register("SELECT level, (depth + below) / 2 AS depth, below - depth AS thickness FROM (SELECT level, depth, lead(depth) OVER (ORDER BY level) AS below FROM levels) WHERE below IS NOT NULL")
+def text_mesh_levels(spark, d):
+    return load.load_text_mesh(spark, _text_mesh(spark, d)).levels.select("level", "depth", "thickness")
+
+
+def _columns(df: DataFrame, order: str) -> dict:
+    """A table as arrays in order; a netCDF file is written from one place."""
+    table = df.orderBy(order).toArrow()
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _netcdf(spark, name: str, *what) -> str:
+    path = f"{files.scratch(spark, 'netcdf')}/{name}"
+    files.write_bytes(spark, path, netcdf.encode(*what))
+    return path
+
+
+@register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area / 1e6, 3) AS area, (SELECT count(*) FROM elements) AS n_elements, (SELECT sum(n0 + n1 + n2) FROM elements) AS corners, 6 AS n_levels FROM points")
+def netcdf_mesh(spark, d):
+    import numpy as np
+
+    p, e = _columns(derive.points(spark, d), "point_id"), _columns(derive.elements(spark, d), "elem_id")
+    corners = np.stack([e[c] + 1 for c in ("n0", "n1", "n2")]).astype("i4")
+    depth = np.array([-x[1] for x in derive.LEVELS])
+    path = _netcdf(spark, "fesom.mesh.diag.nc", {"nod2": len(p["lon"]), "elem": corners.shape[1], "n3": 3, "nz": len(depth)}, {"lon": (("nod2",), p["lon"], {}), "lat": (("nod2",), p["lat"], {}), "nod_area": (("nod2",), p["area"], {}), "face_nodes": (("n3", "elem"), corners, {"start_index": 1.0}), "nz": (("nz",), depth, {"units": "m"})})
+    mesh = load.load_mesh(spark, path)
+    totals = mesh.elements.agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.col("n0") + F.col("n1") + F.col("n2")).alias("corners"))
+    return _mesh_points(mesh).crossJoin(F.broadcast(totals)).withColumn("n_levels", F.lit(mesh.levels.count()).cast("int"))
+
+
+@register("SELECT level, point_id, CASE WHEN point_id % 7 <> level THEN area END AS area FROM points, levels")
+def netcdf_area_by_level(spark, d):
+    import numpy as np
+
+    p = _columns(derive.points(spark, d), "point_id")
+    layered = np.array([np.where(p["point_id"] % 7 != level, p["area"], 0.0) for level, _, _ in derive.LEVELS])
+    path = _netcdf(spark, "mesh.diag.nc", {"nod2": len(p["lon"]), "nl": len(layered)}, {"lon": (("nod2",), p["lon"], {}), "lat": (("nod2",), p["lat"], {}), "nod_area": (("nl", "nod2"), layered, {})})
+    return load.load_mesh(spark, path).area3d.select("level", "point_id", "area")
+
+
+@register(ORACLES["structured_mesh"], shared=False)
+def structured_netcdf(spark, d):
+    g = _columns(_structured(spark).withColumn("at", F.col("j") * 36 + F.col("i")), "at")
+    dims = ("time", "y", "x")
+    shape = (1, 21, 36)
+    path = _netcdf(spark, "mesh_mask.nc", {"time": 1, "z": 2, "y": 21, "x": 36}, {"glamt": (dims, g["lon"].reshape(shape), {}), "gphit": (dims, g["lat"].astype("f8").reshape(shape), {}), "tmask": (("time", "z", "y", "x"), [[g["tmask"].reshape(21, 36), 0 * g["tmask"].reshape(21, 36)]], {})})
+    p = load.load_mesh(spark, path).points
+    return p.select("point_id", "flat_idx", F.round("lon", 6).alias("lon"), "lat", F.round(F.col("area") / 1e6, 4).alias("area"))
+
+
+@register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, area, 'A2' AS prefix FROM points")
+def reduced_netcdf(spark, d):
+    p = _columns(derive.points(spark, d), "point_id")
+    n = len(p["lon"])
+    grid = {"A1.lon": (("y1", "x1"), p["lon"][None, :2], {}), "A1.lat": (("y1", "x1"), p["lat"][None, :2], {})} | {f"{a}.{k}": (("y", "x"), (p[k] + (360 if k == "lon" else 0))[None], {}) for a in ("A3", "A2") for k in ("lon", "lat")}
+    grids_nc = _netcdf(spark, "grids.nc", {"y": 1, "x": n, "y1": 1, "x1": 2}, grid)
+    areas_nc = _netcdf(spark, "areas.nc", {"y": 1, "x": n}, {"A2.srf": (("y", "x"), p["area"][None], {}), "A3.srf": (("y", "x"), p["area"][None] * 2, {})})
+    mesh = load.load_mesh(spark, grids_nc, "ifs_tco", area_file=areas_nc)
+    return _rounded(mesh.points.select("point_id", "lon", "lat", "area")).withColumn("prefix", F.lit(mesh.extra["prefix"]))
+
+
+@register("""SELECT CAST(time AS BIGINT) AS time, level, round(sum(value * area) / sum(CASE WHEN value IS NOT NULL THEN area END), 6) AS mean FROM (SELECT t.range AS time, level, point_id, CASE WHEN value IS NOT NULL THEN value + t.range END AS value FROM profile, range(6) t) JOIN points USING (point_id) GROUP BY ALL""")
+def series_of_files(spark, d):
+    import numpy as np
+
+    p = _columns(derive.profile(spark, d).withColumn("at", F.col("level") * 10_000_000_000 + F.col("point_id")), "at")
+    field, folder = p["value"].reshape(len(derive.LEVELS), -1), files.scratch(spark, "series")
+    for part in range(3):  # two times in each file, missing values by their mark
+        values = np.stack([np.nan_to_num(field + 2 * part + t, nan=-9e33) for t in range(2)])
+        raw = netcdf.encode({"time": 2, "nz": len(field), "nod2": field.shape[1]}, {"temp": (("time", "nz", "nod2"), values, {"_FillValue": -9e33})})
+        files.write_bytes(spark, f"{folder}/temp_{part}.nc", raw)
+    series = netcdf.open_series(spark, f"{folder}/temp_*.nc", "temp")
+    return _rounded(reduce.surface_mean(series, derive.points(spark, d), ["time", "level"]))
+
+
+@register(f""", {_grid_sql(15.0)} SELECT time, CAST(i_lat AS BIGINT) AS i_lat, CAST(i_lon AS BIGINT) AS i_lon, value FROM (SELECT DISTINCT CAST(time AS VARCHAR) AS time, time AS t FROM ice) CROSS JOIN grid
+  LEFT JOIN {_nearest(600_000.0)} USING (cell_id) LEFT JOIN (SELECT time AS t, point_id, concentration AS value FROM ice) USING (t, point_id)""")
+def export_netcdf(spark, d):
+    made = regrid.build(derive.points(spark, d), 15.0, influence_radius=600_000.0)
+    paths = netcdf.export_grid(made(derive.ice(spark, d), ["time"], "concentration"), files.scratch(spark, "export"), ["time"], name="ice")
+    back = netcdf.read_variables(spark, f"{paths[0].rsplit('/', 1)[0]}/ice_*.nc", ["ice"])
+    time = F.get(F.array(*(F.lit(netcdf.read_header(spark, p).attributes["time"]) for p in paths)), F.col("file").cast("int"))
+    return back.select(time.alias("time"), F.col("lat").alias("i_lat"), F.col("lon").alias("i_lon"), F.col("ice").alias("value"))
+
+
+# Helpers that answer on the driver, and checks.
+
+
+@register("SELECT point_id, round(a - 360 * floor((a + 180) / 360), 6) AS wrapped, round(lon, 6) AS kept FROM (SELECT point_id, lon, lon + 360 AS a FROM points)")
+def ensure_longitudes(spark, d):
+    p = derive.points(spark, d)
+    wrapped = coords.ensure_lon_pm180(p.withColumn("lon", F.col("lon") + 360)).select("point_id", F.round("lon", 6).alias("wrapped"))
+    return wrapped.join(coords.ensure_lon_pm180(p).select("point_id", F.round("lon", 6).alias("kept")), "point_id")
+
+
+_NAMED = [(["time", "Longitude", "lat"], "Longitude", "lat"), (["x", "lon", "y"], "lon", "y"), (["nav_lat", "nav_lon"], "nav_lon", "nav_lat"), (["a", "b"], None, None)]
+
+
+@register("SELECT * FROM (VALUES (0, 'Longitude', 'lat'), (1, 'lon', 'y'), (2, 'nav_lon', 'nav_lat'), (3, NULL, NULL)) v(i, lon, lat)", shared=False)
+def coordinate_names(spark, d):
+    return spark.createDataFrame([(i, *find_coordinates(columns)) for i, (columns, *_) in enumerate(_NAMED)], "i int, lon string, lat string")
+
+
+@register("SELECT j, i, j * 10e0 - 40 AS lat, i * 20e0 - 90 AS lon, CAST(j * 10 + i AS DOUBLE) AS value FROM (SELECT range AS j FROM range(9)), (SELECT range AS i FROM range(10))", shared=False)
+def prepared_input(spark, d):
+    import warnings
+
+    cells = spark.range(90).select(F.floor(F.col("id") / 10).alias("j"), (F.col("id") % 10).alias("i"), F.col("id").cast("double").alias("value"))
+    lon, lat = (spark.range(n).select(F.col("id").alias(k), (F.col("id") * step + first).alias(name)) for n, k, step, first, name in ((10, "i", 20.0, -90.0, "lon"), (9, "j", 10.0, -40.0, "lat")))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return shaping.prepare_input(cells, lon, lat)
+
+
+@register("""SELECT * FROM (VALUES ('PC', 'PlateCarree', false, NULL, -90e0, 90e0), ('robinson', 'Robinson', true, NULL, -90e0, 90e0), ('Moll', 'Mollweide', true, NULL, -90e0, 90e0), ('merc', 'Mercator', false, NULL, -90e0, 90e0),
+  ('npstere', 'NorthPolarStereo', false, 'north', 0e0, 90e0), ('SP', 'SouthPolarStereo', false, 'south', -90e0, 0e0), ('ortho', 'Orthographic', false, NULL, -90e0, 90e0), ('lcc', 'LambertConformal', false, NULL, -90e0, 90e0)) v(alias, name, is_global, polar, south, north)""", shared=False)
+def projection_facts(spark, d):
+    names = ("PC", "robinson", "Moll", "merc", "npstere", "SP", "ortho", "lcc")
+    rows = [(n, projections.projection_name(n), projections.is_global(n), projections.polar_side(n), *projections.data_bounds(n)[1]) for n in names]
+    return spark.createDataFrame(rows, "alias string, name string, is_global boolean, polar string, south double, north double")
+
+
+@register("""SELECT i, round(greatest(-180.0, (w + e) / 2 - (e - w) / 2 * 1.414), 6) AS west, round(least(180.0, (w + e) / 2 + (e - w) / 2 * 1.414), 6) AS east, round(greatest(-90.0, (s + n) / 2 - (n - s) / 2 * 1.414), 6) AS south, round(least(90.0, (s + n) / 2 + (n - s) / 2 * 1.414), 6) AS north
+  FROM (VALUES (0, -30e0, 40e0, 60e0, 80e0), (1, -180e0, 180e0, -90e0, -50e0)) v(i, w, e, s, n)""", shared=False)
+def polar_bounds(spark, d):
+    boxes = [((-30.0, 40.0), (60.0, 80.0)), ((-180.0, 180.0), (-90.0, -50.0))]
+    rows = [(i, *grids.expand_bounds_for_polar(*box)[0], *grids.expand_bounds_for_polar(*box)[1]) for i, box in enumerate(boxes)]
+    return _rounded(spark.createDataFrame(rows, "i int, west double, east double, south double, north double"))
+
+
+@register("SELECT * FROM (VALUES ('Nino 3.4', 1), ('Nino 3', 1), ('Nino 4', 2)) v(name, polygons)", shared=False)
+def region_names(spark, d):
+    features = {f["properties"]["name"]: f for f in spatial.load_geojson("NinoRegions")["features"]}
+    rows = [(n, len(features[n]["geometry"]["coordinates"])) for n in spatial.list_available_regions()]
+    return spark.createDataFrame(rows, "name string, polygons int")
+
+
+@register("SELECT CAST(1 << range AS INTEGER) AS nside, CAST(12 * (1 << range) * (1 << range) AS BIGINT) AS npoints, CAST(1 << range AS INTEGER) AS back, range = 6 AS of_one_degree FROM range(10)", shared=False)
+def healpix_sides(spark, d):
+    rows = [(n, healpix.nside_to_npoints(n), healpix.npoints_to_nside(healpix.nside_to_npoints(n)), healpix.resolution_to_nside(1.0) == n) for n in (1 << i for i in range(10))]
+    return spark.createDataFrame(rows, "nside int, npoints long, back int, of_one_degree boolean")
+
+
+@register(f"""WITH p AS (SELECT range AS point_id, range // 16 AS face, range % 16 AS q FROM range(192)),
+  xy AS (SELECT point_id, face, ((q & 1) + ((q >> 2) & 1) * 2 + 0.5) / 4 AS x, (((q >> 1) & 1) + ((q >> 3) & 1) * 2 + 0.5) / 4 AS y FROM p),
+  spot AS (SELECT point_id, [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4][face + 1] - x - y AS ring, [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7][face + 1] AS middle, x - y AS aside FROM xy),
+  sphere AS (SELECT *, CASE WHEN ring < 1 THEN ring WHEN ring > 3 THEN 4 - ring ELSE 1 END AS narrow FROM spot),
+  place AS (SELECT point_id, CASE WHEN ring < 1 THEN 1 - narrow * narrow / 3 WHEN ring > 3 THEN narrow * narrow / 3 - 1 ELSE (2 - ring) * 2 / 3 END AS z, (middle * narrow + aside) / narrow * 45 AS phi FROM sphere)
+  SELECT point_id, round(phi - 360 * floor((phi + 180) / 360), 6) AS lon, round(degrees(asin(z)), 6) AS lat FROM place""", shared=False)
+def healpix_nested(spark, d):
+    return _rounded(healpix.healpix_mesh(spark, 192).points.select("point_id", "lon", "lat"))
+
+
+@register("""SELECT p.point_id, t.depth, round(a.value + (b.value - a.value) * (t.depth - t.d0) / (t.d1 - t.d0), 6) AS value FROM points p,
+  (SELECT * FROM (VALUES (175e-1, 1, 2, 10.0, 25.0), (60.0, 2, 3, 25.0, 60.0), (300.0, 4, 5, 150.0, 400.0)) v(depth, lo, hi, d0, d1)) t
+  JOIN profile a ON a.point_id = p.point_id AND a.level = t.lo JOIN profile b ON b.point_id = p.point_id AND b.level = t.hi""")
+def interpolate_upward_axis(spark, d):
+    """The same field with its levels numbered from the bottom."""
+    field = derive.profile(spark, d).withColumn("level", F.lit(6) - F.col("level"))
+    levels = derive.levels(spark).withColumn("level", F.lit(6) - F.col("level"))
+    return _rounded(vertical.interpolate_to_depth(field, levels, [17.5, 60.0, 300.0]))
+
+
+@register("SELECT 'lonlat' AS kind, 'made' AS source, '1' AS version, true AS is_mesh, false AS table_is_mesh, 18 AS n FROM size")
+def mesh_metadata(spark, d):
+    mesh = with_metadata(lonlat_mesh(spark, 60.0), "lonlat", source="made")
+    return spark.createDataFrame([(mesh_kind(mesh), mesh.source, mesh.version, is_mesh(mesh), is_mesh(mesh.points), mesh.points.count())], "kind string, source string, version string, is_mesh boolean, table_is_mesh boolean, n int")
+
+
+_WITH_BOTTOM = "(SELECT level, point_id, CASE WHEN point_id % 7 <> level THEN area END AS area FROM points, levels)"
+
+
+def _bottomed(spark, d):
+    """Areas by level with one level more than the depth axis has."""
+    extra = derive.points(spark, d).select(F.lit(len(derive.LEVELS)).alias("level"), "point_id", "area")
+    return _area3d(spark, d).unionByName(extra)
+
+
+@register(f"SELECT time, round(sum(value * thickness * area) / sum(CASE WHEN value IS NOT NULL THEN thickness * area END), 6) AS mean FROM field3d JOIN levels USING (level) JOIN {_WITH_BOTTOM} a USING (level, point_id) GROUP BY time")
+def volume_mean_extra_level(spark, d):
+    import warnings
+
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        mean = reduce.volume_mean(derive.field3d(spark, d), derive.points(spark, d), derive.levels(spark), ["time"], area3d=_bottomed(spark, d))
+    assert any("one more vertical level" in str(w.message) for w in said)
+    return _rounded(mean)
+
+
+@register(f"""SELECT t.time, l.depth AS y, round(sum(value * area) / sum(CASE WHEN value IS NOT NULL THEN area END), 6) AS value
+  FROM (SELECT DISTINCT time FROM field3d) t CROSS JOIN levels l LEFT JOIN field3d f ON f.time = t.time AND f.level = l.level
+  LEFT JOIN {_WITH_BOTTOM} a ON a.point_id = f.point_id AND a.level = f.level GROUP BY t.time, l.depth""")
+def hovmoller_area3d(spark, d):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _rounded(reduce.hovmoller(derive.field3d(spark, d), derive.points(spark, d), derive.levels(spark), area3d=_bottomed(spark, d)))

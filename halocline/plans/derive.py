@@ -36,9 +36,12 @@ def levels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEVELS, "level int, depth double, thickness double")
 
 
-def field3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(time, level, point_id, value, concentration)``."""
-    items = _read(spark, sf_dir, "lineitem").select("l_shipdate", "l_linenumber", "l_partkey", "l_quantity").crossJoin(_size(spark, sf_dir))
+def field3d(spark: SparkSession, sf_dir: str, level: int | None = None) -> DataFrame:
+    """``(time, level, point_id, value, concentration)``, of one level where it is given."""
+    rows = _read(spark, sf_dir, "lineitem")
+    if level is not None:  # on the column as it is stored, so that the scan filters
+        rows = rows.where(F.col("l_linenumber") == level + 1)
+    items = rows.select("l_shipdate", "l_linenumber", "l_partkey", "l_quantity").crossJoin(_size(spark, sf_dir))
     keyed = items.select(F.year("l_shipdate").cast("int").alias("time"), (F.col("l_linenumber") - 1).cast("int").alias("level"), (F.col("l_partkey") % F.col("n")).cast("long").alias("point_id"), "l_quantity")
     mean = F.avg("l_quantity")
     grouped = keyed.groupBy("time", "level", "point_id").agg(mean.alias("q"))
@@ -48,7 +51,7 @@ def field3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level 0 as ``(time, point_id, concentration, thickness)``."""
-    return field3d(spark, sf_dir).where("level = 0").select("time", "point_id", "concentration", (F.col("value") - 5).alias("thickness"))
+    return field3d(spark, sf_dir, 0).select("time", "point_id", "concentration", (F.col("value") - 5).alias("thickness"))
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:

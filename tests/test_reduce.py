@@ -85,6 +85,22 @@ def test_level_check():
         reduce.check_levels(3, 6)
 
 
+def test_levels_of_all_tables_are_held_together(spark):
+    m, z = mesh(spark, [1.0, 1.0]), axis(spark, [15, 35], [30, 10])
+    data = volume(spark, [[10, 10], [20, 20]])
+    area = volume(spark, [[3, 1], [1, 3], [9, 9]]).withColumnRenamed("value", "area")
+    with pytest.warns(UserWarning, match="one more vertical level"):
+        assert value(reduce.volume_mean(data, m, z, area3d=area)) == pytest.approx(12.5)
+    with pytest.warns(UserWarning, match="one more vertical level"):
+        reduce.hovmoller(data.withColumn("time", F.lit(1)), m, z, area3d=area)
+    with pytest.raises(ValueError, match="levels"):
+        reduce.volume_mean(data, m, z, area3d=area.where("level = 0"))
+    with pytest.raises(ValueError, match="levels"):
+        reduce.volume_mean(data, m, z, thickness3d=area.withColumnRenamed("area", "thickness"))
+    with pytest.raises(Exception, match="depth axis has no level 1"):  # found in the pass itself
+        reduce.volume_mean(data, m, z.where("level = 0")).collect()
+
+
 def test_heat_content(spark):
     m, z = mesh(spark, [1e6, 1e6]), axis(spark, [50, 150], [100, 100])
     rc = 1025.0 * 3990.0

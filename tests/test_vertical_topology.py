@@ -85,5 +85,5 @@ def test_mask_by_depth(spark):
     area = columns(spark, [[1, 1], [None, 1]]).withColumnRenamed("value", "area")
     got = {(r.level, r.point_id): r.value for r in topology.mask_by_depth(f, area).collect()}
     assert got == {(0, 0): 1, (0, 1): 2, (1, 0): None, (1, 1): 4}
-    with pytest.raises(ValueError, match="does not match nod_area_nans shape"):
-        topology.mask_by_depth(f, area.where("level = 0"))
+    with pytest.raises(Exception, match="does not match nod_area_nans shape"):  # when it runs
+        topology.mask_by_depth(f, area.where("level = 0")).collect()

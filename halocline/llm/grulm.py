@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import byte_list, materialize, slices
 
 WORDS, BUCKETS, PREFIX, CLASSES = 3_840, 256, 3, 64
-HIDDEN, WINDOW, LANES, ORDERED = 32, 32, 1024, 4_000_000
+HIDDEN, WINDOW, LANES, ORDERED, ROWS = 32, 32, 1024, 4_000_000, 16_384
 LOCAL_WORDS, FLUSH_WORDS = 131_072, 200_000
 START_TOKENS, START_LANES, EPOCHS, RATE = 1_500_000, 64, 2, 8e-3
 SWEEPS, CHUNK, SWEEP_LANES, SWEEP_RATE = 1, 2_000_000, 512, 2e-3
@@ -128,7 +128,27 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+#: Logits whose exponentials are surely finite in 32 bits, so that no row maximum is needed.
+TAME = 60.0
+
+
+def _exponentials(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits (in place, less each row's maximum where they are large), their sums by
+    row, and the log-probabilities of the columns ``pick``."""
+    if logits.size and max(logits.max(), -logits.min()) > TAME:
+        logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(pick)), pick]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, total, chosen - np.log(total)
 
 
 class Gru:
@@ -149,59 +169,70 @@ class Gru:
     def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of the inputs ``x`` (steps, lanes); ``END`` as input resets a lane.
         keep gets what backpropagation needs."""
-        n, u, out = HIDDEN, self.p["u"], np.empty((*x.shape, HIDDEN), np.float32)
-        gx = (self.p["emb"] @ self.p["wx"] + self.p["bx"])[x]
+        n, u, out = HIDDEN, self.p["u"], np.empty((*x.shape, HIDDEN), self.p["u"].dtype)
+        into = self.p["emb"] @ self.p["wx"] + self.p["bx"]
         for t in range(len(x)):
             begins = x[t] == 0
             if begins.any():
-                h = np.where(begins[:, None], np.float32(0), h)
-            hu = h @ u
-            rz = _sigmoid(gx[t, :, : 2 * n] + hu[:, : 2 * n])
+                h = np.where(begins[:, None], h.dtype.type(0), h)
+            hu, gx = h @ u, into[x[t]]
+            rz = gx[:, : 2 * n] + hu[:, : 2 * n]
+            rz = _sigmoid(rz)
             r, z = rz[:, :n], rz[:, n:]
-            c = np.tanh(gx[t, :, 2 * n :] + r * hu[:, 2 * n :])
+            c = r * hu[:, 2 * n :]
+            c += gx[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, r, z, c, hu[:, 2 * n :], begins))
-            h = c + z * (h - c)
-            out[t] = h
-        return out, h
+            mixed = np.subtract(h, c, out=out[t])
+            mixed *= z
+            mixed += c
+            h = mixed
+        return out, h.copy()
 
     def log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log-probabilities of the symbols ``y`` after the states ``h``; with grads,
-        also sums the gradients of their negative sum, and that of h as ``h``."""
-        cls = self.cls[y]
-        logits = h @ self.p["cw"] + self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
-        rows = np.arange(len(y))
-        lp = logits[rows, cls] - np.log(total[:, 0])
+        also sums the gradients of their negative sum, and that of h as ``h``. Rows go ``ROWS`` at a
+        time, which a core's cache holds."""
+        if grads is not None:
+            grads |= {k: np.zeros_like(self.p[k]) for k in ("cw", "cb", "ow", "ob")} | {"h": np.empty_like(h)}
+        lp = np.empty(len(y), h.dtype)
+        for at in range(0, len(y), ROWS):
+            lp[at : at + ROWS] = self._log_prob(h[at : at + ROWS], y[at : at + ROWS], grads, at)
+        return lp
+
+    def _log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None, at: int) -> np.ndarray:
+        cls, rows = self.cls[y], np.arange(len(y))
+        logits = h @ self.p["cw"]
+        logits += self.p["cb"]
+        e, total, lp = _exponentials(logits, cls)
         if grads is not None:
-            e /= total
+            e /= total[:, None]
             e[rows, cls] -= 1
-            grads["cw"], grads["cb"] = h.T @ e, e.sum(axis=0)
+            grads["cw"] += h.T @ e
+            grads["cb"] += e.sum(axis=0)
             dh = e @ self.p["cw"].T
-            grads["ow"], grads["ob"] = np.zeros_like(self.p["ow"]), np.zeros_like(self.p["ob"])
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(len(self.start)))
+        sorted_h, sorted_y = h[order], y[order]
         for c in range(len(self.start) - 1):
-            at = order[cuts[c] : cuts[c + 1]]
+            lo, hi = cuts[c], cuts[c + 1]
             a, b = self.start[c], self.start[c + 1]
-            if not len(at) or b - a == 1:
+            if lo == hi or b - a == 1:
                 continue
-            own, w, mine = h[at], self.p["ow"][a:b], y[at] - a
-            logits = own @ w.T + self.p["ob"][a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1, keepdims=True)
-            i = np.arange(len(at))
-            lp[at] += logits[i, mine] - np.log(total[:, 0])
+            own, w, mine = sorted_h[lo:hi], self.p["ow"][a:b], sorted_y[lo:hi] - a
+            logits = own @ w.T
+            logits += self.p["ob"][a:b]
+            e, total, part = _exponentials(logits, mine)
+            lp[order[lo:hi]] += part
             if grads is not None:
-                e /= total
-                e[i, mine] -= 1
-                grads["ow"][a:b], grads["ob"][a:b] = e.T @ own, e.sum(axis=0)
-                dh[at] += e @ w
+                e /= total[:, None]
+                e[np.arange(hi - lo), mine] -= 1
+                grads["ow"][a:b] += e.T @ own
+                grads["ob"][a:b] += e.sum(axis=0)
+                dh[order[lo:hi]] += e @ w
         if grads is not None:
-            grads["h"] = dh
+            grads["h"][at : at + len(y)] = dh
         return lp
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
@@ -311,14 +342,44 @@ def _symbols(v: Vocabulary, ids: np.ndarray, words: list[bytes]) -> tuple[np.nda
     return symbols, rare
 
 
-def fit(docs: DataFrame, v: Vocabulary, start_tokens: int = START_TOKENS) -> Gru:
-    """Train on all documents of ``docs(text)``: a start from rows drawn by chance, about
+def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """``rows(doc_id, text, train)`` written once for training and scoring: a row number ``rid``, the
+    document's symbols as unsigned 16-bit numbers, ``n_tokens``, and of its local words ``n_known``,
+    the sum ``base_score`` of their log10 probabilities less those of the counts that ``rare`` words
+    await, and ``own``, the log10 probability of words within their buckets."""
+    schema = "rid long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, own double, symbols binary, rare array<struct<word: binary, n: long>>"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+    names = ["rid", "doc_id", "train", "n_tokens", "n_known", "base_score", "own", "symbols", "rare"]
+    norm = np.log10(v.total + 0.5 * (v.distinct + 1))
+    mass_of, within = np.zeros(len(v.frequency)), np.zeros(len(v.frequency), bool)
+    mass_of[v.bucket_symbols], within[v.bucket_symbols] = np.log10(v.bucket_mass), True
+
+    def run(batches):
+        coder, number = _encoder(v), TaskContext.get().partitionId() << 40
+        counts, logs = np.append(v.counts, 0.0), np.append(np.log10(v.counts + 0.5), 0.0)
+        for b in slices(batches):
+            out = []
+            for doc_id, text, train in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist()):
+                ids, words = coder(text)
+                symbols, rare = _symbols(v, ids, words)
+                log_c, drawn = logs[ids], within[symbols]
+                own = float(log_c[drawn].sum() - mass_of[symbols[drawn]].sum())
+                few = [{"word": w, "n": k} for w, k in Counter(rare).items()]
+                out.append((number, doc_id, train, len(words), int((counts[ids] > 0).sum()), float(log_c.sum()) - norm * len(words), own, symbols.astype(np.uint16).tobytes(), few))
+                number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
+
+    return materialize(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "encoded")
+
+
+def fit(encoded: DataFrame, v: Vocabulary, start_tokens: int = START_TOKENS) -> Gru:
+    """Train on all documents of ``encoded(symbols)``: a start from rows drawn by chance, about
     ``start_tokens`` tokens, in one task, and then all where they are."""
     share, model = min(1.0, start_tokens / max(1, v.total)), Gru(v.frequency, v.class_start)
-    drawn = docs if share == 1 else docs.where(F.rand(5) < share)
-    model.p, _ = sweep(drawn.select("text").repartition(1), v, model, START_LANES, EPOCHS, RATE)
+    drawn = encoded if share == 1 else encoded.where(F.rand(5) < share)
+    model.p, _ = sweep(drawn.select("symbols").repartition(1), v, model, START_LANES, EPOCHS, RATE)
     for _ in range(SWEEPS if share < 1 else 0):
-        model.p, _ = sweep(docs, v, model)
+        model.p, _ = sweep(encoded, v, model)
     return model
 
 
@@ -335,15 +396,15 @@ def _summed(parts: DataFrame, share: Column) -> DataFrame:
     return parts.withColumn("part", share).groupBy("block", "part").applyInArrow(add, "block int, part long, tokens long, weights binary")
 
 
-def sweep(docs: DataFrame, v: Vocabulary, model: Gru, lanes: int = SWEEP_LANES, epochs: int = 1, rate: float = SWEEP_RATE) -> tuple[dict, int]:
-    """Weights after every partition of ``docs(text)`` has trained from those of ``model`` over
+def sweep(encoded: DataFrame, v: Vocabulary, model: Gru, lanes: int = SWEEP_LANES, epochs: int = 1, rate: float = SWEEP_RATE) -> tuple[dict, int]:
+    """Weights after every partition of ``encoded(symbols)`` has trained from those of ``model`` over
     all of its documents, their means by tokens, and the number of tokens. Each task gives its
     weights times its tokens in blocks, which are summed in Spark by shares of the tasks and then
     in all, so what reaches the driver is the size of the model."""
     sizes = {k: a.size for k, a in model.p.items()}
 
     def run(batches):
-        encode, held, own, tokens = _encoder(v), [], 0, 0
+        held, own, tokens = [], 0, 0
         mine = Gru(v.frequency, v.class_start)
         mine.p = {k: a.copy() for k, a in model.p.items()}
         order = np.random.default_rng(5)
@@ -355,8 +416,8 @@ def sweep(docs: DataFrame, v: Vocabulary, model: Gru, lanes: int = SWEEP_LANES,
             held.clear()
 
         for b in slices(batches):
-            for t in byte_list(b.column(0)):
-                held.append(_symbols(v, *encode(t))[0].astype(np.uint16))
+            for symbols in b.column(0).to_pylist():
+                held.append(np.frombuffer(symbols, np.uint16))
                 own += len(held[-1])
                 if own >= CHUNK:
                     train()
@@ -368,7 +429,7 @@ def sweep(docs: DataFrame, v: Vocabulary, model: Gru, lanes: int = SWEEP_LANES,
             part, n = TaskContext.get().partitionId(), len(blocks)
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "part", "tokens", "weights"])
 
-    parts = docs.select("text").mapInArrow(run, "block int, part long, tokens long, weights binary")
+    parts = encoded.select("symbols").mapInArrow(run, "block int, part long, tokens long, weights binary")
     rows = sorted(_summed(_summed(parts, F.col("part") % SHARES), F.lit(0).cast("long")).collect())
     if not rows:
         return model.p, 0
@@ -386,74 +447,59 @@ def score(docs: DataFrame, train: Column, start_tokens: int = START_TOKENS) -> D
     null id are scored but not learnt from, and further columns are ignored. Without training
     rows the model is uniform; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learnt = rows.where(train)
-    counts = materialize(count_words(learnt), "counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", F.coalesce(train, F.lit(False)))
+    counts = materialize(count_words(rows.where("train")), "counts")
     v = vocabulary(counts)
-    model = fit(learnt, v, start_tokens)
-    norm = np.log10(v.total + 0.5 * (v.distinct + 1))
-    log_counts, log_mass = np.log10(v.counts + 0.5), np.log10(v.bucket_mass)
-    bucket_at = {int(s): i for i, s in enumerate(v.bucket_symbols)}
-    mass_of = np.zeros(len(v.frequency))
-    mass_of[list(bucket_at)] = log_mass[list(bucket_at.values())]
-    within = np.zeros(len(v.frequency), bool)
-    within[v.bucket_symbols] = True
-    schema = "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, n: long>>"
+    encoded = encode(rows, v)
+    model = fit(encoded.where("train"), v, start_tokens)
+    schema = "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches):
-        encode, base, done = _encoder(v), TaskContext.get().partitionId() << 40, {}
-        local_counts, local_logs = np.append(v.counts, 0.0), np.append(log_counts, 0.0)
-        number = 0
+        done: dict[int, tuple] = {}
 
         def documents():
             """Long documents first, ``ORDERED`` tokens at a time, so that none is left alone in
             the lanes at the end."""
-            nonlocal number
             held, size = [], 0
 
             def longest_first():
                 yield from sorted(held, key=lambda d: -len(d[1]))
                 held.clear()
 
-            for b in slices(batches, 128):
-                for doc_id, text in zip(b.column(0).to_pylist(), byte_list(b.column(1))):
-                    ids, words = encode(text)
-                    symbols, rare = _symbols(v, ids, words)
-                    log_c = local_logs[ids]
-                    drawn = within[symbols]
-                    own = float(log_c[drawn].sum() - mass_of[symbols[drawn]].sum())
-                    done[number] = (doc_id, len(words), int((local_counts[ids] > 0).sum()), float(log_c.sum()) - norm * len(words), own, Counter(rare))
-                    held.append((number, symbols.astype(np.uint16)))
-                    number, size = number + 1, size + len(words)
+            for b in slices(batches):
+                *rest, symbols = (c.to_pylist() for c in b.columns)
+                for row, raw in zip(zip(*rest), symbols):
+                    done[row[0]] = row
+                    held.append((row[0], np.frombuffer(raw, np.uint16)))
+                    size += len(raw) // 2
                 if size >= ORDERED:
                     yield from longest_first()
                     size = 0
             yield from longest_first()
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-        names, out = [x.split()[0] for x in schema.split(", ")[:6]] + ["rare"], []
+        kinds, names, out = [pa.int64()] * 4 + [pa.float64()] * 2, [x.split()[0] for x in schema.split(", ")], []
 
         def pack():
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
             out.clear()
             return batch
 
-        for key, lp in model.score(documents()):
-            doc_id, n, known, base_score, own, rare = done.pop(key)
-            out.append((base + key, doc_id, n, known, base_score, lp / np.log(10) + own, [{"word": w, "n": k} for w, k in rare.items()]))
+        for rid, lp in model.score(documents()):
+            *row, own = done.pop(rid)
+            out.append((*row, lp / np.log(10) + own))
             if len(out) >= 512:
                 yield pack()
         if out:
             yield pack()
 
-    scored = materialize(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("w")).select("rid", "w.word", F.col("w.n").alias("k"))
+    scored = materialize(encoded.select("rid", "doc_id", "n_tokens", "n_known", "base_score", "own", "symbols").mapInArrow(run, schema), "scored")
+    rare = encoded.select("rid", F.explode("rare").alias("w")).select("rid", "w.word", F.col("w.n").alias("k"))
     known = rare.join(counts, "word", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("log_counts"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
     )
     more = F.coalesce("log_counts", F.lit(0.0))
-    return scored.drop("rare").join(known, "rid", "left").select(
+    return scored.join(known, "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),

@@ -430,6 +430,22 @@ def test_features_are_marked_ngrams():
         assert len(np.unique(toxicity.grams(text))) == len(slow(text))
 
 
+def test_large_groups_take_as_few_shards_as_hold_them():
+    made = sharding.segments([("a", 25), ("b", 7), ("c", 3), ("d", 10)], 6, [10] * 6)
+    parts = defaultdict(list)
+    for name, low, high, shard in made:
+        parts[name].append((low, high, shard))
+    assert {n: len(p) for n, p in parts.items()} == {"a": 3, "b": 1, "c": 1, "d": 1}
+    room = Counter()
+    for name, size in (("a", 25), ("b", 7), ("c", 3), ("d", 10)):
+        own = sorted(parts[name])
+        assert own[0][0] == 0 and own[-1][1] == size and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+        for low, high, shard in own:
+            room[shard] += high - low
+    assert max(room.values()) <= 10
+    assert sharding.segments([("x", 5)], 2, [0, 1])[-1][2] == 5  # more than all shards hold: nothing is lost
+
+
 def test_sharding(spark, odd, empty):
     rng = random.Random(6)
     rows = [(d, f"text {rng.randrange(250) if d % 3 else 'hot'}") for d in range(1500)] + [(2000 + d, f"own {d}") for d in range(1500)]
@@ -444,7 +460,12 @@ def test_sharding(spark, odd, empty):
         groups[text[r.doc_id]].add(r.shard)
         assert r.size == len(text[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
     cut = [t for t, s in groups.items() if len(s) > 1]
-    assert len(cut) <= 8 and len(groups["text hot"]) <= 6
+    assert len(cut) <= 4 and len(groups["text hot"]) == 4  # 500 copies in shards of 125
+    marked = {r.doc_id: (r.copies, r.cut) for r in got}
+    sizes = Counter(text.values())
+    assert marked == {d: (sizes[t], len(groups[t]) > 1) for d, t in rows}
+    big = [(d, "same" if d < 2000 else f"own {d}") for d in range(6000)]
+    assert len({r.shard for r in sharding.assign(table(spark, big)).where("copies > 1").select("shard").distinct().collect()}) == 8
     small = sharding.assign(odd).collect()
     assert len(small) == len(ODD) and sorted(r.size for r in small)[:2] == [8, 8]
     assert sharding.assign(empty).count() == 0
@@ -503,9 +524,10 @@ def test_language_model_query(spark, texts, odd, empty):
 def test_language_model_learns_from_all_training_rows(spark):
     rng = random.Random(9)
     rows = [(d, " ".join(f"w{rng.randrange(40)}" for _ in range(60)) + " alpha beta gamma" * 5) for d in range(60)]
-    docs = table(spark, rows).repartition(3)
+    docs = table(spark, rows).withColumn("train", F.lit(True)).repartition(3)
     v = grulm.vocabulary(grulm.count_words(docs))
     start = grulm.Gru(v.frequency, v.class_start)
+    docs = grulm.encode(docs, v).repartition(3)
     after, tokens = grulm.sweep(docs, v, start)
     assert tokens == v.total == sum(len(t.split()) + 1 for _, t in rows)
     few = grulm.fit(docs, v, start_tokens=200)  # the start is from three documents, the rest from all
@@ -544,6 +566,10 @@ def test_warc_round_trip(spark, sf_dir):
         assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if first[html or ""] == p else ("revisit", first[html or ""]))
         assert r.payload is None or bytes(r.payload) == raw
+    many = spark.createDataFrame([(i % 40, "http://a.example/", "x" * (50_000 * (i % 3))) for i in range(120)], "page_id long, url string, html string")
+    captures = warc.merge(warc.write(many, F.lit(1_700_000_000)))
+    back = warc.read(captures)
+    assert back.rdd.getNumPartitions() >= 1 and Counter(r.page_id for r in back.collect()) == Counter(i % 40 for i in range(120))
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.merge(warc.write(none, F.lit(0)))).count() == 0
 

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialize, shared_path, slices
+from .common import byte_list, keyed_join, materialize, shared_path, slices
 
-ARCHIVE_BYTES, RANGE_ROWS, BROADCAST_ROWS, LEVEL = 64 << 20, 100_000, 500_000, 4
+ARCHIVE_BYTES, READ_BYTES, RANGE_ROWS, BROADCAST_ROWS, LEVEL = 64 << 20, 1 << 20, 100_000, 500_000, 4
 INDEX = "url_key string, ts long, page_id long, archive string, offset long, length long, run string, seq long"
 _DEFAULT_PORTS = {"http": 80, "https": 443}
 
@@ -123,24 +123,27 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write(pages: DataFrame, ts: Column, smallest_revisit: int = 0) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` as archives; returns the runs (schema ``INDEX``),
-    already written, so a task that is tried again leaves at most an unlisted archive behind.
+def write(pages: DataFrame, ts: Column, smallest_revisit: int = 0, root: str | None = None) -> DataFrame:
+    """Write ``pages(page_id, url, html)`` as archives in the folder ``root`` (or a new one in the
+    shared folder); returns the runs (schema ``INDEX``), already written, so a task that is tried
+    again leaves at most an unlisted archive behind.
 
     Of rows with equal payloads of at least ``smallest_revisit`` bytes, those with the smallest
     page_id are responses and the others revisits of it. A null html is an empty payload; a
-    null url has an empty key; rows without an id are left out. Payloads are shuffled only if
-    there are more than ``BROADCAST_ROWS`` groups of copies.
+    null url has an empty key; rows without an id are left out; of repeated rows each is written;
+    further columns are ignored; an empty table gives no archive. Payloads are equal if their
+    SHA-256 is. They are shuffled only if there are more than ``BROADCAST_ROWS`` groups of
+    copies, and those of hot groups not even then.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), "url", html.alias("html"), ts.cast("long").alias("ts"), F.sha1(html.cast("binary")).alias("sha1"))
-    groups = rows.where(F.octet_length("html") >= smallest_revisit).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = materialize(groups.where("n > 1").select("sha1", "first"), "copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), "url", html.alias("html"), ts.cast("long").alias("ts"), F.sha2(html.cast("binary"), 256).alias("same"))
+    groups = rows.where(F.octet_length("html") >= smallest_revisit).groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(groups.where("n > 1").select("same", "first"), "copies")
     large = F.octet_length("html") >= smallest_revisit
-    marked = rows.join(copies, "sha1", "left").withColumn("refers_to", F.when(large & (F.col("first") != F.col("page_id")), F.col("first")))
-    root = shared_path(spark, "archives")
+    joined = rows.join(F.broadcast(copies), "same", "left") if copies.count() <= BROADCAST_ROWS else keyed_join(rows, copies, "same", "left")
+    marked = joined.withColumn("refers_to", F.when(large & (F.col("first") != F.col("page_id")), F.col("first")))
+    root = root.rstrip("/") if root else shared_path(spark, "archives")
 
     def store(batches):
         files, root_path = _filesystem(root)
@@ -181,7 +184,9 @@ def _run_rows(parts: Iterable[pa.RecordBatch], rows: int = 64) -> Iterator[tuple
 
 def merge(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Merge written runs by URL key and timestamp: the index with ``part`` and ``place``, whose
-    order is the global order of captures. Ties are ordered by page_id, archive and offset."""
+    order is the global order of captures. Ties are ordered by page_id, archive and offset;
+    repeated entries stay; an empty table gives an empty one. A task holds a range's entries, about
+    ``range_rows``."""
     ranges = max(1, -(-runs.count() // range_rows))
     dealt = runs.repartitionByRange(ranges, "url_key", "ts", "page_id").sortWithinPartitions("run", "seq")
     names = [x.split()[0] for x in INDEX.split(", ")][:6]
@@ -219,7 +224,13 @@ def merge(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
     """Read the records of an index back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to``, with ``payloads`` also the payload (null for revisits)."""
+    record_type, refers_to``, with ``payloads`` also the payload (null for revisits).
+
+    Records are dealt by archive and offset to tasks of about ``READ_BYTES`` of archive, and read
+    in their order there; repeated entries are read as often; an empty index gives an empty
+    result.
+    """
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 5 + payloads]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -241,4 +252,4 @@ def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return captures.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return captures.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)

@@ -59,15 +59,26 @@ def fingerprint(text: Column) -> Column:
     return F.aggregate(F.transform(paragraphs(text), hashes), F.array_repeat(F.lit(0).cast("long"), WORDS), add)
 
 
+_MASKS = [WIDE_MASK] * WIDE + [FIELDS] * (BITS // 3) + [LANES]
+_GUARDS = [0] * WIDE + [(1 << 20) * PICK] * (BITS // 3) + [0]
+
+
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """Fingerprint of the union (or with ``sign=-1`` the difference) of two multisets."""
-    masks = [WIDE_MASK] * WIDE + [FIELDS] * (BITS // 3) + [LANES]
-    guard = [0] * WIDE + [(1 << 20) * PICK] * (BITS // 3) + [0]
+    """Fingerprint of the union (or with ``sign=-1`` the difference) of two multisets. Each word
+    names its arguments, so they should be columns, not long expressions."""
+    words = []
+    for i, (mask, guard) in enumerate(zip(_MASKS, _GUARDS)):
+        x, y = F.get(a, F.lit(i)), F.get(b, F.lit(i))
+        words.append((x + y if sign > 0 else x.bitwiseOR(F.lit(guard)) - y).bitwiseAND(F.lit(mask)))
+    return F.array(*words)
+
+
+def exchange(a: Column, out: Column, into: Column) -> Column:
+    """Fingerprint after deletion of ``out`` and insertion of ``into``."""
     words = []
-    for i, (mask, g) in enumerate(zip(masks, guard)):
-        x = F.get(a, F.lit(i))
-        y = F.get(b, F.lit(i))
-        words.append((x + y if sign > 0 else x.bitwiseOR(F.lit(g)) - y).bitwiseAND(F.lit(mask)))
+    for i, (mask, guard) in enumerate(zip(_MASKS, _GUARDS)):
+        x, y, z = (F.get(c, F.lit(i)) for c in (a, out, into))
+        words.append(((x.bitwiseOR(F.lit(guard)) - y).bitwiseAND(F.lit(mask)) + z).bitwiseAND(F.lit(mask)))
     return F.array(*words)
 
 
@@ -140,17 +151,18 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, max_ranges: int =
     return joined.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.own").alias("next_own"))
 
 
-def edited(text: Column, own: Column, following: Column) -> tuple[Column, Column]:
-    """``text`` with its last third (rounded down, in code points) replaced by as many of the
-    first code points of ``following``, or all of them; and its fingerprint, from that of the
-    text, ``own``: the paragraphs behind the last line that is kept whole are deleted from it and
-    those that take their place are inserted."""
-    n = F.char_length(text)
+def with_edit(rows: DataFrame) -> DataFrame:
+    """``rows(text, own, next_text, ...)`` with ``edited``, the text whose last third (rounded down,
+    in code points) is replaced by as many of the first code points of the next, or all of them,
+    and ``changed``, its fingerprint: from that of the text, ``own``, the paragraphs behind the last
+    line that is kept whole are deleted and those that take their place inserted."""
+    text, n = F.col("text"), F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    kept, put = F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut)
-    broken = F.substring_index(kept, "\n", -1)  # what is kept of the line that the edit cuts
-    tail = F.substring(text, n - cut - F.char_length(broken) + 1, n)
-    return F.concat(kept, put), combine(combine(own, fingerprint(tail), -1), fingerprint(F.concat(broken, put)))
+    rows = rows.withColumns({"kept": F.substring(text, F.lit(1), n - cut), "put": F.substring("next_text", F.lit(1), cut)})
+    broken = F.substring_index("kept", "\n", -1)  # what is kept of the line that the edit cuts
+    start = F.char_length("kept") - F.char_length(broken)
+    parts = {"edited": F.concat("kept", "put"), "out": fingerprint(F.substring(text, start + 1, n)), "into": fingerprint(F.concat(broken, "put"))}
+    return rows.withColumns(parts).withColumn("changed", exchange(F.col("own"), F.col("out"), F.col("into"))).drop("kept", "put", "out", "into")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -161,9 +173,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     by itself; an empty table gives an empty result.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    text, changed = edited(F.col("text"), F.col("own"), F.col("next_text"))
-    pairs = with_next(rows).withColumns({"edited": text, "changed": changed})
-    made = pairs.select(
+    made = with_edit(with_next(rows)).select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),

@@ -304,6 +304,24 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_within_longer_texts(spark):
+    """Every template is found within prose, in one line and wrapped, also with a changed word."""
+    rng, rows, want = random.Random(14), [], set()
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n))
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        if len(words) > 12:
+            words[len(words) // 2 + 1] = "changed"
+        for d, body in enumerate((" ".join(words), "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7)), text.upper())):
+            rows.append((10 * k + d, f"{prose(40)} {body} {prose(30)}"))
+            want.add((10 * k + d, name))
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, rows)).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    told = licenses.scan(table(spark, [(1, "Acme Tools is free software released under the MIT License."), (2, "Copyright (c) 2021 Jane Doe. Released under the MIT License.")])).collect()
+    assert {(r.doc_id, r.license, r.dice) for r in told} == {(1, "MIT", 1.0), (2, "MIT", 1.0)}
+    assert licenses.scan(table(spark, [(k, prose(300)) for k in range(20)])).count() == 0
+
+
 def tokenizer():
     pytest.importorskip("public_tokenizers")
     return queries.word_tokenizer()

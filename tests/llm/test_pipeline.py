@@ -67,3 +67,46 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null ids and texts, repeated ids and rows, a very long text, and columns with clashing names."""
+    docs = common.table(spark, sf_dir, "documents").limit(60)
+    item = common.table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    own = " ".join(f"palabra{i} der la house" for i in range(50))
+    odd = [(None, own), (None, None), (None, f"an id is not needed {item} to be found"), (10**7, None), (10**7, ""), (10**7 + 1, own + " otra"), (10**7 + 1, f"the same id {item}"), (10**7 + 2, "long words and lines of text " * 40_000)]
+    extra = spark.createDataFrame([(d, t, "en", "odd", 0) for d, t in odd + odd], SCHEMA)
+    names = ("__text", "__held", "__gone", "SCORE", "id", "key", "c0")
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(extra).withColumns({n: F.lit(n) for n in names})
+    docs = common.materialize(docs, "odd")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+    kept = [(r.doc_id, r.text) for r in docs.where("source = 'odd'").select("doc_id", "text").collect()]
+    assert all(t is not None and item not in t for _, t in kept)
+    assert sorted(d or 0 for d, _ in kept) == [10**7 + 1, 10**7 + 2]  # of the near copies the one with an id stays
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf_dir)
+        assert made.count() == 0 and (name == "pack" or made.columns == docs.columns)
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master, applicationId = "local-cluster[2,1,1024]", "a"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(Session)

@@ -554,7 +554,7 @@ def _netcdf(spark, name: str, *what) -> str:
     return path
 
 
-@register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area / 1e6, 3) AS area, (SELECT count(*) FROM elements) AS n_elements, (SELECT sum(n0 + n1 + n2) FROM elements) AS corners, 6 AS n_levels FROM points")
+@register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area / 1e6, 3) AS area, (SELECT count(*) FROM elements) AS n_elements, (SELECT CAST(sum(n0 + n1 + n2) AS BIGINT) FROM elements) AS corners, 6 AS n_levels FROM points")
 def netcdf_mesh(spark, d):
     import numpy as np
 

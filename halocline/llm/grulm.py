@@ -140,10 +140,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 TAME = 60.0
 
 
-def _exponentials(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp of the logits (in place, less each row's maximum where they are large), their sums by
+def _bound(w: np.ndarray, b: np.ndarray, axis: int) -> float:
+    """No logit of states within (-1, 1) is larger."""
+    return float((np.abs(w).sum(axis=axis) + np.abs(b)).max())
+
+
+def _exponentials(logits: np.ndarray, pick: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits (in place, less each row's maximum where they may be large), their sums by
     row, and the log-probabilities of the columns ``pick``."""
-    if logits.size and max(logits.max(), -logits.min()) > TAME:
+    if not tame:
         logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(pick)), pick]
     np.exp(logits, out=logits)
@@ -196,16 +201,18 @@ class Gru:
         time, which a core's cache holds."""
         if grads is not None:
             grads |= {k: np.zeros_like(self.p[k]) for k in ("cw", "cb", "ow", "ob")} | {"h": np.empty_like(h)}
-        lp = np.empty(len(y), h.dtype)
+        lp, p = np.empty(len(y), h.dtype), self.p
+        large = np.abs(h).max(initial=0) > 1
+        tame = not large and _bound(p["cw"], p["cb"], 0) < TAME, not large and _bound(p["ow"], p["ob"], 1) < TAME
         for at in range(0, len(y), ROWS):
-            lp[at : at + ROWS] = self._log_prob(h[at : at + ROWS], y[at : at + ROWS], grads, at)
+            lp[at : at + ROWS] = self._log_prob(h[at : at + ROWS], y[at : at + ROWS], grads, at, tame)
         return lp
 
-    def _log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None, at: int) -> np.ndarray:
+    def _log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None, at: int, tame: tuple[bool, bool]) -> np.ndarray:
         cls, rows = self.cls[y], np.arange(len(y))
         logits = h @ self.p["cw"]
         logits += self.p["cb"]
-        e, total, lp = _exponentials(logits, cls)
+        e, total, lp = _exponentials(logits, cls, tame[0])
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
@@ -214,7 +221,8 @@ class Gru:
             dh = e @ self.p["cw"].T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(len(self.start)))
-        sorted_h, sorted_y = h[order], y[order]
+        sorted_h, sorted_y, inner = h[order], y[order], np.zeros(len(y), h.dtype)
+        back = np.zeros_like(h) if grads is not None else None
         for c in range(len(self.start) - 1):
             lo, hi = cuts[c], cuts[c + 1]
             a, b = self.start[c], self.start[c + 1]
@@ -223,15 +231,16 @@ class Gru:
             own, w, mine = sorted_h[lo:hi], self.p["ow"][a:b], sorted_y[lo:hi] - a
             logits = own @ w.T
             logits += self.p["ob"][a:b]
-            e, total, part = _exponentials(logits, mine)
-            lp[order[lo:hi]] += part
+            e, total, inner[lo:hi] = _exponentials(logits, mine, tame[1])
             if grads is not None:
                 e /= total[:, None]
                 e[np.arange(hi - lo), mine] -= 1
                 grads["ow"][a:b] += e.T @ own
                 grads["ob"][a:b] += e.sum(axis=0)
-                dh[order[lo:hi]] += e @ w
+                np.matmul(e, w, out=back[lo:hi])
+        lp[order] += inner
         if grads is not None:
+            dh[order] += back
             grads["h"][at : at + len(y)] = dh
         return lp
 
@@ -242,18 +251,22 @@ class Gru:
         g: dict = {}
         loss = -self.log_prob(out.reshape(-1, HIDDEN), y.ravel(), g).mean()
         dout, u, n = g.pop("h").reshape(out.shape), self.p["u"], HIDDEN
-        dgx, du, dh = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(u), np.zeros_like(h)
+        hp, r, z, c, hc = (np.stack([k[i] for k in kept]) for i in range(5))
+        by_c, by_r, by_z = (1 - z) * (1 - c * c), hc * r * (1 - r), (hp - c) * z * (1 - z)
+        dgx, dhu, dh = np.empty((*x.shape, 3 * n), u.dtype), np.empty((*x.shape, 3 * n), u.dtype), np.zeros_like(h)
         for t in reversed(range(len(x))):
-            hp, r, z, c, hc, begins = kept[t]
             dh = dh + dout[t]
-            da = dh * (1 - z) * (1 - c * c)
+            da = dh * by_c[t]
+            np.multiply(da, by_r[t], out=dhu[t, :, :n])
+            np.multiply(dh, by_z[t], out=dhu[t, :, n : 2 * n])
+            np.multiply(da, r[t], out=dhu[t, :, 2 * n :])
             dgx[t, :, 2 * n :] = da
-            dgx[t, :, :n] = da * hc * r * (1 - r)
-            dgx[t, :, n : 2 * n] = dh * (hp - c) * z * (1 - z)
-            dhu = dgx[t].copy()
-            dhu[:, 2 * n :] = da * r
-            du += hp.T @ dhu
-            dh = np.where(begins[:, None], np.float32(0), dh * z + dhu @ u.T)
+            dh *= z[t]
+            dh += dhu[t] @ u.T
+            if kept[t][5].any():
+                dh[kept[t][5]] = 0
+        dgx[:, :, : 2 * n] = dhu[:, :, : 2 * n]
+        du = hp.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
         flat = dgx.reshape(-1, 3 * n)
         per_symbol, order = np.zeros((len(self.p["emb"]), 3 * n), flat.dtype), np.argsort(x.ravel(), kind="stable")
         there = x.ravel()[order]

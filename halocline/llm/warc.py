@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_list, keyed_join, materialize, shared_path, slices
 
-ARCHIVE_BYTES, READ_BYTES, RANGE_ROWS, BROADCAST_ROWS, LEVEL = 64 << 20, 1 << 20, 100_000, 500_000, 4
+ARCHIVE_BYTES, READ_BYTES, SLICE_BYTES, RANGE_ROWS, BROADCAST_ROWS, LEVEL = 64 << 20, 8 << 20, 1 << 20, 100_000, 500_000, 4
 INDEX = "url_key string, ts long, page_id long, archive string, offset long, length long, run string, seq long"
 _DEFAULT_PORTS = {"http": 80, "https": 443}
 
@@ -226,8 +226,8 @@ def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
     """Read the records of an index back: ``page_id, payload_bytes, payload_digest,
     record_type, refers_to``, with ``payloads`` also the payload (null for revisits).
 
-    Records are dealt by archive and offset to tasks of about ``READ_BYTES`` of archive, and read
-    in their order there; repeated entries are read as often; an empty index gives an empty
+    Records are dealt by slices of ``SLICE_BYTES`` of an archive to tasks of about ``READ_BYTES``, and
+    read in their order there; repeated entries are read as often; an empty index gives an empty
     result.
     """
     tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
@@ -252,4 +252,5 @@ def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return captures.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    dealt = captures.select("archive", "offset", "length").repartition(tasks, F.col("archive"), F.floor(F.col("offset") / SLICE_BYTES))
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)

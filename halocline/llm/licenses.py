@@ -1,7 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams, in DataFrame functions alone.
 
 Texts and templates are normalised to words of a-z and 0-9. A text's units are the whole text, its
-paragraphs (between blank lines), its lines, and windows as long as a template, laid where a
+paragraphs (between blank lines), its lines, and, if asked for, windows as long as a template, laid where a
 word of the template that is telling for it (``window_marks``) stands in the text as it does in
 the template; so a notice within a longer line, or a licence of several paragraphs within a
 longer text, is a unit too. Two sets of bigrams of sizes a (of the unit) and b reach a Dice
@@ -130,12 +130,17 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, "[^a-z0-9]+", " ")), " ")
 
 
-def units(low: Column, words: Column, templates: list[tuple[str, str]]) -> Column:
-    """The units of a lower-cased text with these words, as structs of ``words`` and ``window``."""
+def marked(words: Column, templates: list[tuple[str, str]]) -> Column:
+    """The words by which windows are laid, as structs of ``w`` and the place ``i`` from 1."""
+    telling = F.array(*map(F.lit, sorted({w for w, _, _ in window_marks(templates)})))
+    placed = F.transform(words, lambda w, i: F.when(F.array_contains(telling, w), F.struct(w.alias("w"), (i + 1).alias("i"))))
+    return F.filter(placed, lambda x: x.isNotNull())
+
+
+def units(low: Column, words: Column, found: Column | None, templates: list[tuple[str, str]]) -> Column:
+    """The units of a lower-cased text with these words, of which ``found`` are marked, as structs of
+    ``words`` and ``window``. Arguments are used often, so they should be columns."""
     marks = window_marks(templates)
-    telling = F.array(*map(F.lit, sorted({w for w, _, _ in marks})))
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i")))
-    found = F.filter(placed, lambda x: F.array_contains(telling, x["w"]))
 
     def windows(mark: str, before: int, length: int) -> Column:
         first = lambda x: F.greatest(F.lit(1), x["i"] - before)
@@ -143,12 +148,14 @@ def units(low: Column, words: Column, templates: list[tuple[str, str]]) -> Colum
 
     split = F.concat(F.split(low, r"\r?\n[ \t]*\r?\n"), F.split(low, r"\r?\n"))
     plain = F.array_distinct(F.concat(F.array(words), F.transform(split, _words)))
+    if found is None:
+        return F.transform(plain, lambda u: F.struct(u.alias("words"), F.lit(False).alias("window")))
     laid = F.array_distinct(F.flatten(F.array(*(windows(*m) for m in marks))))
     told = lambda units, window: F.transform(units, lambda u: F.struct(u.alias("words"), F.lit(window).alias("window")))
     return F.concat(told(plain, False), told(laid, True))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE, windows: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` -> one row for each document and licence found in it: ``doc_id,
     license, dice`` (of the best unit) and ``n_units``, how many distinct lines, paragraphs or whole
     texts match (0 if just a window does). A unit counts for its best licence alone, the
@@ -165,7 +172,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.lower("text").alias("low"))
     # An explode of one element keeps an expression that is used often from being copied.
     worded = rows.select("doc_id", "low", F.explode(F.array(_words(F.col("low")))).alias("all")).where(F.arrays_overlap("all", anchors))
-    cut = worded.select("doc_id", F.explode(units(F.col("low"), F.col("all"), templates)).alias("u")).select("doc_id", "u.words", "u.window")
+    if windows:
+        worded = worded.select("doc_id", "low", "all", F.explode(F.array(marked(F.col("all"), templates))).alias("found"))
+    cut = worded.select("doc_id", F.explode(units(F.col("low"), F.col("all"), F.col("found") if windows else None, templates)).alias("u")).select("doc_id", "u.words", "u.window")
     n = F.size("words")
     bigrams = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     long_enough = cut.where((n - 1 >= F.lit(fewest)) & F.arrays_overlap("words", anchors))
@@ -185,9 +194,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     return hits.groupBy("doc_id", F.col("f.license").alias("license")).agg(F.round(F.max("f.dice"), 6).alias("dice"), F.count_distinct("unit").alias("n_units"))
 
 
-def scan_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE) -> str:
+def scan_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE, windows: bool = False) -> str:
     """The same scan as DuckDB SQL over ``documents``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    laid = "\n    UNION ALL SELECT doc_id, w[greatest(1, i - ahead) : i - ahead + length - 1], false FROM spot JOIN mark USING (word) JOIN low USING (r)" if windows else ""
     words = lambda x: f"string_split(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')), ' ')"
     marks = ", ".join(f"({quote(w)}, {before}, {length})" for w, before, length in window_marks(templates))
     values = ", ".join(f"({quote(name)}, [{', '.join(map(quote, own))}])" for name, own in template_bigrams(templates))
@@ -200,8 +210,7 @@ worded AS (
   SELECT DISTINCT doc_id, CASE WHEN plain THEN w END AS unit, w FROM (
     SELECT doc_id, w, true AS plain FROM low
     UNION ALL SELECT doc_id, {words("unnest(regexp_split_to_array(t, '\\r?\\n[ \\t]*\\r?\\n'))")}, true FROM low
-    UNION ALL SELECT doc_id, {words("unnest(regexp_split_to_array(t, '\\r?\\n'))")}, true FROM low
-    UNION ALL SELECT doc_id, w[greatest(1, i - ahead) : i - ahead + length - 1], false FROM spot JOIN mark USING (word) JOIN low USING (r))),
+    UNION ALL SELECT doc_id, {words("unnest(regexp_split_to_array(t, '\\r?\\n'))")}, true FROM low{laid})),
 grams AS (
   SELECT doc_id, unit, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM worded WHERE len(w) >= 2),

@@ -315,11 +315,11 @@ def test_licenses_within_longer_texts(spark):
         for d, body in enumerate((" ".join(words), "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7)), text.upper())):
             rows.append((10 * k + d, f"{prose(40)} {body} {prose(30)}"))
             want.add((10 * k + d, name))
-    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, rows)).collect()}
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, rows), windows=True).collect()}
     assert len(want & got) >= 0.9 * len(want)
-    told = licenses.scan(table(spark, [(1, "Acme Tools is free software released under the MIT License."), (2, "Copyright (c) 2021 Jane Doe. Released under the MIT License.")])).collect()
+    told = licenses.scan(table(spark, [(1, "Acme Tools is free software released under the MIT License."), (2, "Copyright (c) 2021 Jane Doe. Released under the MIT License.")]), windows=True).collect()
     assert {(r.doc_id, r.license, r.dice) for r in told} == {(1, "MIT", 1.0), (2, "MIT", 1.0)}
-    assert licenses.scan(table(spark, [(k, prose(300)) for k in range(20)])).count() == 0
+    assert licenses.scan(table(spark, [(k, prose(300)) for k in range(20)]), windows=True).count() == 0
 
 
 def tokenizer():

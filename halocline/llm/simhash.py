@@ -15,8 +15,8 @@ Three of 64 bits are only met by copies with hardly a change: of pairs at a Jacc
 of 0.8 to 0.9 (five-word shingles) they find one in forty. ``similar_components`` therefore
 takes two steps. The Gray-order index links the near copies that it finds, each link verified
 on the shingle sets. What is still apart is then searched exactly, by prefix filtering: shingles
-stand in one order for all texts, frequent ones last (frequencies are estimated, which decides
-the cost alone). Of two sets at the similarity, the first common shingle stands so early in
+stand in one order for all texts, frequent ones last (counted over all documents by ``BUCKETS``
+buckets of their hashes; the order decides the cost alone). Of two sets at the similarity, the first common shingle stands so early in
 both that enough can follow it; so each text meets the others under its first shingles only,
 and texts that share a template do not meet by the template. Under a shingle, pairs are taken by
 their distance in the order of size: neighbours first, then in ``STEPS`` those further apart, up
@@ -48,8 +48,8 @@ BLOCKS, ROUNDS = DISTANCE + 1, 4
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bounds of the distances that a round compares; the last round has no upper one.
 STEPS = (1, 2, 8, 64)
-#: One of so many documents is counted for the order; shingles met less often there are rare.
-COUNTED, LEAST_COUNT, MOST_FREQUENT = 8, 4, 1_000_000
+#: Buckets of shingle hashes that are counted for the order, and how many of them a row holds.
+BUCKETS, BUCKET_BLOCK = 1 << 21, 1 << 10
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -316,39 +316,42 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
-def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles, sorted, and their estimated counts, of ``rows(doc_id,
-    text)``: at most ``MOST_FREQUENT`` by a threshold on the count."""
+def shingle_counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """For each bucket of shingle hashes, in how many of all ``rows(text)`` its shingles stand,
+    summed over the shingles (32 bits, the largest number for any larger one). Tasks count all of
+    their rows and send blocks of buckets, which are summed in Spark; the driver gets the sums."""
 
-    def make(batches):
+    def count(batches):
+        own = np.zeros(BUCKETS, np.uint32)
         for b in slices(batches):
-            found = [shingle_set(t, shingle) for t in byte_list(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["s"])
-
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0).select("text")
-    counts = materialize(some.mapInArrow(make, "s long").groupBy("s").count().where(F.col("count") >= LEAST_COUNT), "counts")
-    step = F.floor(F.log2("count") * 16).cast("int")
-    kept, least = 0, 1 << 30
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
-        if kept + r.k > MOST_FREQUENT:
-            break
-        kept, least = kept + r.k, r.step
-    found = counts.where(step >= least).toArrow()
-    hashes = found.column(0).to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column(1).to_numpy()[order]
+            found = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, shingle) for t in byte_list(b.column(0)))])
+            np.add.at(own, (found % BUCKETS).astype(np.int64), np.uint32(1))
+        blocks = own.reshape(-1, BUCKET_BLOCK)
+        met = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array([blocks[i].tobytes() for i in met], pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        raw = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(raw, pa.binary())], names=["block", "counts"])
+
+    schema, total = "block long, counts binary", np.zeros((BUCKETS // BUCKET_BLOCK, BUCKET_BLOCK), np.uint32)
+    summed = rows.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    for block, raw in zip(summed.column(0).to_pylist(), summed.column(1)):
+        total[block] = np.frombuffer(raw.as_buffer(), np.uint32)
+    return total.ravel()
 
 
-def first_shingles(own: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def first_shingles(own: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
     """Those of a sorted shingle set, in the common order, of which two sets at the similarity
     share one."""
     n = len(own)
     if not n:
         return own
-    weight = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        weight = np.where(frequent[at] == own, counts[at], 0)
+    weight = counts[(own % len(counts)).astype(np.int64)]
     return own[np.lexsort((own, weight))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
@@ -444,7 +447,7 @@ def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     the text, the digest of its shingle set and 64 bits of it as a vertex, the SimHash of its
     shingles, and the set's size and first shingles."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent, counts = frequent_shingles(rows, shingle)
+    counts = shingle_counts(rows, shingle)
     schema = "doc_id long, k long, sig binary, node long, fp long, n long, firsts array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -455,7 +458,7 @@ def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sets = [np.unique(h) for h in hashes]
             sigs = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], np.int64)
-            firsts = pa.array([first_shingles(x, similarity, frequent, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            firsts = pa.array([first_shingles(x, similarity, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
             columns = [b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(nodes), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), firsts]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

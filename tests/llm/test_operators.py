@@ -201,6 +201,19 @@ def test_similar_components_hold_the_bound_on_both_sides(spark):
     assert not false and len(missed) <= 12
 
 
+def test_shingles_are_counted_over_all_texts(spark):
+    """Texts with a common template, however few and whatever their ids, meet under their own words."""
+    ids = [r.id for r in spark.range(200).where(F.pmod(F.xxhash64("id"), F.lit(8)) != 0).collect()]
+    template = [f"t{k}" for k in range(100)]
+    rows = table(spark, [(i, " ".join(template + [f"o{i}_{k}" for k in range(100)])) for i in ids])
+    common_ones = set(simhash.shingle_set(" ".join(template).encode()).view(np.int64).tolist())
+    firsts = [r.firsts for r in simhash._sets(rows, 5, 0.8).collect()]
+    assert len(firsts) == len(ids) > 100 and all(firsts)
+    assert not any(common_ones & set(x) for x in firsts)
+    counts = simhash.shingle_counts(rows.union(table(spark, [(None, None), (0, "")])), 5)
+    assert counts.sum() == 196 * len(ids) and counts.max() >= len(ids)
+
+
 def test_similar_components_finds_pairs_within_a_template_family(spark):
     rng = random.Random(6)
     template, rows = [f"t{k}" for k in range(200)], []

@@ -51,7 +51,7 @@ class ChunkTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _part(self, text: str) -> bytes:
         if (ids := self.parts.get(text)) is None:
@@ -61,14 +61,19 @@ class ChunkTokenizer:
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
-        split, heads = {}, set()
+        split, plain, heads, parts = {}, {}, set(), self.parts
         for chunk in chunks:
+            if chunk.isalpha():  # ASCII letters alone
+                plain[chunk] = head = chunk.lower().decode()
+                if head not in parts:
+                    heads.add(head)
+                continue
             text = chunk.decode("utf-8", "replace")
             head = text.rstrip(_MARKS)
             if head.isalpha():
                 tail = text[len(head) :]
                 head = head.lower() if head.isascii() else head
-                if head not in self.parts:
+                if head not in parts:
                     heads.add(head)
                 split[chunk] = head, tail
             else:
@@ -80,7 +85,9 @@ class ChunkTokenizer:
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, stops = ids.tobytes(), (4 * stops).tolist()
-                self.parts.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops))))
+                parts.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        for chunk, head in plain.items():
+            self.known[chunk] = parts.get(head) or self._part(head)
         for chunk, (head, tail) in split.items():
             self.known[chunk] = self._part(head) + (self._part(tail) if tail else b"")
 

@@ -370,6 +370,15 @@ def test_packed_sequences_hold_the_tokens(spark, texts):
     assert sum(len(r.ids) for r in made) == total and max(len(r.ids) for r in made) <= 2048
 
 
+def test_chunk_tokenizer_equals_the_tokenizer():
+    """Letters alone in either case, with marks, digits, apostrophes, other scripts, broken bytes, long chunks."""
+    coder = packing.ChunkTokenizer(queries.word_tokenizer())
+    some = [b"Word", b"word", b"WORD,", b"don't", b"x1y2", "Été".encode(), "中文".encode(), b"a--b", b"...", b"ab\xff", b"q" * 200, b"I", b"end."]
+    some = [b" ".join(some[i:] + some[:i]) for i in range(len(some))]
+    want = [np.array(coder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert coder.encode(some) == want and coder.encode(some) == want
+
+
 def test_packing_odd_rows(odd, empty):
     got = packing.pack(odd, tokenizer()).collect()
     assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(d for d, _ in ODD)

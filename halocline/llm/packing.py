@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import os
 import string
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,98 +25,156 @@ from .common import byte_list, materialize, slices
 
 MAX_TOKENS, END_ID = 2048, 0
 OPEN_BINS, GROUP_PIECES = 4096, 65536
-CACHE_WORDS, CACHE_BYTES = 200_000, 64
+CACHE_WORDS, CACHE_BYTES, PORTION_BYTES = 400_000, 64, 4_000_000
 _MARKS = string.punctuation.replace("'", "")
+#: A letter among the code points below 256.
+_LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 
 
 class ChunkTokenizer:
     """Ids of a text as little-endian 32-bit bytes, made from the ids of its chunks between
-    ASCII white space.
-
-    Exact for a tokenizer that drops white space and lets no token span it. A chunk of letters
-    with ASCII marks behind it is looked up in two parts, since its pattern never joins letters
-    and marks; letters that are not known yet are encoded together, each run of ids ending at a
-    token with the end-of-word suffix. A text that has the name of an added token in it, in
-    whatever case, is left to the tokenizer as it is.
+    ASCII white space, each distinct part of a call looked up once.
+
+    Exact for a tokenizer that composes and lower-cases by character, drops white space and lets
+    no token span it. A chunk of letters with ASCII marks behind it has two parts, since its
+    pattern never joins letters and marks; letters that are not known yet are encoded together,
+    each run of ids ending at a token with the end-of-word suffix. Letters of Latin-1, which
+    composing leaves as they are, are lower-cased here and go by ``plain``, the same merges without
+    normalising and pattern. A text that has the name of an added token in it, in whatever case, is
+    left to the tokenizer as it is. Known parts lie in arrays; beyond ``CACHE_WORDS`` the half that
+    was used last is kept.
     """
 
     def __init__(self, path: str, suffix: str = "</w>") -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _part(self, text: str) -> bytes:
-        if (ids := self.parts.get(text)) is None:
-            ids = self._ids(text).tobytes()
-            if len(text) <= CACHE_BYTES:
-                self.parts[text] = ids
-        return ids
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        split, plain, heads, parts = {}, {}, set(), self.parts
-        for chunk in chunks:
-            if chunk.isalpha():  # ASCII letters alone
-                plain[chunk] = head = chunk.lower().decode()
-                if head not in parts:
-                    heads.add(head)
-                continue
-            text = chunk.decode("utf-8", "replace")
-            head = text.rstrip(_MARKS)
-            if head.isalpha():
-                tail = text[len(head) :]
-                head = head.lower() if head.isascii() else head
-                if head not in parts:
-                    heads.add(head)
-                split[chunk] = head, tail
-            else:
-                split[chunk] = text, ""
-        heads = list(heads)
-        for at in range(0, len(heads), 2048):
-            some = heads[at : at + 2048]
-            ids = self._ids(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                raw, stops = ids.tobytes(), (4 * stops).tolist()
-                parts.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
-        for chunk, head in plain.items():
-            self.known[chunk] = parts.get(head) or self._part(head)
-        for chunk, (head, tail) in split.items():
-            self.known[chunk] = self._part(head) + (self._part(tail) if tail else b"")
+        self.parts, self.ids, self.calls = pa.array([], pa.large_string()), np.zeros(0, "<u4"), 0
+        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _ids(self, text: str, coder=None) -> np.ndarray:
+        return np.array((coder or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _split(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Two parts of each chunk: letters, or all of it, and marks behind letters."""
+        heads = pc.ascii_rtrim(chunks, _MARKS)
+        latin = pc.match_substring_regex(heads, f"^{_LATIN}+$")
+        hard = np.flatnonzero(~latin.to_numpy(zero_copy_only=False))
+        some = [x.decode("utf-8", "replace") for x in heads.take(pa.array(hard)).view(pa.large_binary()).to_pylist()]
+        whole = np.zeros(len(chunks), bool)
+        whole[hard] = [not x.isalpha() for x in some]
+        heads = pc.if_else(pa.array(whole), chunks, heads)
+        low = pc.replace_with_mask(heads, latin, pc.utf8_lower(heads.filter(latin)))
+        n = pc.subtract(pc.binary_length(chunks), pc.binary_length(heads)).to_numpy()
+        ends, held = np.cumsum(n), chunks.buffers()
+        place = np.repeat(np.frombuffer(held[1], np.int64)[1 : len(chunks) + 1] - ends, n) + np.arange(n.sum())
+        marks = np.frombuffer(held[2] or b"", np.uint8)[place]
+        return low, pa.Array.from_buffers(pa.large_string(), len(chunks), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(marks)])
+
+    def _learn(self, parts: pa.Array) -> None:
+        """Adds parts that are not known."""
+        latin = pc.match_substring_regex(parts, f"^{_LATIN}+$")
+        rest = parts.filter(pc.invert(latin)).view(pa.large_binary()).to_pylist()
+        letters, single = [], []
+        for part in rest:
+            (letters if part.decode("utf-8", "replace").isalpha() else single).append(part)
+        runs = [(self.plain, parts.filter(latin)), (self.tokenizer, pa.array(letters, pa.large_binary()).view(pa.large_string()))]
+        single = [(x, self._ids(x.decode("utf-8", "replace"))) for x in single]
+        ids, size, names = [i for _, i in single], [np.array([len(i) for _, i in single], np.int64)], [pa.array([x for x, _ in single], pa.large_binary()).view(pa.large_string())]
+        for coder, heads in runs:
+            for at in range(0, len(heads), 2048):
+                some = heads.slice(at, 2048)
+                texts = [x.decode() for x in some.view(pa.large_binary()).to_pylist()]
+                got = self._ids(" ".join(texts), coder)
+                stops = np.flatnonzero(self.ends[got]) + 1
+                if len(stops) == len(some) and stops[-1] == len(got):
+                    n = np.diff(stops, prepend=0)
+                else:
+                    each = [self._ids(x) for x in texts]
+                    got, n = np.concatenate(each), np.array([len(x) for x in each])
+                ids.append(got)
+                size.append(n)
+                names.append(some)
+        size = np.concatenate(size)
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.used = np.append(self.size, size), np.append(self.used, np.zeros(len(size), np.int64))
+        self.ids, self.parts = np.concatenate([self.ids, *ids]), pa.concat_arrays([self.parts, *names])
+
+    def _forget(self) -> None:
+        short = np.flatnonzero(pc.binary_length(self.parts).to_numpy() <= CACHE_BYTES)
+        keep = np.sort(short[np.argsort(-self.used[short], kind="stable")[: CACHE_WORDS // 2]])
+        self.parts, size, self.used = self.parts.take(pa.array(keep)), self.size[keep], self.used[keep]
+        self.ids = _runs(self.ids, self.start[keep], size)
+        self.start, self.size = np.cumsum(size) - size, size
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
+        if not texts:
+            return []
+        if len(self.parts) > CACHE_WORDS or self.parts.nbytes > CACHE_BYTES * CACHE_WORDS:
+            self._forget()
         named = [self._named(t) for t in texts]
-        words = [[] if whole else t.split() for t, whole in zip(texts, named)]
-        new = set().union(*words).difference(self.known) if words else set()
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._ids(t.decode("utf-8", "replace")).tobytes() if whole else b"".join(map(get, w)) for t, w, whole in zip(texts, words, named)]
+        column = pa.array([b"" if whole else t for t, whole in zip(texts, named)], pa.large_binary())
+        words = pc.ascii_split_whitespace(column.view(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        parts = pa.concat_arrays(self._split(coded.dictionary)).dictionary_encode()
+        found = pc.index_in(parts.dictionary, value_set=self.parts)
+        if found.null_count:
+            new, n = parts.dictionary.filter(found.is_null()), len(self.parts)
+            self._learn(new)
+            found = pc.replace_with_mask(found, found.is_null(), pc.add(pc.index_in(new, value_set=self.parts.slice(n)), pa.scalar(n, pa.int32())))
+        found = found.to_numpy()
+        self.calls += 1
+        self.used[found] = self.calls
+        pair = found[parts.indices.to_numpy()].reshape(2, -1).T[coded.indices.to_numpy()].ravel()
+        size = self.size[pair]
+        stream = _runs(self.ids, self.start[pair], size)
+        cuts = np.append(0, np.cumsum(size)[1::2])[words.offsets.to_numpy()].tolist()
+        return [self._ids(t.decode("utf-8", "replace")).tobytes() if whole else stream[a:b].tobytes() for t, whole, a, b in zip(texts, named, cuts, cuts[1:])]
 
     def _named(self, text: bytes) -> bool:
         low = text.lower()
         return any(name in low for name in self.added)
 
 
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``size`` values from ``start`` one behind the other."""
+    return values[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+@lru_cache(1)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks that a process runs, with the chunks it has learnt."""
+    return ChunkTokenizer(path)
+
+
+def _portions(batches, most: int = PORTION_BYTES):
+    """Record batches of up to ``most`` bytes of text in column 1, at least a row each."""
+    for b in slices(batches, 1024):
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        at = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > at and held + size > most:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if b.num_rows > at:
+            yield b.slice(at)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, piece, start, length, ids)``; ids are
     little-endian unsigned 32-bit. A null text counts as empty and gives the end id alone."""
 
     def run(batches):
-        coder, end = ChunkTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, 128):
+        coder, end = chunk_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
+        for b in _portions(batches):
             out: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), coder.encode(byte_list(b.column(1)))):
                 ids += end

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +380,25 @@ def test_chunk_tokenizer_equals_the_tokenizer():
     assert coder.encode(some) == want and coder.encode(some) == want
 
 
+def test_chunk_tokenizer_keeps_what_it_used_last(monkeypatch):
+    """Words of every call are encoded once, however many others come and go."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    coder, asked = packing.ChunkTokenizer(queries.word_tokenizer()), []
+    real = coder._ids
+    coder._ids = lambda text, *more: (asked.extend(text.split()), real(text, *more))[1]
+    for i in range(26):
+        text = "alpha Beta. µÉß " + " ".join(chr(97 + i) + chr(97 + k) * 3 for k in range(10))
+        want = np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert coder.encode([text.encode(), b"", b" "]) == [want, b"", b""]
+    assert asked.count("alpha") == asked.count("beta") == 1
+
+
+def test_packing_portions_hold_every_row():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 9, None, "b" * 3, "", "c" * 2])], names=["doc_id", "text"])
+    got = [b.column(0).to_pylist() for b in packing._portions([batch, batch.slice(0, 0)], 5)]
+    assert got == [[0], [1, 2, 3, 4]]
+
+
 def test_packing_odd_rows(odd, empty):
     got = packing.pack(odd, tokenizer()).collect()
     assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(d for d, _ in ODD)

@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
@@ -84,6 +85,24 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+#: Bytes of text in a portion.
+PORTION_BYTES = 4_000_000
+
+
+def portions(batches, column: int, most: int = PORTION_BYTES):
+    """Record batches of up to ``most`` bytes of text in ``column``, at least a row each."""
+    for b in slices(batches, 1024):
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > at and held + size > most:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if b.num_rows > at:
+            yield b.slice(at)
+
+
 @cache
 def letters() -> np.ndarray:
     """Which code points are letters."""

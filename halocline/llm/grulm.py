@@ -31,11 +31,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialize, slices
+from .common import byte_list, materialize, portions, slices
 
 WORDS, BUCKETS, PREFIX, CLASSES = 3_840, 256, 3, 64
 HIDDEN, WINDOW, LANES, ORDERED, ROWS = 32, 32, 1024, 4_000_000, 16_384
@@ -51,25 +52,41 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[:PREFIX]) % BUCKETS
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a string column as binary, which of them each word is, and where the
+    words of each row begin, with the end."""
+    plain = pa.array(byte_list(texts), pa.large_binary()).view(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    coded = lists.flatten().dictionary_encode()
+    index, distinct = coded.indices.to_numpy(), coded.dictionary.view(pa.large_binary())
+    real = pc.greater(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False)[index]
+    begins = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()]
+    return distinct.cast(pa.binary()), index[real], begins
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word binary, n)`` over all rows of ``docs(text)``; one ``END`` for each row."""
 
     def run(batches):
-        held: Counter = Counter()
+        held, size = [], 0
 
         def pack():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            found = pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")])
             held.clear()
-            return batch
-
-        for b in slices(batches):
-            for text in byte_list(b.column(0)):
-                held.update(text.lower().split())
-            held[END] += b.num_rows
-            if len(held) > FLUSH_WORDS:
-                yield pack()
+            yield from found.rename_columns(["word", "n"]).to_batches(max_chunksize=FLUSH_WORDS)
+
+        for b in portions(batches, 0):
+            distinct, index, _ = _words(b.column(0))
+            n = np.bincount(index, minlength=len(distinct))
+            there = np.flatnonzero(n)
+            words = pa.concat_arrays([distinct.take(pa.array(there)), pa.array([END], pa.binary())])
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(np.append(n[there], b.num_rows), pa.int64())], names=["word", "n"]))
+            size += len(words)
+            if size > 4 * FLUSH_WORDS:
+                yield from pack()
+                size = 0
         if held:
-            yield pack()
+            yield from pack()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -209,23 +226,25 @@ class Gru:
         return lp
 
     def _log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None, at: int, tame: tuple[bool, bool]) -> np.ndarray:
+        # The gradient of a row of logits is (e - total at y) / total: the narrow factors are divided.
         cls, rows = self.cls[y], np.arange(len(y))
         logits = h @ self.p["cw"]
         logits += self.p["cb"]
         e, total, lp = _exponentials(logits, cls, tame[0])
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["cw"] += h.T @ e
-            grads["cb"] += e.sum(axis=0)
+            e[rows, cls] -= total
+            over = 1 / total
+            grads["cw"] += (h * over[:, None]).T @ e
+            grads["cb"] += over @ e
             dh = e @ self.p["cw"].T
+            dh *= over[:, None]
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.start)))
+        cuts, starts = np.searchsorted(cls[order], np.arange(len(self.start))).tolist(), self.start.tolist()
         sorted_h, sorted_y, inner = h[order], y[order], np.zeros(len(y), h.dtype)
         back = np.zeros_like(h) if grads is not None else None
-        for c in range(len(self.start) - 1):
+        for c in range(len(starts) - 1):
             lo, hi = cuts[c], cuts[c + 1]
-            a, b = self.start[c], self.start[c + 1]
+            a, b = starts[c], starts[c + 1]
             if lo == hi or b - a == 1:
                 continue
             own, w, mine = sorted_h[lo:hi], self.p["ow"][a:b], sorted_y[lo:hi] - a
@@ -233,11 +252,12 @@ class Gru:
             logits += self.p["ob"][a:b]
             e, total, inner[lo:hi] = _exponentials(logits, mine, tame[1])
             if grads is not None:
-                e /= total[:, None]
-                e[np.arange(hi - lo), mine] -= 1
-                grads["ow"][a:b] += e.T @ own
-                grads["ob"][a:b] += e.sum(axis=0)
+                e[rows[: hi - lo], mine] -= total
+                over = 1 / total
+                grads["ow"][a:b] += e.T @ (own * over[:, None])
+                grads["ob"][a:b] += over @ e
                 np.matmul(e, w, out=back[lo:hi])
+                back[lo:hi] *= over[:, None]
         lp[order] += inner
         if grads is not None:
             dh[order] += back
@@ -251,27 +271,35 @@ class Gru:
         g: dict = {}
         loss = -self.log_prob(out.reshape(-1, HIDDEN), y.ravel(), g).mean()
         dout, u, n = g.pop("h").reshape(out.shape), self.p["u"], HIDDEN
-        hp, r, z, c, hc = (np.stack([k[i] for k in kept]) for i in range(5))
-        by_c, by_r, by_z = (1 - z) * (1 - c * c), hc * r * (1 - r), (hp - c) * z * (1 - z)
+        back, hp, by = np.ascontiguousarray(u.T), np.empty_like(out), np.empty_like(h)
         dgx, dhu, dh = np.empty((*x.shape, 3 * n), u.dtype), np.empty((*x.shape, 3 * n), u.dtype), np.zeros_like(h)
         for t in reversed(range(len(x))):
-            dh = dh + dout[t]
-            da = dh * by_c[t]
-            np.multiply(da, by_r[t], out=dhu[t, :, :n])
-            np.multiply(dh, by_z[t], out=dhu[t, :, n : 2 * n])
-            np.multiply(da, r[t], out=dhu[t, :, 2 * n :])
-            dgx[t, :, 2 * n :] = da
-            dh *= z[t]
-            dh += dhu[t] @ u.T
-            if kept[t][5].any():
-                dh[kept[t][5]] = 0
+            hp[t], r, z, c, hc, begins = kept[t]
+            to, rest = dhu[t], 1 - z
+            dh += dout[t]
+            np.multiply(c, c, out=by)
+            np.subtract(1, by, out=by)
+            by *= rest
+            da = np.multiply(dh, by, out=dgx[t, :, 2 * n :])
+            np.multiply(r, da, out=to[:, 2 * n :])
+            np.subtract(1, r, out=by)
+            by *= hc
+            np.multiply(by, to[:, 2 * n :], out=to[:, :n])
+            np.subtract(hp[t], c, out=by)
+            by *= z
+            by *= rest
+            np.multiply(by, dh, out=to[:, n : 2 * n])
+            dh *= z
+            dh += to @ back
+            if begins.any():
+                dh[begins] = 0
         dgx[:, :, : 2 * n] = dhu[:, :, : 2 * n]
         du = hp.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
-        flat = dgx.reshape(-1, 3 * n)
-        per_symbol, order = np.zeros((len(self.p["emb"]), 3 * n), flat.dtype), np.argsort(x.ravel(), kind="stable")
+        flat, order = dgx.reshape(-1, 3 * n), np.argsort(x.ravel().astype(np.uint16), kind="stable")
         there = x.ravel()[order]
         first = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-        per_symbol[there[first]] = np.add.reduceat(flat[order], first)
+        across, per_symbol = np.take(np.ascontiguousarray(flat.T), order, axis=1), np.zeros((len(self.p["emb"]), 3 * n), flat.dtype)
+        per_symbol[there[first]] = np.add.reduceat(across, first, axis=1).T  # along rows in memory
         g |= {"u": du, "bx": flat.sum(axis=0), "wx": self.p["emb"].T @ per_symbol, "emb": per_symbol @ self.p["wx"].T}
         return float(loss), {k: v / y.size for k, v in g.items()}, last
 
@@ -333,7 +361,8 @@ class Gru:
 
 
 def _encoder(v: Vocabulary):
-    """text -> (local word numbers, -1 for the others; all words)."""
+    """text -> (local word numbers, -1 for the others; all words); of one text, as ``encode`` does
+    of many."""
     number = {w: i for i, w in enumerate(v.words)}
 
     def encode(text: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -355,33 +384,51 @@ def _symbols(v: Vocabulary, ids: np.ndarray, words: list[bytes]) -> tuple[np.nda
     return symbols, rare
 
 
-def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
-    """``rows(doc_id, text, train)`` written once for training and scoring: a row number ``rid``, the
-    document's symbols as unsigned 16-bit numbers, ``n_tokens``, and of its local words ``n_known``,
-    the sum ``base_score`` of their log10 probabilities less those of the counts that ``rare`` words
-    await, and ``own``, the log10 probability of words within their buckets."""
-    schema = "rid long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, own double, symbols binary, rare array<struct<word: binary, n: long>>"
+def _encoded(batches, v: Vocabulary, number: int) -> Iterator[pa.RecordBatch]:
+    """What ``encode`` writes, for record batches of ``doc_id, text, train``; rows are numbered from
+    ``number``. Each distinct word of a portion is looked up once."""
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
     names = ["rid", "doc_id", "train", "n_tokens", "n_known", "base_score", "own", "symbols", "rare"]
     norm = np.log10(v.total + 0.5 * (v.distinct + 1))
     mass_of, within = np.zeros(len(v.frequency)), np.zeros(len(v.frequency), bool)
     mass_of[v.bucket_symbols], within[v.bucket_symbols] = np.log10(v.bucket_mass), True
+    local = pa.array(v.words, pa.binary())
+    counts, logs = np.append(v.counts, 0.0), np.append(np.log10(v.counts + 0.5), 0.0)
+    end = v.words.index(END) if END in v.words else -1
+    for b in portions(batches, 1):
+        words, index, begins = _words(b.column(1))
+        words, index = pa.concat_arrays([words, pa.array([END], pa.binary())]), np.insert(index, begins[1:], len(words))
+        begins = begins + np.arange(len(begins))
+        ids = pc.fill_null(pc.index_in(words, value_set=local), -1).to_numpy().copy() if len(local) else np.full(len(words), -1)
+        ids[-1] = end
+        prefixes = pc.binary_slice(words, 0, PREFIX).dictionary_encode()
+        symbols = v.bucket_symbols[np.array([bucket_of(x) for x in prefixes.dictionary.to_pylist()])][prefixes.indices.to_numpy()]
+        symbols[ids >= 0] = v.symbols[ids[ids >= 0]]
+        symbols[-1] = 0
+        log_c = logs[ids]
+        own = np.where(within[symbols], log_c - mass_of[symbols], 0.0)
+        n, sums = np.diff(begins), [np.add.reduceat(x[index], begins[:-1]) for x in ((counts[ids] > 0).astype(np.int64), log_c, own)]
+        raw = symbols.astype(np.uint16)[index].tobytes()
+        at = np.flatnonzero(ids[index] < 0)
+        pairs, k = np.unique(np.repeat(np.arange(len(n)), n)[at] * len(words) + index[at], return_counts=True)
+        few = pa.StructArray.from_arrays([words.take(pa.array(pairs % len(words))), pa.array(k, pa.int64())], names=["word", "n"])
+        cuts = np.searchsorted(pairs, np.arange(len(n) + 1) * len(words))
+        columns = [
+            pa.array(number + np.arange(len(n))), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1] - norm * n), pa.array(sums[2]),
+            pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * begins).astype(np.int32)), pa.py_buffer(raw)]),
+            pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), few),
+        ]
+        number += len(n)
+        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], names=names)
 
-    def run(batches):
-        coder, number = _encoder(v), TaskContext.get().partitionId() << 40
-        counts, logs = np.append(v.counts, 0.0), np.append(np.log10(v.counts + 0.5), 0.0)
-        for b in slices(batches):
-            out = []
-            for doc_id, text, train in zip(b.column(0).to_pylist(), byte_list(b.column(1)), b.column(2).to_pylist()):
-                ids, words = coder(text)
-                symbols, rare = _symbols(v, ids, words)
-                log_c, drawn = logs[ids], within[symbols]
-                own = float(log_c[drawn].sum() - mass_of[symbols[drawn]].sum())
-                few = [{"word": w, "n": k} for w, k in Counter(rare).items()]
-                out.append((number, doc_id, train, len(words), int((counts[ids] > 0).sum()), float(log_c.sum()) - norm * len(words), own, symbols.astype(np.uint16).tobytes(), few))
-                number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
+def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """``rows(doc_id, text, train)`` written once for training and scoring: a row number ``rid``, the
+    document's symbols as unsigned 16-bit numbers, ``n_tokens``, and of its local words ``n_known``,
+    the sum ``base_score`` of their log10 probabilities less those of the counts that ``rare`` words
+    await, and ``own``, the log10 probability of words within their buckets."""
+    schema = "rid long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, own double, symbols binary, rare array<struct<word: binary, n: long>>"
+    run = lambda batches: _encoded(batches, v, TaskContext.get().partitionId() << 40)
     return materialize(rows.select("doc_id", "text", "train").mapInArrow(run, schema), "encoded")
 
 

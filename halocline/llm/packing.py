@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialize, slices
+from .common import byte_list, materialize, portions
 
 MAX_TOKENS, END_ID = 2048, 0
 OPEN_BINS, GROUP_PIECES = 4096, 65536
-CACHE_WORDS, CACHE_BYTES, PORTION_BYTES = 400_000, 64, 4_000_000
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 _MARKS = string.punctuation.replace("'", "")
 #: A letter among the code points below 256.
 _LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
@@ -154,27 +154,13 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def _portions(batches, most: int = PORTION_BYTES):
-    """Record batches of up to ``most`` bytes of text in column 1, at least a row each."""
-    for b in slices(batches, 1024):
-        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-        at = held = 0
-        for i, size in enumerate(sizes.tolist()):
-            if i > at and held + size > most:
-                yield b.slice(at, i - at)
-                at, held = i, 0
-            held += size
-        if b.num_rows > at:
-            yield b.slice(at)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, piece, start, length, ids)``; ids are
     little-endian unsigned 32-bit. A null text counts as empty and gives the end id alone."""
 
     def run(batches):
         coder, end = chunk_tokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in _portions(batches):
+        for b in portions(batches, 1):
             out: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), coder.encode(byte_list(b.column(1)))):
                 ids += end

@@ -393,9 +393,9 @@ def test_chunk_tokenizer_keeps_what_it_used_last(monkeypatch):
     assert asked.count("alpha") == asked.count("beta") == 1
 
 
-def test_packing_portions_hold_every_row():
+def test_portions_hold_every_row():
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 9, None, "b" * 3, "", "c" * 2])], names=["doc_id", "text"])
-    got = [b.column(0).to_pylist() for b in packing._portions([batch, batch.slice(0, 0)], 5)]
+    got = [b.column(0).to_pylist() for b in common.portions([batch, batch.slice(0, 0)], 1, 5)]
     assert got == [[0], [1, 2, 3, 4]]
 
 
@@ -581,6 +581,25 @@ def test_language_model_query(spark, texts, odd, empty):
     assert grulm.score(odd, F.lit(False)).count() == len(ODD)
 
 
+def test_language_model_encodes_each_word_once(spark, monkeypatch):
+    """As one text at a time, and the bucket of each prefix is asked for once."""
+    rows = [(1, "The cat, the CAT\tsat"), (2, None), (3, " \n"), (4, "İ x\x85y \x1c rare rarer rare"), (5, "cat")]
+    v = grulm.vocabulary(grulm.count_words(table(spark, [r for r in rows if r[0] != 4])))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, *(d for d, _ in rows)]), pa.array(["gone", *(t for _, t in rows)]), pa.array([True] * 6)], names=["doc_id", "text", "train"])
+    want = []
+    for _, t in rows:
+        ids, words = grulm._encoder(v)((t or "").encode())
+        symbols, rare = grulm._symbols(v, ids, words)
+        known = [v.counts[i] for i in ids if i >= 0]
+        base = sum(np.log10(c + 0.5) for c in known) - len(words) * np.log10(v.total + 0.5 * (v.distinct + 1))
+        want.append((len(words), len(known), pytest.approx(base), symbols.tolist(), Counter(rare)))
+    asked, real = Counter(), grulm.bucket_of
+    monkeypatch.setattr(grulm, "bucket_of", lambda word: (asked.update([word]), real(word))[1])
+    got = pa.Table.from_batches(grulm._encoded([batch.slice(1)], v, 7)).to_pylist()
+    assert [(r["n_tokens"], r["n_known"], r["base_score"], np.frombuffer(r["symbols"], np.uint16).tolist(), Counter({w["word"]: w["n"] for w in r["rare"]})) for r in got] == want
+    assert [r["rid"] for r in got] == [*range(7, 12)] and max(asked.values()) == 1
+
+
 def test_language_model_learns_from_all_training_rows(spark):
     rng = random.Random(9)
     rows = [(d, " ".join(f"w{rng.randrange(40)}" for _ in range(60)) + " alpha beta gamma" * 5) for d in range(60)]

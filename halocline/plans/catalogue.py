@@ -542,26 +542,26 @@ def text_mesh_levels(spark, d):
     return load.load_text_mesh(spark, _text_mesh(spark, d)).levels.select("level", "depth", "thickness")
 
 
-def _columns(df: DataFrame, order: str) -> dict:
-    """A table as arrays in order; a netCDF file is written from one place."""
-    table = df.orderBy(order).toArrow()
-    return {c: table[c].to_numpy() for c in table.column_names}
-
-
 def _netcdf(spark, name: str, *what) -> str:
     path = f"{files.scratch(spark, 'netcdf')}/{name}"
-    files.write_bytes(spark, path, netcdf.encode(*what))
+    netcdf.write(spark, path, *what)
     return path
 
 
+def _by_point(table: DataFrame, *columns: str) -> list:
+    """Columns as variables of a netCDF file, in order of ``point_id``."""
+    return [netcdf.Rows(table, ("point_id",), c) for c in columns]
+
+
 @register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area / 1e6, 3) AS area, (SELECT count(*) FROM elements) AS n_elements, (SELECT CAST(sum(n0 + n1 + n2) AS BIGINT) FROM elements) AS corners, 6 AS n_levels FROM points")
 def netcdf_mesh(spark, d):
     import numpy as np
 
-    p, e = _columns(derive.points(spark, d), "point_id"), _columns(derive.elements(spark, d), "elem_id")
-    corners = np.stack([e[c] + 1 for c in ("n0", "n1", "n2")]).astype("i4")
+    p, e = derive.points(spark, d), derive.elements(spark, d)
+    lon, lat, area = _by_point(p, "lon", "lat", "area")
+    corners = e.select("elem_id", F.posexplode(F.array(*(F.col(c) + 1 for c in ("n0", "n1", "n2")))).alias("corner", "node")).withColumn("node", F.col("node").cast("int"))
     depth = np.array([-x[1] for x in derive.LEVELS])
-    path = _netcdf(spark, "fesom.mesh.diag.nc", {"nod2": len(p["lon"]), "elem": corners.shape[1], "n3": 3, "nz": len(depth)}, {"lon": (("nod2",), p["lon"], {}), "lat": (("nod2",), p["lat"], {}), "nod_area": (("nod2",), p["area"], {}), "face_nodes": (("n3", "elem"), corners, {"start_index": 1.0}), "nz": (("nz",), depth, {"units": "m"})})
+    path = _netcdf(spark, "fesom.mesh.diag.nc", {"nod2": p.count(), "elem": e.count(), "n3": 3, "nz": len(depth)}, {"lon": (("nod2",), lon, {}), "lat": (("nod2",), lat, {}), "nod_area": (("nod2",), area, {}), "face_nodes": (("n3", "elem"), netcdf.Rows(corners, ("corner", "elem_id"), "node"), {"start_index": 1.0}), "nz": (("nz",), depth, {"units": "m"})})
     mesh = load.load_mesh(spark, path)
     totals = mesh.elements.agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.col("n0") + F.col("n1") + F.col("n2")).alias("corners"))
     return _mesh_points(mesh).crossJoin(F.broadcast(totals)).withColumn("n_levels", F.lit(mesh.levels.count()).cast("int"))
@@ -569,17 +569,17 @@ def netcdf_mesh(spark, d):
 
 @register("SELECT level, point_id, CASE WHEN point_id % 7 <> level THEN area END AS area FROM points, levels")
 def netcdf_area_by_level(spark, d):
-    import numpy as np
-
-    p = _columns(derive.points(spark, d), "point_id")
-    layered = np.array([np.where(p["point_id"] % 7 != level, p["area"], 0.0) for level, _, _ in derive.LEVELS])
-    path = _netcdf(spark, "mesh.diag.nc", {"nod2": len(p["lon"]), "nl": len(layered)}, {"lon": (("nod2",), p["lon"], {}), "lat": (("nod2",), p["lat"], {}), "nod_area": (("nl", "nod2"), layered, {})})
+    p = derive.points(spark, d)
+    lon, lat = _by_point(p, "lon", "lat")
+    wet = p.crossJoin(F.broadcast(derive.levels(spark))).select("level", "point_id", F.when(F.col("point_id") % 7 != F.col("level"), F.col("area")).otherwise(0.0).alias("area"))
+    path = _netcdf(spark, "mesh.diag.nc", {"nod2": p.count(), "nl": len(derive.LEVELS)}, {"lon": (("nod2",), lon, {}), "lat": (("nod2",), lat, {}), "nod_area": (("nl", "nod2"), netcdf.Rows(wet, ("level", "point_id"), "area"), {})})
     return load.load_mesh(spark, path).area3d.select("level", "point_id", "area")
 
 
 @register(ORACLES["structured_mesh"], shared=False)
 def structured_netcdf(spark, d):
-    g = _columns(_structured(spark).withColumn("at", F.col("j") * 36 + F.col("i")), "at")
+    table = _structured(spark).orderBy("j", "i").toArrow()  # of a fixed size
+    g = {c: table[c].to_numpy() for c in table.column_names}
     dims = ("time", "y", "x")
     shape = (1, 21, 36)
     path = _netcdf(spark, "mesh_mask.nc", {"time": 1, "z": 2, "y": 21, "x": 36}, {"glamt": (dims, g["lon"].reshape(shape), {}), "gphit": (dims, g["lat"].astype("f8").reshape(shape), {}), "tmask": (("time", "z", "y", "x"), [[g["tmask"].reshape(21, 36), 0 * g["tmask"].reshape(21, 36)]], {})})
@@ -589,25 +589,23 @@ def structured_netcdf(spark, d):
 
 @register("SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, area, 'A2' AS prefix FROM points")
 def reduced_netcdf(spark, d):
-    p = _columns(derive.points(spark, d), "point_id")
-    n = len(p["lon"])
-    grid = {"A1.lon": (("y1", "x1"), p["lon"][None, :2], {}), "A1.lat": (("y1", "x1"), p["lat"][None, :2], {})} | {f"{a}.{k}": (("y", "x"), (p[k] + (360 if k == "lon" else 0))[None], {}) for a in ("A3", "A2") for k in ("lon", "lat")}
+    p = derive.points(spark, d)
+    n, first = p.count(), p.orderBy("point_id").limit(2).toArrow()
+    lon, lat, area, double = _by_point(p.select("point_id", F.col("lon") + 360, "lat", "area", F.col("area") * 2).toDF("point_id", "lon", "lat", "area", "double"), "lon", "lat", "area", "double")
+    grid = {f"A1.{k}": (("y1", "x1"), first[k].to_numpy()[None], {}) for k in ("lon", "lat")} | {f"{a}.{k}": (("y", "x"), v, {}) for a in ("A3", "A2") for k, v in (("lon", lon), ("lat", lat))}
     grids_nc = _netcdf(spark, "grids.nc", {"y": 1, "x": n, "y1": 1, "x1": 2}, grid)
-    areas_nc = _netcdf(spark, "areas.nc", {"y": 1, "x": n}, {"A2.srf": (("y", "x"), p["area"][None], {}), "A3.srf": (("y", "x"), p["area"][None] * 2, {})})
+    areas_nc = _netcdf(spark, "areas.nc", {"y": 1, "x": n}, {"A2.srf": (("y", "x"), area, {}), "A3.srf": (("y", "x"), double, {})})
     mesh = load.load_mesh(spark, grids_nc, "ifs_tco", area_file=areas_nc)
     return _rounded(mesh.points.select("point_id", "lon", "lat", "area")).withColumn("prefix", F.lit(mesh.extra["prefix"]))
 
 
 @register("""SELECT CAST(time AS BIGINT) AS time, level, round(sum(value * area) / sum(CASE WHEN value IS NOT NULL THEN area END), 6) AS mean FROM (SELECT t.range AS time, level, point_id, CASE WHEN value IS NOT NULL THEN value + t.range END AS value FROM profile, range(6) t) JOIN points USING (point_id) GROUP BY ALL""")
 def series_of_files(spark, d):
-    import numpy as np
-
-    p = _columns(derive.profile(spark, d).withColumn("at", F.col("level") * 10_000_000_000 + F.col("point_id")), "at")
-    field, folder = p["value"].reshape(len(derive.LEVELS), -1), files.scratch(spark, "series")
+    profile, folder = derive.profile(spark, d), files.scratch(spark, "series")
+    dims = {"time": 2, "nz": len(derive.LEVELS), "nod2": derive.points(spark, d).count()}
     for part in range(3):  # two times in each file, missing values by their mark
-        values = np.stack([np.nan_to_num(field + 2 * part + t, nan=-9e33) for t in range(2)])
-        raw = netcdf.encode({"time": 2, "nz": len(field), "nod2": field.shape[1]}, {"temp": (("time", "nz", "nod2"), values, {"_FillValue": -9e33})})
-        files.write_bytes(spark, f"{folder}/temp_{part}.nc", raw)
+        field = profile.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("t"), "level", "point_id", "value").withColumn("value", F.col("value") + 2 * part + F.col("t"))
+        netcdf.write(spark, f"{folder}/temp_{part}.nc", dims, {"temp": (("time", "nz", "nod2"), netcdf.Rows(field, ("t", "level", "point_id"), "value"), {"_FillValue": -9e33})})
     series = netcdf.open_series(spark, f"{folder}/temp_*.nc", "temp")
     return _rounded(reduce.surface_mean(series, derive.points(spark, d), ["time", "level"]))
 

@@ -43,6 +43,40 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def write_joined(spark: SparkSession, path: str, parts: list[bytes | tuple[str, str, int]]) -> None:
+    """Bytes one after another in one file; ``(name, folder, size)`` stands for so many bytes that are
+    the pieces in Spark's text files of that folder, each a length in eight bytes and that many.
+    They pass the driver as a stream and are never held there."""
+    fs, at = _at(spark, path)
+    copy = spark._jvm.org.apache.commons.io.IOUtils.copyLarge
+    out = fs.create(at, True)
+    try:
+        for part in parts:
+            if isinstance(part, bytes):
+                out.write(part, 0, len(part))
+                continue
+            name, folder, size = part
+            for piece in matching(spark, f"{folder}/part-*"):
+                own, place = _at(spark, piece)
+                left, source = own.getFileStatus(place).getLen(), own.open(place)
+                try:
+                    while left > 0:
+                        n = source.readLong()
+                        size -= copy(source, out, 0, n)
+                        left -= 8 + n + len(source.readNBytes(1))  # the end of the line
+                finally:
+                    source.close()
+            if size:
+                raise ValueError(f"{name} has {'fewer' if size > 0 else 'more'} values than its dimensions")
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, at = _at(spark, folder)
+    fs.delete(at, True)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path for intermediate files in the folder that driver and executors share,
     ``spark.checkpoint.dir``; where that is unset and everything runs in one process, in a folder

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import matching, write_bytes
+from .files import matching, remove, scratch, write_bytes, write_joined
 
 # External types of the format by their tag.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -24,6 +24,8 @@ TAGS = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8,
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
 #: What is read of a file to learn its variables.
 HEADER_BYTES = 1 << 20
+#: About what a task holds of a variable that is written from a table.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass
@@ -44,6 +46,15 @@ class Header:
     record_bytes: int
 
 
+@dataclass
+class Rows:
+    """A variable's values from a table: its numeric column ``value`` in the order of ``order``."""
+
+    table: DataFrame
+    order: tuple[str, ...]
+    value: str
+
+
 class _Reader:
     def __init__(self, raw: bytes) -> None:
         if raw[:4] == b"\x89HDF":
@@ -106,29 +117,35 @@ def header(raw: bytes) -> Header:
     return Header(sizes, variables, shared, step)
 
 
-def values(raw: bytes, head: Header, name: str) -> np.ndarray:
-    """A variable's values: floating ones as doubles with fill values as NaN, packed ones unpacked."""
+def _stored(raw, head: Header, name: str) -> np.ndarray:
+    """A variable as it stands in the file, not copied."""
     v = head.variables[name]
-    if v.record:
-        inner = int(np.prod(v.shape[1:], dtype=np.int64))
-        rows = [np.frombuffer(raw, v.kind, inner, v.begin + i * head.record_bytes) for i in range(v.shape[0])]
-        flat = np.concatenate(rows) if rows else np.zeros(0, v.kind)
-    else:
-        flat = np.frombuffer(raw, v.kind, int(np.prod(v.shape, dtype=np.int64)), v.begin)
+    inner = [int(np.prod(v.shape[k + 1 :], dtype=np.int64)) * v.kind.itemsize for k in range(len(v.shape))]
+    if 0 in v.shape:
+        return np.zeros(v.shape, v.kind)
+    return np.ndarray(v.shape, v.kind, raw, v.begin, [head.record_bytes, *inner[1:]] if v.record else inner)
+
+
+def _decoded(stored: np.ndarray, v: Variable) -> np.ndarray:
     if v.kind.char == "S":
-        return flat.reshape(v.shape)
-    out = flat.astype(v.kind.newbyteorder("="))
+        return stored
+    out = stored.astype(v.kind.newbyteorder("="))
     fills = [v.attributes[k] for k in ("_FillValue", "missing_value") if k in v.attributes]
     scale, offset = v.attributes.get("scale_factor", 1), v.attributes.get("add_offset", 0)
     if fills or out.dtype.kind == "f" or (scale, offset) != (1, 0):
-        missing = np.isin(out, np.array(fills, out.dtype)) if fills else np.zeros(len(out), bool)
+        missing = np.isin(out, np.array(fills, out.dtype)) if fills else np.zeros(out.shape, bool)
         out = np.where(missing, np.nan, out.astype(np.float64) * scale + offset)
-    return out.reshape(v.shape)
+    return out
 
 
-def encode(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
-    """A CDF-2 file of variables ``name -> (dims, values, attributes)``; integers of 64 bits become
-    doubles, since the format has none."""
+def values(raw: bytes, head: Header, name: str) -> np.ndarray:
+    """A variable's values: floating ones as doubles with fill values as NaN, packed ones unpacked."""
+    return _decoded(_stored(raw, head, name), head.variables[name])
+
+
+def _front(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], int, int, dict]], attributes: dict | None) -> bytes:
+    """The header of a CDF-2 file of variables ``name -> (dims, tag, bytes, attributes)``, whose values
+    follow it in order."""
 
     def name(text: str) -> bytes:
         raw = text.encode()
@@ -148,29 +165,85 @@ def encode(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.
     def notes(found: dict | None) -> bytes:
         return listed(ATTRIBUTES, [attribute(k, v) for k, v in (found or {}).items()])
 
-    places, bodies = list(dims), {}
-    for key, (own, array, _) in variables.items():
-        array = np.asarray(array)
-        code = array.dtype.str[1:]
-        if code in ("i8", "u8", "u4"):
-            array, code = array.astype("f8"), "f8"
-        if array.shape != tuple(dims[d] for d in own):
-            raise ValueError(f"{key} has shape {array.shape}, its dimensions {own} differ")
-        raw = np.ascontiguousarray(array.astype(f">{code}" if code != "S1" else "S1")).tobytes()
-        bodies[key] = TAGS[code], raw + b"\0" * (-len(raw) % 4)
-
-    def front(begins: dict[str, int]) -> bytes:
+    places = list(dims)
+
+    def made(begins: dict[str, int]) -> bytes:
         parts = []
-        for key, (own, _, found) in variables.items():
-            tag, raw = bodies[key]
+        for key, (own, tag, size, found) in variables.items():
             places_of = struct.pack(f">{len(own) + 1}i", len(own), *(places.index(d) for d in own))
-            parts.append(name(key) + places_of + notes(found) + struct.pack(">iiq", tag, min(len(raw), 2**31 - 4), begins.get(key, 0)))
+            parts.append(name(key) + places_of + notes(found) + struct.pack(">iiq", tag, min(size, 2**31 - 4), begins.get(key, 0)))
         return b"CDF\x02" + struct.pack(">i", 0) + listed(DIMENSIONS, [name(d) + struct.pack(">i", n) for d, n in dims.items()]) + notes(attributes) + listed(VARIABLES, parts)
 
-    at, begins = len(front({})), {}
-    for key, (_, raw) in bodies.items():
-        begins[key], at = at, at + len(raw)
-    return front(begins) + b"".join(raw for _, raw in bodies.values())
+    at, begins = len(made({})), {}
+    for key, (_, _, size, _) in variables.items():
+        begins[key], at = at, at + size
+    return made(begins)
+
+
+def _body(key: str, dims: dict[str, int], own: tuple[str, ...], array) -> tuple[int, bytes]:
+    """Tag and bytes of an array."""
+    array = np.asarray(array)
+    code = array.dtype.str[1:]
+    if code in ("i8", "u8", "u4"):
+        array, code = array.astype("f8"), "f8"
+    if array.shape != tuple(dims[d] for d in own):
+        raise ValueError(f"{key} has shape {array.shape}, its dimensions {own} differ")
+    raw = np.ascontiguousarray(array.astype(f">{code}" if code != "S1" else "S1")).tobytes()
+    return TAGS[code], raw + b"\0" * (-len(raw) % 4)
+
+
+def encode(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> bytes:
+    """A CDF-2 file of variables ``name -> (dims, values, attributes)``; integers of 64 bits become
+    doubles, since the format has none."""
+    bodies = {key: _body(key, dims, own, array) for key, (own, array, _) in variables.items()}
+    front = _front(dims, {key: (own, bodies[key][0], len(bodies[key][1]), found) for key, (own, _, found) in variables.items()}, attributes)
+    return front + b"".join(raw for _, raw in bodies.values())
+
+
+def write(spark: SparkSession, path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray | Rows, dict]], attributes: dict | None = None) -> None:
+    """``encode`` to a file by any path, for variables of any size: those given as ``Rows`` are sorted
+    and encoded by Spark in pieces, which are joined as streams, so that none of their values are
+    results of the driver. Missing values become ``_FillValue``, where there is one, or NaN."""
+    told, bodies, folders = {}, [], []
+    try:
+        for key, (own, given, found) in variables.items():
+            if not isinstance(given, Rows):
+                tag, raw = _body(key, dims, own, given)
+                told[key] = own, tag, len(raw), found
+                bodies.append(raw)
+                continue
+            kind = {"tinyint": "i1", "smallint": "i2", "int": "i4", "float": "f4"}.get(dict(given.table.dtypes)[given.value], "f8")
+            size = int(np.prod([dims[d] for d in own], dtype=np.int64)) * np.dtype(kind).itemsize
+            told[key] = own, TAGS[kind], size + -size % 4, found
+            folders.append(scratch(spark, "pieces"))
+            _write_pieces(given, f">{kind}", found.get("_FillValue"), folders[-1])
+            bodies += [(key, folders[-1], size), b"\0" * (-size % 4)]
+        write_joined(spark, path, [_front(dims, told, attributes), *bodies])
+    finally:
+        for folder in folders:
+            remove(spark, folder)
+
+
+def _write_pieces(rows: Rows, kind: str, fill: float | None, folder: str) -> None:
+    """Spark's text files of lines that are a length in eight bytes and so many bytes of values."""
+
+    def run(batches):
+        held, size = [], 0
+        line = lambda: pa.RecordBatch.from_arrays([pa.array([struct.pack(">q", size) + b"".join(held)], pa.binary())], names=["content"])
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False).astype(kind).tobytes())
+            size += len(held[-1])
+            if size >= PIECE_BYTES:
+                yield line()
+                held, size = [], 0
+        if size:
+            yield line()
+
+    value = F.col(rows.value)
+    if fill is not None:
+        value = F.coalesce(value, F.lit(fill).cast(rows.table.schema[rows.value].dataType))
+    pieces = rows.table.orderBy(*rows.order).select(value.alias("value")).mapInArrow(run, "content binary")
+    pieces.select(F.col("content").cast("string").alias("value")).write.options(lineSep="\n", compression="none").text(folder)
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
@@ -202,25 +275,25 @@ def read_variables(spark: SparkSession, path: str, names: list[str], head: Heade
     def rows(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = raw.as_buffer().to_pybytes()
-                own = header(raw)
+                raw = raw.as_buffer()
+                own = header(raw[:HEADER_BYTES].to_pybytes())
                 shape = own.variables[names[0]].shape
-                arrays = {}
-                for n in names:
-                    v = own.variables[n]
-                    spread = values(raw, own, n).reshape([own.dims[d] if d in v.dims else 1 for d in dims])
-                    arrays[n] = np.broadcast_to(spread, shape).reshape(-1)
+                stored = {n: _stored(raw, own, n) for n in names}
                 total = int(np.prod(shape, dtype=np.int64))
                 for at in range(0, total, 65_536):
-                    part = np.arange(at, min(at + 65_536, total))
-                    made = [pa.array(np.full(len(part), order[name])), *(pa.array(x.astype(np.int64)) for x in np.unravel_index(part, shape))]
+                    place = dict(zip(dims, np.unravel_index(np.arange(at, min(at + 65_536, total)), shape)))
+                    made = [pa.array(np.full(min(65_536, total - at), order[name])), *(pa.array(x.astype(np.int64)) for x in place.values())]
                     for n in names:
-                        x = arrays[n][part]
+                        v = own.variables[n]
+                        x = np.broadcast_to(_decoded(stored[n][tuple(place[d] for d in v.dims)], v), len(made[0]))
                         made.append(pa.array(x.astype(np.int64)) if whole[n] else pa.array(x.astype(np.float64), mask=np.isnan(x.astype(np.float64))))
                     yield pa.RecordBatch.from_arrays(made, names=columns)
 
-    content = spark.read.format("binaryFile").load(files).select("path", "content")
-    return content.repartition(len(files), "path").mapInArrow(rows, schema)
+    return _contents(spark, files).mapInArrow(rows, schema)
+
+
+def _contents(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(files).select("path", "content")
 
 
 def open_series(spark: SparkSession, pattern: str, variable: str, time: str = "time", point: str | None = None) -> DataFrame:
@@ -236,8 +309,7 @@ def open_series(spark: SparkSession, pattern: str, variable: str, time: str = "t
     named = time in head.variables
     rows = read_variables(spark, pattern, [variable, *([time] if named else [])], head)
     if not named and time in dims:
-        per = rows.groupBy("file").agg((F.max(time) + 1).alias("n")).collect()
-        starts = [sum(r.n for r in per if r.file < i) for i in range(len(files))]
+        starts = np.append(0, np.cumsum(_sizes(spark, files, time))).tolist()[:-1]
         rows = rows.withColumn(time, F.get(F.array(*(F.lit(s) for s in starts)), F.col("file")) + F.col(time))
     rest = [d for d in dims if d != time]
     at = [F.col(time).alias("time")] if named or time in dims else []
@@ -245,6 +317,19 @@ def open_series(spark: SparkSession, pattern: str, variable: str, time: str = "t
     return rows.select(*at, *levels, F.col(point or rest[-1]).alias("point_id"), F.col(variable).cast("double").alias("value"))
 
 
+def _sizes(spark: SparkSession, files: list[str], dim: str) -> list[int]:
+    """The size of a dimension in each of the files, from their headers."""
+
+    def run(batches):
+        for b in batches:
+            found = [header(raw.as_buffer().to_pybytes()).dims[dim] for raw in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["path", "n"])
+
+    heads = _contents(spark, files).withColumn("content", F.substring("content", 1, HEADER_BYTES))
+    sizes = {r.path: r.n for r in heads.mapInArrow(run, "path string, n long").collect()}
+    return [sizes[f] for f in files]
+
+
 def export_grid(gridded: DataFrame, folder: str, keys: list[str] = (), value: str = "value", name: str = "value") -> list[str]:
     """Write a gridded table ``(keys..., i_lat, i_lon, lon, lat, value)`` as classic netCDF, one file
     for each combination of keys; returns their paths. A task holds one grid at a time, and files

@@ -85,3 +85,46 @@ def test_export_without_keys(spark, tmp_path):
     (path,) = netcdf.export_grid(grid, str(tmp_path))
     got = netcdf.read_variables(spark, path, ["value"]).select("lat", "lon", F.col("value")).orderBy("lon").collect()
     assert [tuple(r) for r in got] == [(0, 0, 5.0), (0, 1, None)]
+
+
+def test_tables_are_written_as_arrays_are(spark, tmp_path):
+    rows = spark.range(0, 60_000, 1, 7).select(F.col("id").alias("at"), (F.col("id") * 7919 % 60_000).alias("other"), F.when(F.col("id") % 9 != 0, F.col("id") * 257.25).alias("v"), (F.col("id") * 10).cast("int").alias("n"), (F.col("id") % 11).cast("tinyint").alias("b"))
+    at = np.arange(60_000)
+    v = np.where(at % 9 != 0, at * 257.25, -1.0)
+    by_other = np.empty(60_000)
+    by_other[at * 7919 % 60_000] = v
+    dims, few = {"y": 2, "x": 30_000, "z": 60_000, "one": 1}, (("one",), np.array([2.0]), {})
+    arrays = {"v": (("y", "x"), v.reshape(2, -1), {"_FillValue": -1.0}), "few": few, "o": (("z",), by_other, {"_FillValue": -1.0}), "n": (("z",), (at * 10).astype("i4"), {}), "b": (("z",), (at % 11).astype("i1"), {})}
+    tables = {k: (arrays[k][0], netcdf.Rows(rows, (order,), name), arrays[k][2]) for k, order, name in (("v", "at", "v"), ("o", "other", "v"), ("n", "at", "n"), ("b", "at", "b"))}
+    netcdf.write(spark, f"{tmp_path}/a.nc", dims, {k: tables.get(k, few) for k in arrays}, {"title": "odd"})
+    assert (tmp_path / "a.nc").read_bytes() == netcdf.encode(dims, arrays, {"title": "odd"})
+    for n in (59_999, 60_001):
+        with pytest.raises(ValueError, match="values than its dimensions"):
+            netcdf.write(spark, f"{tmp_path}/b.nc", {"z": n}, {"n": (("z",), netcdf.Rows(rows, ("at",), "n"), {})})
+
+
+def test_times_run_on_over_files_of_unlike_length(spark, tmp_path):
+    for k, n in enumerate((1, 1, 3)):
+        raw = netcdf.encode({"time": n, "x": 2}, {"v": (("time", "x"), np.full((n, 2), float(k)), {})})
+        files.write_bytes(spark, f"{tmp_path}/t_{k}.nc", raw)
+    rows = netcdf.open_series(spark, f"{tmp_path}/t_*.nc", "v").where("point_id = 1").orderBy("time").collect()
+    assert [(r.time, r.value) for r in rows] == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 2.0), (4, 2.0)]
+
+
+@pytest.mark.parametrize("name", ["series_of_files", "netcdf_mesh", "netcdf_area_by_level", "reduced_netcdf"])
+def test_written_values_do_not_come_to_the_driver(spark, sf_dir, monkeypatch, name):
+    from halocline.plans import catalogue
+
+    points, got = spark.read.parquet(f"{sf_dir}/customer.parquet").count(), []
+    kind = type(spark.range(1))
+    for method in ("toArrow", "collect", "toPandas"):
+        real = getattr(kind, method)
+
+        def counted(self, *a, real=real, **b):
+            out = real(self, *a, **b)
+            got.append(len(out))
+            return out
+
+        monkeypatch.setattr(kind, method, counted)
+    catalogue.QUERIES[name](spark, sf_dir)
+    assert max(got) < min(points, 50)

@@ -40,6 +40,8 @@ from .common import byte_list, materialize, portions, slices
 
 WORDS, BUCKETS, PREFIX, CLASSES = 3_840, 256, 3, 64
 HIDDEN, WINDOW, LANES, ORDERED, ROWS = 32, 32, 1024, 4_000_000, 16_384
+#: Rows whose logits of classes are made at once; they stay in a core's own cache.
+CLASS_ROWS = 2048
 LOCAL_WORDS, FLUSH_WORDS = 131_072, 200_000
 START_TOKENS, START_LANES, EPOCHS, RATE = 1_500_000, 64, 2, 8e-3
 SWEEPS, CHUNK, SWEEP_LANES, SWEEP_RATE = 1, 2_000_000, 512, 2e-3
@@ -146,11 +148,33 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / inf is 0
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in any order, and the sums of their rows: pairs of rows are added until
+    each key has one."""
+    done, keys = [], keys.astype(np.uint16)
+    while len(keys):
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        n = np.diff(first, append=len(k))
+        alone = first[n == 1]
+        done.append((k[alone], rows[order[alone]]))
+        odd = (first + n - 1)[(n > 1) & (n % 2 == 1)]  # their last rows wait
+        pair = np.arange(len(k)) - np.repeat(first, n)
+        left = np.flatnonzero((pair % 2 == 0) & (pair + 1 < np.repeat(n, n)))
+        more = np.empty((len(left) + len(odd), rows.shape[1]), rows.dtype)
+        both = np.take(rows, order[left], axis=0, out=more[: len(left)], mode="clip")
+        both += np.take(rows, order[left + 1], axis=0, mode="clip")
+        more[len(left) :] = rows[order[odd]]
+        rows, keys = more, np.concatenate((k[left], k[odd]))
+    return np.concatenate([k for k, _ in done]), np.concatenate([x for _, x in done])
 
 
 #: Logits whose exponentials are surely finite in 32 bits, so that no row maximum is needed.
@@ -188,16 +212,29 @@ class Gru:
             "ow": normal(s, h) * 0.1, "ob": np.log(frequency / mass[self.cls]).astype(np.float32),
         }
 
-    def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self) -> np.ndarray:
+        """What each symbol gives to the gates."""
+        return self.p["emb"] @ self.p["wx"] + self.p["bx"]
+
+    def tame(self) -> tuple[bool, bool]:
+        """Whether the logits of classes, and those within them, are within ``TAME`` for states within (-1, 1)."""
+        return _bound(self.p["cw"], self.p["cb"], 0) < TAME, _bound(self.p["ow"], self.p["ob"], 1) < TAME
+
+    def run(self, x: np.ndarray, h: np.ndarray, keep: list | None = None, into: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of the inputs ``x`` (steps, lanes); ``END`` as input resets a lane.
-        keep gets what backpropagation needs."""
+        keep gets what backpropagation needs; ``into`` may be given as ``inputs`` told it."""
         n, u, out = HIDDEN, self.p["u"], np.empty((*x.shape, HIDDEN), self.p["u"].dtype)
-        into = self.p["emb"] @ self.p["wx"] + self.p["bx"]
+        into = self.inputs() if into is None else into
+        gx, hu = np.empty((2, x.shape[1], 3 * n), u.dtype)
         for t in range(len(x)):
             begins = x[t] == 0
             if begins.any():
-                h = np.where(begins[:, None], h.dtype.type(0), h)
-            hu, gx = h @ u, into[x[t]]
+                h = h.copy()
+                h[begins] = 0
+            if keep is not None:
+                hu = np.empty_like(gx)
+            np.matmul(h, u, out=hu)
+            np.take(into, x[t], axis=0, out=gx, mode="clip")
             rz = gx[:, : 2 * n] + hu[:, : 2 * n]
             rz = _sigmoid(rz)
             r, z = rz[:, :n], rz[:, n:]
@@ -212,57 +249,59 @@ class Gru:
             h = mixed
         return out, h.copy()
 
-    def log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
+    def log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, tame: tuple[bool, bool] | None = None) -> np.ndarray:
         """Natural log-probabilities of the symbols ``y`` after the states ``h``; with grads,
         also sums the gradients of their negative sum, and that of h as ``h``. Rows go ``ROWS`` at a
-        time, which a core's cache holds."""
+        time, which a core's cache holds; ``tame`` may be given as the method told it."""
         if grads is not None:
             grads |= {k: np.zeros_like(self.p[k]) for k in ("cw", "cb", "ow", "ob")} | {"h": np.empty_like(h)}
-        lp, p = np.empty(len(y), h.dtype), self.p
-        large = np.abs(h).max(initial=0) > 1
-        tame = not large and _bound(p["cw"], p["cb"], 0) < TAME, not large and _bound(p["ow"], p["ob"], 1) < TAME
+        lp, large = np.empty(len(y), h.dtype), np.abs(h).max(initial=0) > 1
+        tame = (False, False) if large else tame or self.tame()
         for at in range(0, len(y), ROWS):
             lp[at : at + ROWS] = self._log_prob(h[at : at + ROWS], y[at : at + ROWS], grads, at, tame)
         return lp
 
     def _log_prob(self, h: np.ndarray, y: np.ndarray, grads: dict | None, at: int, tame: tuple[bool, bool]) -> np.ndarray:
-        # The gradient of a row of logits is (e - total at y) / total: the narrow factors are divided.
-        cls, rows = self.cls[y], np.arange(len(y))
-        logits = h @ self.p["cw"]
-        logits += self.p["cb"]
-        e, total, lp = _exponentials(logits, cls, tame[0])
-        if grads is not None:
-            e[rows, cls] -= total
-            over = 1 / total
-            grads["cw"] += (h * over[:, None]).T @ e
-            grads["cb"] += over @ e
-            dh = e @ self.p["cw"].T
-            dh *= over[:, None]
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts, starts = np.searchsorted(cls[order], np.arange(len(self.start))).tolist(), self.start.tolist()
-        sorted_h, sorted_y, inner = h[order], y[order], np.zeros(len(y), h.dtype)
-        back = np.zeros_like(h) if grads is not None else None
+        # The gradient of a row of logits is (e - total at y) / total. Rows go in order of their classes.
+        order = np.argsort(self.cls[y].astype(np.int16), kind="stable")
+        h, y, rows = np.take(h, order, axis=0, mode="clip"), y[order], np.arange(len(y))
+        cls, lp = self.cls[y], np.empty(len(y), h.dtype)
+        dh, back = np.empty_like(h) if grads is not None else None, np.ascontiguousarray(self.p["cw"].T)
+        for lo in range(0, len(y), CLASS_ROWS):
+            own, mine = h[lo : lo + CLASS_ROWS], cls[lo : lo + CLASS_ROWS]
+            logits = own @ self.p["cw"]
+            logits += self.p["cb"]
+            e, total, lp[lo : lo + CLASS_ROWS] = _exponentials(logits, mine, tame[0])
+            if grads is not None:
+                e[rows[: len(mine)], mine] -= total
+                over = 1 / total
+                grads["cw"] += (own * over[:, None]).T @ e
+                grads["cb"] += over @ e
+                by = np.matmul(e, back, out=dh[lo : lo + CLASS_ROWS])
+                by *= over[:, None]
+        cuts, starts = np.searchsorted(cls, np.arange(len(self.start))).tolist(), self.start.tolist()
         for c in range(len(starts) - 1):
             lo, hi = cuts[c], cuts[c + 1]
             a, b = starts[c], starts[c + 1]
             if lo == hi or b - a == 1:
                 continue
-            own, w, mine = sorted_h[lo:hi], self.p["ow"][a:b], sorted_y[lo:hi] - a
+            own, w, mine = h[lo:hi], self.p["ow"][a:b], y[lo:hi] - a
             logits = own @ w.T
             logits += self.p["ob"][a:b]
-            e, total, inner[lo:hi] = _exponentials(logits, mine, tame[1])
+            e, total, inner = _exponentials(logits, mine, tame[1])
+            lp[lo:hi] += inner
             if grads is not None:
                 e[rows[: hi - lo], mine] -= total
                 over = 1 / total
-                grads["ow"][a:b] += e.T @ (own * over[:, None])
-                grads["ob"][a:b] += over @ e
-                np.matmul(e, w, out=back[lo:hi])
-                back[lo:hi] *= over[:, None]
-        lp[order] += inner
+                e *= over[:, None]
+                grads["ow"][a:b] += e.T @ own
+                grads["ob"][a:b] += np.ones(hi - lo, e.dtype) @ e
+                dh[lo:hi] += e @ w
         if grads is not None:
-            dh[order] += back
-            grads["h"][at : at + len(y)] = dh
-        return lp
+            grads["h"][at : at + len(y)][order] = dh
+        out = np.empty_like(lp)
+        out[order] = lp
+        return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Mean loss of a window, its gradients, and the state to carry on."""
@@ -271,11 +310,11 @@ class Gru:
         g: dict = {}
         loss = -self.log_prob(out.reshape(-1, HIDDEN), y.ravel(), g).mean()
         dout, u, n = g.pop("h").reshape(out.shape), self.p["u"], HIDDEN
-        back, hp, by = np.ascontiguousarray(u.T), np.empty_like(out), np.empty_like(h)
-        dgx, dhu, dh = np.empty((*x.shape, 3 * n), u.dtype), np.empty((*x.shape, 3 * n), u.dtype), np.zeros_like(h)
+        back, du, by, to = np.ascontiguousarray(u.T), np.zeros_like(u), np.empty_like(h), np.empty((len(h), 3 * n), u.dtype)
+        dgx, dh = np.empty((*x.shape, 3 * n), u.dtype), np.zeros_like(h)
         for t in reversed(range(len(x))):
-            hp[t], r, z, c, hc, begins = kept[t]
-            to, rest = dhu[t], 1 - z
+            hp, r, z, c, hc, begins = kept[t]
+            rest = 1 - z
             dh += dout[t]
             np.multiply(c, c, out=by)
             np.subtract(1, by, out=by)
@@ -285,22 +324,20 @@ class Gru:
             np.subtract(1, r, out=by)
             by *= hc
             np.multiply(by, to[:, 2 * n :], out=to[:, :n])
-            np.subtract(hp[t], c, out=by)
+            np.subtract(hp, c, out=by)
             by *= z
             by *= rest
             np.multiply(by, dh, out=to[:, n : 2 * n])
+            dgx[t, :, : 2 * n] = to[:, : 2 * n]
+            du += hp.T @ to
             dh *= z
             dh += to @ back
             if begins.any():
                 dh[begins] = 0
-        dgx[:, :, : 2 * n] = dhu[:, :, : 2 * n]
-        du = hp.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
-        flat, order = dgx.reshape(-1, 3 * n), np.argsort(x.ravel().astype(np.uint16), kind="stable")
-        there = x.ravel()[order]
-        first = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-        across, per_symbol = np.take(np.ascontiguousarray(flat.T), order, axis=1), np.zeros((len(self.p["emb"]), 3 * n), flat.dtype)
-        per_symbol[there[first]] = np.add.reduceat(across, first, axis=1).T  # along rows in memory
-        g |= {"u": du, "bx": flat.sum(axis=0), "wx": self.p["emb"].T @ per_symbol, "emb": per_symbol @ self.p["wx"].T}
+        flat, emb = dgx.reshape(-1, 3 * n), np.zeros_like(self.p["emb"])
+        there, per_symbol = _sums(flat, x.ravel())
+        emb[there] = per_symbol @ self.p["wx"].T
+        g |= {"u": du, "bx": np.ones(len(flat), flat.dtype) @ flat, "wx": self.p["emb"][there].T @ per_symbol, "emb": emb}
         return float(loss), {k: v / y.size for k, v in g.items()}, last
 
     def fit(self, stream: np.ndarray, most_lanes: int = START_LANES, epochs: int = EPOCHS, top: float = RATE) -> list[float]:
@@ -334,7 +371,7 @@ class Gru:
         still hold, each from ``at`` to ``end``."""
         keys, sums, last = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         flat, at, end, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
-        more = True
+        more, into, tame = True, self.inputs(), self.tame()
         while True:
             if more and len(keys) <= LANES // 2:
                 new = list(islice(docs, LANES - len(keys)))
@@ -351,8 +388,8 @@ class Gru:
             place = at + np.arange(steps)[:, None]
             real = place < end
             y = np.where(real, flat[np.minimum(place, len(flat) - 1)], 0)
-            out, h = self.run(np.vstack((last, y[:-1])), h)
-            lp = self.log_prob(out[real], y[real])
+            out, h = self.run(np.vstack((last, y[:-1])), h, into=into)
+            lp = self.log_prob(out[real], y[real], tame=tame)
             sums += np.bincount(np.nonzero(real)[1], weights=lp, minlength=len(keys))
             at, last = at + steps, y[-1]
             going = at < end

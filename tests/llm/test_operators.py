@@ -722,3 +722,25 @@ def test_decontamination_finds_edited_passages(spark, odd, empty):
     assert decontaminate.matches(odd, bench.limit(0)).count() == 0 and decontaminate.matches(empty, bench).count() == 0
     kept = decontaminate.clean(odd, bench.where("item_id < 25"))
     assert kept.count() == len(ODD) and kept.columns == odd.columns
+
+
+@pytest.mark.filterwarnings("error")
+def test_gru_sums_by_symbol_and_constants_of_scoring(monkeypatch):
+    rng = np.random.default_rng(4)
+    for keys in (rng.zipf(1.3, 3_000) % 97, np.zeros(13, int), np.arange(5), np.zeros(0, int)):
+        rows, want = rng.normal(size=(len(keys), 6)), np.zeros((97, 6))
+        np.add.at(want, keys, rows)
+        got, (there, sums) = np.zeros((97, 6)), grulm._sums(rows, keys) if len(keys) else ([], 0)
+        assert len(set(there)) == len(there) == len(set(keys.tolist()))
+        got[there] = sums
+        assert np.allclose(got, want)
+    assert grulm._sigmoid(np.array([-1e3, 0, 1e3], np.float32)).tolist() == [0, 0.5, 1]
+    asked, real = [], grulm.Gru.inputs
+    monkeypatch.setattr(grulm.Gru, "inputs", lambda self: (asked.append(1), real(self))[1])
+    model = grulm.Gru(np.array([5.0, 9, 7, 3, 2, 2, 1, 1, 1, 1]), np.array([0, 2, 5, 10]))
+    docs = [(k, np.append(rng.integers(1, 10, 40 * k), 0)) for k in range(6)]
+    got = dict(model.score(iter(docs)))
+    assert len(asked) == 1  # not once for each of the seven windows
+    for k, s in docs:
+        out, _ = model.run(np.append(0, s[:-1])[:, None], np.zeros((1, grulm.HIDDEN), np.float32))
+        assert got[k] == pytest.approx(model.log_prob(out[:, 0], s).sum(), rel=1e-5)
